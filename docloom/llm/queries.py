@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash
+from . import ann, packing, simhash, topk
 from .common import table
 
 
@@ -19,8 +19,44 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 5 highest integer inner products of each row whose vec_id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op8_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: 10 nearest found of each row whose vec_id is divisible by 100."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_exact_topk": op7_exact_topk,
+    "op8_order_preserving_packing": op8_order_preserving_packing,
+    "op9_anisotropic_ann": op9_anisotropic_ann,
 }
 
-ORACLES: dict[str, str] = {}
+_TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_exact_topk": _TOPK_SQL,
+}
