@@ -101,12 +101,12 @@ def references(words: int, pivots: int = PIVOTS) -> np.ndarray:
 def key_masks(words: int, distance: int, nodes: int) -> list[np.ndarray]:
     """Masks of the bits (bit numbers) that make up each bucket key.
 
-    One word: g blocks, choose g - distance of them; g is the least that leaves about 8 nodes or fewer by chance in a
-    bucket. These keys are lossless. More words: disjoint bands of 16 bits or more; a pair that differs in a share p of
+    One word: g blocks, choose g - distance of them; g is distance + 2 or the least above that leaves about 8 nodes or
+    fewer by chance in a bucket. These keys are lossless. More words: disjoint bands of 16 bits or more; a pair that differs in a share p of
     its bits meets in at least one of them with probability 1 - (1 - (1 - p) ** bits) ** bands.
     """
     if words == 1:
-        g = distance + 1
+        g = distance + 2
         while nodes / 2 ** (64 * (g - distance) / g) > 8 and g < distance + 6:
             g += 1
         blocks = np.array_split(np.arange(64), g)
