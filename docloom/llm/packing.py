@@ -19,10 +19,11 @@ import os
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -33,18 +34,28 @@ SHARD = 1 << 20
 SENTENCE, INSIDE = 8, 32
 #: Cuts inside texts are considered at least so many tokens apart.
 GRAIN = 32
-#: Words whose ids are remembered at once.
-WORDS = 400_000
+#: Bytes of text encoded together.
+TEXTS = 1 << 22
+#: Stems whose ids are remembered at once.
+WORDS = 1_200_000
 
 #: White space that str.split() takes and the tokenizer's pattern may not, or the other way round.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
+#: Marks that may follow a word of letters and are then a token run of their own.
+_MARKS = ".,;:!?|"
+
+
 class Encoder(dict):
-    """Ids of a text by the tokenizer file at path; the ids of a word follow from the word, so they are remembered."""
+    """Ids of a text by the tokenizer file at path.
+
+    The ids of what stands between blanks follow from it alone. So stems (words without case and the marks after them)
+    are encoded many at a time and remembered as bytes, in a table of bounded size.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if not os.path.exists(path):
@@ -53,21 +64,70 @@ class Encoder(dict):
             path = public_tokenizers.path(os.path.basename(path))
         self._own = Tokenizer.from_file(path)
         self._own.encode_special_tokens = True
+        # lower-case letters of Latin-1 need neither normalising nor the pattern
+        self._bare = Tokenizer.from_file(path)
+        self._bare.normalizer = normalizers.Sequence([])
+        self._bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = [k for t, k in self._own.get_vocab().items() if re.search(r"[.!?](</w>)?$", t)]
         self.ends_sentence = np.zeros(self._own.get_vocab_size() + 1, bool)
         self.ends_sentence[ends] = True
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self._own.encode(word, add_special_tokens=False).ids)
-        if len(self) >= WORDS:
+        self.ends_word = np.zeros(self._own.get_vocab_size() + 1, bool)
+        self.ends_word[[k for t, k in self._own.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _learn(self, stems: Iterable[str]) -> None:
+        """Encodes stems in two calls: those of letters alone end where a token ends a word, the others are counted."""
+        for plain in (True, False):
+            own = [w for w in stems if w.isalpha() == plain]
+            if not own:
+                continue
+            if plain:
+                text = " ".join(own)
+                by = self._bare if text.isascii() or max(text) < "\u0100" else self._own
+                ids = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.concatenate(([0], np.flatnonzero(self.ends_word[ids]) + 1))
+                if len(cuts) != len(own) + 1:
+                    plain = False
+            if not plain:
+                found = self._own.encode(own, is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(found.ids, np.uint32)
+                cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(own) + 1))
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.update(zip(own, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+
+    def _parted(self, words: Iterable[str]) -> Iterator[tuple[str, str, str]]:
+        """(word, stem, marks): a word is its stem and the punctuation after it, which the pattern always parts."""
+        for w in words:
+            stem, marks = w, ""
+            if w[-1] in _MARKS:
+                stem = w.rstrip(_MARKS)
+                if stem and stem[-1].isalpha():
+                    marks = w[len(stem) :]
+                else:
+                    stem = w
+            if not stem.islower() and (stem.isascii() or max(stem) < "\u0100"):
+                stem = stem.lower()
+            yield w, stem, marks
+
+    def _words(self, here: set[str]) -> dict[str, bytes]:
+        """The ids of each word, from the stems; new ones are learned all at once."""
+        rest = list(self._parted(itertools.filterfalse(self.__contains__, here)))
+        new = {stem for _, stem, _ in rest if stem not in self} | {marks for _, _, marks in rest if marks and marks not in self}
+        if len(self) + len(new) > WORDS:
             self.clear()
-        self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
-            return np.array(self._own.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.fromiter(itertools.chain.from_iterable(map(self.__getitem__, text.split())), np.uint32)
+            rest = list(self._parted(here))
+            new = {stem for _, stem, _ in rest} | {marks for _, _, marks in rest if marks}
+        self._learn(new)
+        of = {w: self[stem] + self[marks] if marks else self[stem] for w, stem, marks in rest}
+        same = [w for w in here if w not in of] if len(of) < len(here) else []
+        of.update(zip(same, map(self.__getitem__, same)))
+        return of
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. The words of all texts meet the large table once; the texts use a small one."""
+        split = [None if _ODD.search(t) else t.split() for t in texts]
+        of = self._words(set(itertools.chain.from_iterable(filter(None, split)))).__getitem__
+        plain = lambda t: np.array(self._own.encode(t, add_special_tokens=False).ids, np.uint32)
+        return [plain(t) if words is None else np.frombuffer(b"".join(map(of, words)), np.uint32) for t, words in zip(texts, split)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -220,13 +280,17 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         id_type = None
         for b in batches:
             id_type = b.schema.field(0).type
-            for k in range(b.num_rows):
-                ids = enc.ids(b.column(1)[k].as_py() or "")
-                ids = np.append(ids, np.uint32(end_id))
-                held.append((b.column(0)[k].as_py(), ids, 0, len(ids)))
-                count += len(ids)
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+            k = 0
+            while k < b.num_rows:
+                upto = max(k + 1, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + TEXTS)))
+                rows = zip(b.column(0)[k:upto].to_pylist(), enc.ids([t or "" for t in b.column(1)[k:upto].to_pylist()]))
+                for doc, ids in rows:
+                    held.append((doc, np.append(ids, np.uint32(end_id)), 0, len(ids) + 1))
+                    count += len(ids) + 1
                 if count >= SHARD and (out := flush(False)) is not None:
                     yield out
+                k = upto
         if (out := flush(True)) is not None:
             yield out
 
