@@ -118,6 +118,8 @@ def mixed(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", wei
     plan = plan.select("key", F.col("j").alias("b"), "block_rows", "slot", "release", "deadline", "first_row")
     sizes = sources.select(F.col("key").alias("size_key"), F.col("block_rows").alias("size_rows"))
     block = F.expr(f"`{row}` div size_rows")
-    met = found.join(F.broadcast(sizes), F.col(s_key).eqNullSafe(F.col("size_key"))).withColumn("size_block", block).join(F.broadcast(plan), F.col(s_key).eqNullSafe(F.col("key")) & (F.col("size_block") == F.col("b")))
+    few = lambda t: F.broadcast(t) if t.count() <= 2 * max_blocks else t  # noqa: E731  the plan has max_blocks rows and one a source
+    sizes, plan = few(sizes), few(plan)
+    met = found.join(sizes, F.col(s_key).eqNullSafe(F.col("size_key"))).withColumn("size_block", block).join(plan, F.col(s_key).eqNullSafe(F.col("key")) & (F.col("size_block") == F.col("b")))
     new = {"block": F.col("b"), "release": F.col("release"), "deadline": F.col("deadline"), "slot": F.col("slot"), "position": F.col("first_row") + F.col(row) % F.col("size_rows")}
     return met.select(*[f"`{c}`" for c in df.columns], *[v.cast("bigint").alias(distinct_name(df, prefix + k)) for k, v in new.items()])

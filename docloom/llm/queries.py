@@ -9,16 +9,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, packing, simhash, topk
+from . import ann, line_dedup, mixing, packing, quality, simhash, substring_dedup, topk, toxicity, warc
 from .common import table
 
 
+#: The date that stands in records of the pages table, which has none.
+CRAWLED = "2024-01-01T00:00:00Z"
+
+
+def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, severity, grade, p_toxic, toxic for every document, fitted on labels.toxic."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(*toxicity.keyed(docs, table(spark, sf_dir, "labels")))
+    return toxicity.severity(docs.select("doc_id", "text"), model).drop("text")
+
+
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and the conversion record of every page; blocks as their digests."""
+    pages = table(spark, sf_dir, "pages")
+    found = warc.derive(warc.responses_of(pages, "page_id", "url", "html", CRAWLED), ["page_id"])
+    return found.drop("block", "date", "content_type")
+
+
+def op3_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, removed_spans (start, end), and the length and digest of what is kept of every document."""
+    found = substring_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "removed_spans", F.char_length("text").cast("bigint").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
+def op4_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, dropped_lines, and the length and digest of what is kept of every document; source is the host."""
+    found = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.col("source"))
+    return found.select("doc_id", "dropped_lines", F.char_length("text").cast("bigint").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id: 4-word shingles, links at 4 or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, block, release, deadline, slot, position: every document's place in the mixture."""
+    found = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"), prefix="")
+    return found.select("doc_id", "source", "block", "release", "deadline", "slot", "position")
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the 5 highest integer inner products of each row whose vec_id is divisible by 50."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
@@ -36,18 +72,30 @@ def op9_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document, fitted on labels.quality of rows not held out."""
+    found = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ordinal_toxicity": op1_ordinal_toxicity,
+    "op2_warc_derivatives": op2_warc_derivatives,
+    "op3_line_hash_dedup": op3_line_hash_dedup,
+    "op4_site_line_dedup": op4_site_line_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_pfair_mixing": op6_pfair_mixing,
     "op7_exact_topk": op7_exact_topk,
     "op8_order_preserving_packing": op8_order_preserving_packing,
     "op9_anisotropic_ann": op9_anisotropic_ann,
+    "op10_fourier_quality": op10_fourier_quality,
 }
 
 _TOPK_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
@@ -57,6 +105,61 @@ WITH v AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
+_SITE_LINES_SQL = """
+WITH lines AS (
+  SELECT doc_id, source, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS t
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+), pages AS (
+  SELECT source, count(*) AS pages FROM documents WHERE source IS NOT NULL GROUP BY source
+), often AS (
+  SELECT source, t, count(DISTINCT doc_id) AS n FROM lines WHERE t <> '' AND source IS NOT NULL GROUP BY source, t
+), bad AS (
+  SELECT source, t FROM often JOIN pages USING (source) WHERE n >= 5 AND CAST(n AS DOUBLE) / pages > 0.1
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (b.t IS NULL) AS text,
+         CAST(count(b.t) AS INTEGER) AS dropped_lines
+  FROM lines l LEFT JOIN bad b ON l.source = b.source AND l.t = b.t GROUP BY l.doc_id
+)
+SELECT doc_id, dropped_lines, CAST(length(coalesce(text, '')) AS BIGINT) AS kept_chars, md5(coalesce(text, '')) AS kept_md5 FROM kept
+"""
+
+_MIXING_SQL = """
+WITH RECURSIVE c AS (
+  SELECT source AS key, count(*) AS n_rows FROM documents GROUP BY source
+), s AS (
+  SELECT key, n_rows, CAST(ceil(sqrt(CAST(n_rows AS DOUBLE)) * 100) AS BIGINT) AS q,
+         greatest(16, CAST(ceil(sum(n_rows) OVER () / 65536.0) AS BIGINT)) AS br,
+         CAST(row_number() OVER (ORDER BY key NULLS FIRST) - 1 AS BIGINT) AS s
+  FROM c
+), n AS (
+  SELECT *, CAST(ceil(CAST(n_rows AS DOUBLE) / br) AS BIGINT) AS n FROM s
+), b AS (
+  SELECT *, unnest(range(n)) AS j FROM n
+), w AS (
+  SELECT b.s, b.key, b.j, b.br, least(b.br, b.n_rows - b.j * b.br) AS size,
+         CAST(sum(least(k.q * b.j, k.n * b.q)) AS BIGINT) // b.q AS release,
+         (CAST(sum(least(k.q * (b.j + 1), k.n * b.q)) AS BIGINT) + b.q - 1) // b.q AS deadline
+  FROM b, n k GROUP BY b.s, b.key, b.j, b.br, b.n_rows, b.q
+), edf AS (
+  SELECT CAST(-1 AS BIGINT) AS t, CAST(NULL AS STRUCT(d BIGINT, s BIGINT, j BIGINT)) AS pick, CAST([] AS BIGINT[]) AS done
+  UNION ALL
+  SELECT e.t + 1, p.pick, list_append(e.done, p.pick.s * 1000000000 + p.pick.j)
+  FROM edf e, LATERAL (
+    SELECT min({'d': w.deadline, 's': w.s, 'j': w.j}) AS pick FROM w
+    WHERE w.release <= e.t + 1 AND NOT list_contains(e.done, w.s * 1000000000 + w.j)) p
+  WHERE e.t + 1 < (SELECT count(*) FROM w)
+), plan AS (
+  SELECT w.*, e.t AS slot, sum(w.size) OVER (ORDER BY e.t) - w.size AS first_row
+  FROM edf e JOIN w ON e.pick.s = w.s AND e.pick.j = w.j
+), d AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents
+)
+SELECT d.doc_id, d.source, p.j AS block, p.release, p.deadline, p.slot, CAST(p.first_row + d.r % p.br AS BIGINT) AS position
+FROM d JOIN plan p ON d.source IS NOT DISTINCT FROM p.key AND d.r // p.br = p.j
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_site_line_dedup": _SITE_LINES_SQL,
+    "op6_pfair_mixing": _MIXING_SQL,
     "op7_exact_topk": _TOPK_SQL,
 }
