@@ -24,3 +24,19 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(top.parent))
     context.addPyFile(path)
     setattr(context, _SHIPPED, True)
+
+
+def shared_checkpoint(df):
+    """df with its lineage cut in the folder that driver and executors share (spark.checkpoint.dir).
+
+    A local session without the setting gets a temporary folder; a cluster has to name one.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="docloom-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
