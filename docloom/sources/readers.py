@@ -50,7 +50,7 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def first_lines(spark: SparkSession, path: str, last: int = 11) -> DataFrame:
     """(line_no, line) of a file's trimmed lines up to number `last`, counted from 0."""
     lines = F.slice(F.split("value", "\n"), 1, last + 1)
-    return spark.read.option("wholetext", True).text(path).select(F.posexplode(lines).alias("line_no", "line")).select("line_no", F.btrim("line", F.lit(" \t\r")).alias("line"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("line_no", "line")).select("line_no", F.btrim("line", F.lit(" \t\r")).alias("line"))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -159,14 +159,14 @@ def processed(spark: SparkSession, path: str) -> DataFrame:
 
 def tokenizer_vocab(spark: SparkSession, path: str) -> DataFrame:
     """(id, token, score) of model.vocab pairs in a tokenizer.json."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     pairs = F.from_json(F.get_json_object("value", "$.model.vocab"), "array<array<string>>")
     return raw.select(F.posexplode(pairs).alias("id", "p")).select("id", F.col("p")[0].alias("token"), F.col("p")[1].cast("double").alias("score"))
 
 
 def added_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(id, token) of added_tokens in a tokenizer.json."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     found = F.from_json(F.get_json_object("value", "$.added_tokens"), "array<struct<id:bigint,content:string>>")
     return raw.select(F.inline(found)).select("id", F.col("content").alias("token"))
 
