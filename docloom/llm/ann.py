@@ -27,11 +27,11 @@ RERANK = 128
 class Codebooks:
     """For vectors of one length: centres (codes, CENTRES, WIDTH)."""
 
-    def __init__(self, x: np.ndarray, seed: int = 7):
+    def __init__(self, x: np.ndarray, seed: int = 7, threshold: float = THRESHOLD):
         self.dim = x.shape[1]
         parts = self._split(x)
         rng = np.random.default_rng(seed)
-        self.parallel = max(1.0, (self.dim - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
+        self.parallel = max(1.0, (self.dim - 1) * threshold**2 / (1 - threshold**2))
         pick = rng.choice(len(x), CENTRES, replace=len(x) < CENTRES)
         self.centres = parts[pick].transpose(1, 0, 2).copy() + rng.normal(0, 1e-9, (parts.shape[1], CENTRES, WIDTH))
         for _ in range(ROUNDS):

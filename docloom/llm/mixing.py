@@ -23,15 +23,14 @@ BLOCK_ROWS, MAX_BLOCKS = 16, 65_536
 SEGMENT = 256
 
 
-def numbered(df: DataFrame, source: str, order: list[Column], out: str) -> DataFrame:
-    """df with each row's number (from 0) within its source, by order."""
-    pid, at, keys = "range_pid", "range_at", [f"range_key{k}" for k in range(len(order))]
-    dealt = df.select("*", *[c.alias(k) for c, k in zip(order, keys)]).repartitionByRange(F.col(source), *keys).sortWithinPartitions(source, *keys)
-    dealt = staged(dealt.drop(*keys).select("*", F.spark_partition_id().alias(pid), (F.monotonically_increasing_id() % (1 << 33)).alias(at)))
-    parts = dealt.groupBy(pid, source).agg(F.min(at).alias("first_at"), F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(source).orderBy(pid)) - F.col("n")
-    starts = staged(parts.select(F.col(pid).alias("p"), F.col(source).alias("s"), (before - F.col("first_at")).alias("shift")))
-    return dealt.join(starts, (F.col(pid) == F.col("p")) & F.col(source).eqNullSafe(F.col("s"))).select(*[f"`{c}`" for c in df.columns], (F.col(at) + F.col("shift")).alias(out))
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (row, key, o1, o2) as (row, key, number): the number (from 0) within the key, by o1 and o2."""
+    dealt = rows.repartitionByRange("key", "o1", "o2").sortWithinPartitions("key", "o1", "o2")
+    dealt = staged(dealt.select("row", "key", F.spark_partition_id().alias("pid"), (F.monotonically_increasing_id() % (1 << 33)).alias("place")))
+    parts = dealt.groupBy("pid", "key").agg(F.min("place").alias("first_place"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("pid")) - F.col("n")
+    starts = staged(parts.select(F.col("pid").alias("p"), F.col("key").alias("k"), (before - F.col("first_place")).alias("shift")))
+    return dealt.join(starts, (F.col("pid") == F.col("p")) & F.col("key").eqNullSafe(F.col("k"))).select("row", "key", (F.col("place") + F.col("shift")).alias("number"))
 
 
 def whole(a: Column, b: Column) -> Column:
@@ -102,10 +101,10 @@ def mixed(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", wei
     first; null ids come first in their source. Repeated rows each get a place. An empty table gives no rows. Columns of
     df that have the name of a new one make the new one end in an underscore.
     """
-    s_key, row = (distinct_name(df, c) for c in ("mix_source_key", "mix_row"))
-    rows = df.withColumn(s_key, F.col(source_col).cast("string"))
-    found = numbered(rows, s_key, [F.md5(F.col(id_col).cast("string")), F.col(id_col)], row)
-    counts = found.groupBy(F.col(s_key).alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+    # the row travels as one struct, so none of its names can meet those used here
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(source_col).cast("string").alias("key"), F.md5(F.col(id_col).cast("string")).alias("o1"), F.col(id_col).alias("o2"))
+    found = numbered(rows)
+    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     if weights is None:
         q = F.ceil(F.sqrt(F.col("rows").cast("double")) * 100)
     else:
@@ -115,11 +114,10 @@ def mixed(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", wei
         counts.select("key", "rows", q.cast("bigint").alias("q"), F.greatest(F.lit(block_rows), F.ceil(total / max_blocks)).cast("bigint").alias("block_rows"), (F.row_number().over(Window.orderBy(F.col("key").asc_nulls_first())) - 1).cast("int").alias("s"))
     )
     plan = staged(schedule(windows(sources)).join(sources.select("s", "key", "block_rows"), "s"))
-    plan = plan.select("key", F.col("j").alias("b"), "block_rows", "slot", "release", "deadline", "first_row")
-    sizes = sources.select(F.col("key").alias("size_key"), F.col("block_rows").alias("size_rows"))
-    block = F.expr(f"`{row}` div size_rows")
+    plan = plan.select(F.col("key").alias("plan_key"), F.col("j").alias("b"), "slot", "release", "deadline", "first_row")
+    sizes = sources.select(F.col("key").alias("size_key"), "block_rows")
     few = lambda t: F.broadcast(t) if t.count() <= 2 * max_blocks else t  # noqa: E731  the plan has max_blocks rows and one a source
-    sizes, plan = few(sizes), few(plan)
-    met = found.join(sizes, F.col(s_key).eqNullSafe(F.col("size_key"))).withColumn("size_block", block).join(plan, F.col(s_key).eqNullSafe(F.col("key")) & (F.col("size_block") == F.col("b")))
-    new = {"block": F.col("b"), "release": F.col("release"), "deadline": F.col("deadline"), "slot": F.col("slot"), "position": F.col("first_row") + F.col(row) % F.col("size_rows")}
-    return met.select(*[f"`{c}`" for c in df.columns], *[v.cast("bigint").alias(distinct_name(df, prefix + k)) for k, v in new.items()])
+    met = found.join(few(sizes), F.col("key").eqNullSafe(F.col("size_key"))).withColumn("block", whole(F.col("number"), F.col("block_rows")))
+    met = met.join(few(plan), F.col("key").eqNullSafe(F.col("plan_key")) & (F.col("block") == F.col("b")))
+    new = {"block": F.col("b"), "release": F.col("release"), "deadline": F.col("deadline"), "slot": F.col("slot"), "position": F.col("first_row") + F.col("number") % F.col("block_rows")}
+    return met.select("row.*", *[v.cast("bigint").alias(distinct_name(df, prefix + k)) for k, v in new.items()])
