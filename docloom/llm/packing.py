@@ -14,6 +14,7 @@ is one tail for each partition. No shuffle takes place and memory is bounded by
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import re
@@ -27,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import lean_worker
+
 SIZE = 4096
 END_ID = 2
 SHARD = 1 << 20
@@ -36,11 +39,11 @@ SENTENCE, INSIDE = 8, 32
 GRAIN = 32
 #: Bytes of text encoded together.
 TEXTS = 1 << 22
-#: Stems whose ids are remembered at once.
-WORDS = 1_200_000
+#: Stems whose ids are remembered at once, and places for hashes of those seen.
+WORDS, SEEN = 400_000, 1 << 23
 
 #: White space that str.split() takes and the tokenizer's pattern may not, or the other way round.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_ODD = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
 
 #: Marks that may follow a word of letters and are then a token run of their own.
@@ -64,6 +67,8 @@ class Encoder(dict):
             path = public_tokenizers.path(os.path.basename(path))
         self._own = Tokenizer.from_file(path)
         self._own.encode_special_tokens = True
+        self._seen = np.zeros(SEEN, bool)
+        self.clear()
         # lower-case letters of Latin-1 need neither normalising nor the pattern
         self._bare = Tokenizer.from_file(path)
         self._bare.normalizer = normalizers.Sequence([])
@@ -74,8 +79,9 @@ class Encoder(dict):
         self.ends_word = np.zeros(self._own.get_vocab_size() + 1, bool)
         self.ends_word[[k for t, k in self._own.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def _learn(self, stems: Iterable[str]) -> None:
-        """Encodes stems in two calls: those of letters alone end where a token ends a word, the others are counted."""
+    def _encoded(self, stems: list[str]) -> dict[str, bytes]:
+        """The ids of stems, in two calls: those of letters alone end where a token ends a word, the others are counted."""
+        of: dict[str, bytes] = {}
         for plain in (True, False):
             own = [w for w in stems if w.isalpha() == plain]
             if not own:
@@ -92,7 +98,8 @@ class Encoder(dict):
                 ids = np.array(found.ids, np.uint32)
                 cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(own) + 1))
             raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-            self.update(zip(own, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+            of.update(zip(own, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+        return of
 
     def _parted(self, words: Iterable[str]) -> Iterator[tuple[str, str, str]]:
         """(word, stem, marks): a word is its stem and the punctuation after it, which the pattern always parts."""
@@ -108,26 +115,55 @@ class Encoder(dict):
                 stem = stem.lower()
             yield w, stem, marks
 
-    def _words(self, here: set[str]) -> dict[str, bytes]:
-        """The ids of each word, from the stems; new ones are learned all at once."""
-        rest = list(self._parted(itertools.filterfalse(self.__contains__, here)))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the distinct words, from the stems; new ones are encoded all at once.
+
+        A stem is remembered when it comes a second time; a bitmap of hashes tells.
+        """
+        found = list(map(self.get, words))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        rest = list(self._parted(words[k] for k in gaps))
         new = {stem for _, stem, _ in rest if stem not in self} | {marks for _, _, marks in rest if marks and marks not in self}
-        if len(self) + len(new) > WORDS:
+        of = self._encoded(list(new))
+        for k, (_, stem, marks) in zip(gaps, rest):
+            ids = of[stem] if stem in of else self[stem]
+            found[k] = ids + (of[marks] if marks in of else self[marks]) if marks else ids
+        at = np.fromiter(map(hash, of), np.int64, len(of)) & (SEEN - 1)
+        for stem in itertools.compress(of, self._seen[at]):
+            self[stem] = of[stem]
+        self._seen[at] = True
+        if len(self) > WORDS:
             self.clear()
-            rest = list(self._parted(here))
-            new = {stem for _, stem, _ in rest} | {marks for _, _, marks in rest if marks}
-        self._learn(new)
-        of = {w: self[stem] + self[marks] if marks else self[stem] for w, stem, marks in rest}
-        same = [w for w in here if w not in of] if len(of) < len(here) else []
-        of.update(zip(same, map(self.__getitem__, same)))
-        return of
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. The words of all texts meet the large table once; the texts use a small one."""
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        of = self._words(set(itertools.chain.from_iterable(filter(None, split)))).__getitem__
-        plain = lambda t: np.array(self._own.encode(t, add_special_tokens=False).ids, np.uint32)
-        return [plain(t) if words is None else np.frombuffer(b"".join(map(of, words)), np.uint32) for t, words in zip(texts, split)]
+        return found
+
+    def clear(self) -> None:
+        super().clear()
+        self._seen[:] = False
+        self[""] = b""
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and the number of each text's ids; null is an empty text.
+
+        Splitting and telling words apart is Arrow's; Python sees each distinct word once, ids are gathered by numpy.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        words = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
+        cuts, told = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+        own = self._words(told.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts, at = sizes.cumsum() - sizes, told.indices.to_numpy()
+        each = sizes[at]
+        ends = np.concatenate(([0], each.cumsum()))
+        flat = np.frombuffer(b"".join(own), np.uint32)
+        flat = flat[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])]
+        counts = ends[cuts[1:] - cuts[0]] - ends[cuts[:-1] - cuts[0]]
+        if pc.any(odd).as_py():
+            pieces = np.split(flat, counts.cumsum()[:-1])
+            for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+                pieces[k] = np.array(self._own.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+            flat, counts = np.concatenate(pieces), np.array([len(x) for x in pieces])
+        return flat, counts
 
 
 _encoders: dict[str, Encoder] = {}
@@ -228,7 +264,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     A null or empty text is its end token alone. Every row of docs is packed, repeated rows and null ids too, each as a
     document of its own; an empty table gives no rows. Other columns are not read. Sequence ids are unique, not dense:
     the partition's number in the high 32 bits, a counter in the low ones.
-    order_by: columns that give the documents' order (dealt out by range); else the order of the partitions' rows.
+    order_by: columns whose ascending values give the documents' order (dealt out by range); else the order of the partitions' rows.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,19 +320,27 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             k = 0
             while k < b.num_rows:
                 upto = max(k + 1, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + TEXTS)))
-                rows = zip(b.column(0)[k:upto].to_pylist(), enc.ids([t or "" for t in b.column(1)[k:upto].to_pylist()]))
-                for doc, ids in rows:
-                    held.append((doc, np.append(ids, np.uint32(end_id)), 0, len(ids) + 1))
-                    count += len(ids) + 1
+                flat, counts = enc.ids(b.column(1).slice(k, upto - k))
+                ends = counts.cumsum()
+                for doc, start, end in zip(b.column(0).slice(k, upto - k).to_pylist(), (ends - counts).tolist(), ends.tolist()):
+                    held.append((doc, np.append(flat[start:end], np.uint32(end_id)), 0, end - start + 1))
+                count += len(flat) + len(counts)
                 if count >= SHARD and (out := flush(False)) is not None:
                     yield out
                 k = upto
         if (out := flush(True)) is not None:
             yield out
+    def undisturbed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
+        gc.disable()  # millions of words and no cycles
+        try:
+            yield from each(batches)
+        finally:
+            gc.enable()
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(f"order{k}") for k, c in enumerate(order_by or [])])
     if order_by:
         keys = [f"order{k}" for k in range(len(order_by))]
         narrow = narrow.repartitionByRange(*keys).sortWithinPartitions(*keys)
     schema = T.StructType([T.StructField("doc_id", narrow.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in _COLUMNS[1:]]])
-    return narrow.select("doc_id", "text").mapInArrow(each, schema)
+    return narrow.select("doc_id", "text").mapInArrow(undisturbed, schema)
