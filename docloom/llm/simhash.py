@@ -22,14 +22,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import staged
+from .common import lean_worker, staged
 
 SEED = 42
 PIVOTS = 16
 #: Rows of a bucket compared as one group; larger buckets are dealt out as pairs of chunks of this size.
 CHUNK = 4096
-#: Pairs held in memory at once.
-PAIRS = 1 << 20
+#: Shingles and pairs held in memory at once.
+SHINGLES, PAIRS = 1 << 18, 1 << 17
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -52,9 +52,9 @@ def _hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :]
-    for k in range(0, n, PAIRS):
-        cuts = map(slice, starts[k : min(n, k + PAIRS)].tolist(), last[k : k + PAIRS].tolist())
-        yield np.fromiter(map(xxhash.xxh64_intdigest, map(text.__getitem__, cuts), itertools.repeat(SEED)), np.uint64, min(n - k, PAIRS))
+    for k in range(0, n, SHINGLES):
+        cuts = map(slice, starts[k : min(n, k + SHINGLES)].tolist(), last[k : k + SHINGLES].tolist())
+        yield np.fromiter(map(xxhash.xxh64_intdigest, map(text.__getitem__, cuts), itertools.repeat(SEED)), np.uint64, min(n - k, SHINGLES))
 
 
 def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> bytes:
@@ -79,6 +79,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 4, wo
     """One row for each row of df: ``id`` and ``fp`` (binary, 8 * words bytes). Null texts count as empty."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             fps = pa.array((fingerprint(t.as_py(), shingle, words) for t in texts), pa.binary())

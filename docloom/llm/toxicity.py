@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import distinct_name
+from .common import distinct_name, lean_worker
 
 #: Labelled rows of either label to fit on, features to keep, grades above 0 and the marker shares that part them.
 SAMPLE, FEATURES, GRADES, SHARES = 10_000, 4096, 3, (0.01, 0.03)
@@ -30,8 +30,10 @@ SUPPORT, ODDS, CHI = 3, 3.0, 20.0
 STARTS = (4, 5, 6)
 REJECT = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
+#: Features counted in memory at once.
+COUNTED = 200_000
 #: Words whose features are remembered at once.
-WORDS = 300_000
+WORDS = 100_000
 
 
 def features_of(word: str) -> list[tuple[int, str]]:
@@ -120,13 +122,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def told() -> pa.RecordBatch:
+            every = list(seen[0].keys() | seen[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array([f[0] for f in every], pa.int32()), pa.array([f[1] for f in every], pa.string()), *[pa.array([seen[v][f] for f in every], pa.int64()) for v in (0, 1)]], ["kind", "part", "clean", "toxic"])
+            for held in seen:
+                held.clear()
+            return out
+
+        lean_worker()
         for b in batches:
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for toxic, text in ((t.as_py(), x.as_py()) for t, x in zip(b.column(0), b.column(1))):
                 own = {f for w in set(_WORD.findall((text or "").lower())) for f in features_of(w)}
                 seen[toxic].update(own)
                 seen[toxic][(-1, "")] += 1
-        every = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in every], pa.int32()), pa.array([f[1] for f in every], pa.string()), *[pa.array([seen[v][f] for f in every], pa.int64()) for v in (0, 1)]], ["kind", "part", "clean", "toxic"])
+                if len(seen[0]) + len(seen[1]) > COUNTED:
+                    yield told()
+        yield told()
 
     counted = drawn.mapInArrow(count, "kind int, part string, clean bigint, toxic bigint").groupBy("kind", "part").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = counted.filter((F.col("toxic") >= SUPPORT) | (F.col("kind") == -1)).persist()
@@ -147,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [model.counts(t) for t in b.column(1).to_pylist()]
+            held = [model.counts(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([n for _, n in held], pa.int64()), pa.array([list(f) for f, _ in held], pa.list_(pa.int64())), pa.array([list(f.values()) for f, _ in held], pa.list_(pa.int64()))], ["toxic", "words", "f", "n"])
 
     sparse = drawn.mapInArrow(encode, "toxic int, words bigint, f array<bigint>, n array<bigint>").collect()
@@ -176,12 +188,12 @@ def severity(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     types = [T.DoubleType(), T.IntegerType(), T.DoubleType(), T.BooleanType()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for b in batches:
-            texts = b.column(text_col).to_pylist()
             if model is None:
-                p = np.zeros((len(texts), GRADES))
+                p = np.zeros((b.num_rows, GRADES))
             else:
-                p = model.grades(np.array([model.score(t) for t in texts], np.float64))
+                p = model.grades(np.array([model.score(t.as_py()) for t in b.column(text_col)], np.float64))
             single = np.concatenate((np.ones((len(p), 1)), p), 1) - np.concatenate((p, np.zeros((len(p), 1))), 1)
             found = [pa.array(p.sum(1)), pa.array(single.argmax(1), pa.int32()), pa.array(p[:, 0]), pa.array(p[:, 0] >= REJECT)]
             yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, *names])
