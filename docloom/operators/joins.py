@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .splits import running_total
 
 
 def paired(pred: DataFrame, gold: DataFrame, by: str) -> DataFrame:
@@ -52,9 +54,8 @@ def placeholders_filled(prompts: DataFrame, grids: DataFrame, by: str, text: str
     Counts of marks before each prompt come from a running sum over (prompt, count) rows; texts are not sorted.
     """
     parts = F.split(F.col(text), mark.replace("|", r"\|"))
-    counted = prompts.select(by, order, (F.size(parts) - 1).alias("marks"))
-    before = F.sum("marks").over(Window.orderBy(order, by).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("marks")
-    starts = counted.select(by, before.alias("start"))
+    counted = prompts.select(by, *({order} - {by}), (F.size(parts) - 1).alias("marks"))
+    starts = running_total(counted, [order, by], "marks", "start").select(by, "start")
     pieces = prompts.join(starts, by).select(by, "start", F.posexplode(parts).alias("at", "piece"))
     filled = grids.select(F.col(ordinal).cast("bigint").alias("ordinal_"), fill.alias("fill_"))
     met = pieces.join(filled, (F.col("at") > 0) & (F.col("start") + F.col("at") - 1 == F.col("ordinal_")), "left")

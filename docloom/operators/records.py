@@ -55,10 +55,11 @@ def document_keys(df: DataFrame, doc: str) -> DataFrame:
 
 def key_ids(special: DataFrame, token: str, order: str) -> DataFrame:
     """(key, key_id) of opening key tokens <s_key>, in order; ending and self-closing tokens are left out."""
-    from pyspark.sql import Window
+    from .splits import numbered
 
     kept = special.filter(~F.col(token).startswith("</") & ~F.col(token).endswith("/>"))
-    return kept.select(F.replace(F.replace(F.col(token), F.lit("<s_"), F.lit("")), F.lit(">"), F.lit("")).alias("key"), (F.row_number().over(Window.orderBy(order)) - 1).alias("key_id"))
+    rows = numbered(kept, [order], out="number_")
+    return rows.select(F.replace(F.replace(F.col(token), F.lit("<s_"), F.lit("")), F.lit(">"), F.lit("")).alias("key"), F.col("number_").cast("int").alias("key_id"))
 
 
 def quarantined(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
@@ -105,9 +106,10 @@ def mixed_tasks(tasks: dict[str, DataFrame]) -> DataFrame:
 
 def rename_plan(files: DataFrame, path: str, prefix: str, start: int = 100) -> DataFrame:
     """(src, dst) of files numbered from start in the order of their paths; carrying it out is not the engine's."""
-    from pyspark.sql import Window
+    from .splits import numbered
 
-    n = F.row_number().over(Window.orderBy(path)) - 1 + start
+    files = numbered(files.select(path), [path], out="number_")
+    n = F.col("number_") + start
     folder = F.regexp_replace(F.col(path), r"[^/]*$", "")
     return files.select(F.col(path).alias("src"), F.concat(folder, F.lit(prefix), n.cast("string"), F.regexp_extract(F.col(path), r"\.[^./]*$", 0)).alias("dst"))
 

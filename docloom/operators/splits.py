@@ -13,15 +13,50 @@ def hash_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df dealt out by ranges of keys and sorted, with its partition (pid_) and place in it (at_), held fast."""
+    from ..plans.session import shared_checkpoint
+
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return shared_checkpoint(dealt.select("*", F.spark_partition_id().alias("pid_"), (F.monotonically_increasing_id() % (1 << 33)).alias("at_")))
+
+
+def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, out: str = "number") -> DataFrame:
+    """df with each row's number, from 0, in order, within by.
+
+    A global or a large group's order is not one sorted task: rows are dealt out by range, and the counts of the ranges
+    before a row's own are added to its place.
+    """
+    by = by or []
+    dealt = _dealt(df, [*by, *order])
+    parts = dealt.groupBy("pid_", *by).agg(F.min("at_").alias("first_"), F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("pid_")) - F.col("n_")
+    starts = parts.select(F.col("pid_").alias("p_"), *[F.col(c).alias(f"{c}_k") for c in by], (before - F.col("first_")).alias("shift_"))
+    same = F.col("pid_") == F.col("p_")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_k"))
+    return dealt.join(starts, same).select(*df.columns, (F.col("at_") + F.col("shift_")).alias(out))
+
+
+def running_total(df: DataFrame, order: list[str], value: str, out: str = "total") -> DataFrame:
+    """df with the sum of value over the rows before each row, in order, by the same dealing out."""
+    dealt = _dealt(df, order)
+    here = F.sum(value).over(Window.partitionBy("pid_").orderBy("at_").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value)
+    parts = dealt.groupBy("pid_").agg(F.sum(value).alias("n_"))
+    starts = parts.select(F.col("pid_").alias("p_"), (F.sum("n_").over(Window.orderBy("pid_")) - F.col("n_")).alias("start_"))
+    return dealt.withColumn("here_", here).join(starts, F.col("pid_") == F.col("p_")).select(*df.columns, (F.col("here_") + F.col("start_")).alias(out))
+
+
 def split(df: DataFrame, group: str, key: str, seed: int = 42, out: str = "usage") -> DataFrame:
     """df with its usage: of each group's n rows in hash order the first int(n * v) are validation, the next int(n * t)
     test, the rest train."""
-    w = Window.partitionBy(group)
-    n = F.count(F.lit(1)).over(w)
-    at = F.row_number().over(w.orderBy(hash_order(seed, F.col(key)), key)) - 1
-    book = F.contains(F.col(group), F.lit("book"))
-    share = lambda k: F.when(book, F.floor(n * BOOK[k])).otherwise(F.floor(n * OTHER[k]))
-    return df.withColumn(out, F.when(at < share(1), "validation").when(at < share(1) + share(2), "test").otherwise("train"))
+    counts = df.groupBy(F.col(group).alias("group_")).agg(F.count(F.lit(1)).alias("n_"))
+    rows = numbered(df.withColumn("hash_", hash_order(seed, F.col(key))), ["hash_", key], [group], "number_")
+    rows = rows.join(counts, F.col(group).eqNullSafe(F.col("group_")))
+    book = F.coalesce(F.contains(F.col(group), F.lit("book")), F.lit(False))
+    share = lambda k: F.when(book, F.floor(F.col("n_") * BOOK[k])).otherwise(F.floor(F.col("n_") * OTHER[k]))
+    at = F.col("number_")
+    return rows.select(*df.columns, F.when(at < share(1), "validation").when(at < share(1) + share(2), "test").otherwise("train").alias(out))
 
 
 def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -43,14 +78,5 @@ def topped_up(val: DataFrame, test: DataFrame, key: str, size: int = 300, seed:
 
 
 def buckets(df: DataFrame, order: str, size: int = 1000, out: str = "bucket") -> DataFrame:
-    """df with the folder of its row: its number in order over size, as five digits.
-
-    Numbers come from a range partitioning and the counts of the partitions before, not from one sorted partition.
-    """
-    from ..plans.session import shared_checkpoint
-
-    dealt = shared_checkpoint(df.repartitionByRange(order).sortWithinPartitions(order).select("*", F.spark_partition_id().alias("pid_"), (F.monotonically_increasing_id() % (1 << 33)).alias("at_")))
-    parts = dealt.groupBy("pid_").agg(F.count(F.lit(1)).alias("n"))
-    starts = parts.select(F.col("pid_").alias("p_"), (F.sum("n").over(Window.orderBy("pid_")) - F.col("n")).alias("start_"))
-    number = F.col("at_") + F.col("start_")
-    return dealt.join(starts, F.col("pid_") == F.col("p_")).select(*df.columns, F.format_string("%05d", F.floor(number / size)).alias(out))
+    """df with the folder of its row: its number in order over size, as five digits."""
+    return numbered(df, [order], out="number_").select(*df.columns, F.format_string("%05d", F.floor(F.col("number_") / size)).alias(out))
