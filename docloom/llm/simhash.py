@@ -31,6 +31,9 @@ CHUNK = 4096
 #: Shingles and pairs held in memory at once.
 SHINGLES, PAIRS = 1 << 18, 1 << 17
 
+#: Edges that one task may finish; more are contracted by joins first.
+FINISH = 100_000
+
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -240,22 +243,46 @@ def links(nodes: DataFrame, distance: int, words: int = 1) -> DataFrame:
     return dealt.mapInArrow(_linked(words, distance), "a binary, b binary").distinct()
 
 
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, to) for every node of edges (a, b), with the component's smallest node, by union and find."""
+    up: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([top(x) for x in nodes], pa.binary())], ["a", "to"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b), by contraction.
 
     Each round maps a node to the smallest of its closed neighbourhood in a random order that changes by round, then
-    keeps edges between what is left. Minima combine before the shuffle, so a node of high degree is no hot task.
+    keeps edges between what is left. Minima combine before the shuffle, so a node of high degree is no hot task. Once
+    FINISH edges or fewer are left, one task finishes them; that bound is the task's memory, not a limit on the result.
     """
     edges = staged(edges)
     label: DataFrame | None = None
     for turn in itertools.count():
-        if edges.isEmpty():
+        left = edges.count()
+        if not left:
+            break
+        if left <= FINISH:
+            to = staged(edges.select("a", "b").coalesce(1).mapInArrow(_finished, "a binary, to binary"))
+        else:
+            both = edges.select("a", "b").union(edges.select("b", "a"))
+            order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
+            to = staged(both.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least(order("a"), F.col("m"))["x"].alias("to")))
+        named = to.select(F.col("a").alias("node"), F.col("to").alias("root"))
+        label = named if label is None else staged(label.join(to, F.col("root") == F.col("a"), "left").select("node", F.coalesce("to", "root").alias("root")))
+        if left <= FINISH:
             break
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
-        to = staged(both.groupBy("a").agg(F.min(order("b")).alias("m")).select("a", F.least(order("a"), F.col("m"))["x"].alias("to")))
-        label = to.select(F.col("a").alias("node"), F.col("to").alias("root")) if label is None else label.join(to, F.col("root") == F.col("a"), "left").select("node", F.coalesce("to", "root").alias("root"))
-        label = staged(label)
         edges = staged(edges.join(to, "a").select(F.col("to").alias("x"), "b").join(to.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 

@@ -66,9 +66,10 @@ def near_copies(n, rng):
     return sorted(set(out) | {int(x) for x in rng.integers(0, 2**63, 200)})
 
 
-@pytest.mark.parametrize("chunk", [4096, 16])
-def test_links_of_crowded_buckets(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk,finish", [(4096, 100_000), (16, 0), (4096, 20)])
+def test_links_of_crowded_buckets(spark, monkeypatch, chunk, finish):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "FINISH", finish)
     fps = near_copies(400, np.random.default_rng(chunk))
     nodes = spark.createDataFrame([(bytearray(np.uint64(f).tobytes()),) for f in fps], "fp binary")
     edges = simhash.links(nodes, 4)
