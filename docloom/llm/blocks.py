@@ -112,7 +112,7 @@ def nearest(
                     if q_out:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q_out), pa.int64()), pa.array(np.concatenate(h_out), pa.int64()), pa.array(np.concatenate(v_out), pa.int64()), pa.array(np.concatenate(s_out), score_pa)], ["query_id", "query_print", "vec_id", "score"])
 
-    met = dealt.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(meet, f"query_id bigint, query_print bigint, vec_id bigint, score {score_type}")
+    met = dealt.repartitionById(parts, F.col("block")).sortWithinPartitions("block", "kind").mapInArrow(meet, f"query_id bigint, query_print bigint, vec_id bigint, score {score_type}")
     by = Window.partitionBy("query_id", "query_print").orderBy(order(F.col("score")), "vec_id")
     return met.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
