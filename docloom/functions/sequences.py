@@ -14,15 +14,15 @@ def tokens(text: Column) -> Column:
 
 def label_mask(ids: Column, separator: Column | int, ignored: int = IGNORED) -> Column:
     """Everything up to and with the first separator becomes `ignored`; without a separator the row is null."""
-    at = F.array_position(ids, separator)
-    return F.when(at > 0, F.transform(ids, lambda x, i: F.when(i < at, F.lit(ignored)).otherwise(x)))
+    at = F.array_position(ids, separator).cast("int")
+    return F.when(at > 0, F.concat(F.array_repeat(F.lit(ignored), at), F.slice(ids, at + 1, F.greatest(F.size(ids) - at, F.lit(0)))))
 
 
 def label_mask_shifted(ids: Column, separator: Column | int, ignored: int = IGNORED) -> Column:
     """Labels one token on, those before the separator ignored, the separator kept."""
     moved = F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0)))
-    at = F.array_position(moved, separator)
-    return F.when(at > 0, F.transform(moved, lambda x, i: F.when(i < at - 1, F.lit(ignored)).otherwise(x)))
+    at = F.array_position(moved, separator).cast("int")
+    return F.when(at > 0, F.concat(F.array_repeat(F.lit(ignored), at - 1), F.slice(moved, F.greatest(at, F.lit(1)), F.size(moved) - at + 1)))
 
 
 def next_tokens(ids: Column) -> Column:
