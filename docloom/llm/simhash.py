@@ -14,7 +14,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +27,8 @@ SEED = 42
 PIVOTS = 16
 #: Rows of a bucket compared as one group; larger buckets are dealt out as pairs of chunks of this size.
 CHUNK = 4096
+#: Bits of a key of fingerprints of several words.
+BAND = 16
 #: Shingles and pairs held in memory at once.
 SHINGLES, PAIRS = 1 << 18, 1 << 17
 
@@ -106,8 +107,9 @@ def key_masks(words: int, distance: int, nodes: int) -> list[np.ndarray]:
     """Masks of the bits (bit numbers) that make up each bucket key.
 
     One word: g blocks, choose g - distance of them; g is distance + 2 or the least above that leaves about 8 nodes or
-    fewer by chance in a bucket. These keys are lossless. More words: disjoint bands of 16 bits or more; a pair that differs in a share p of
-    its bits meets in at least one of them with probability 1 - (1 - (1 - p) ** bits) ** bands.
+    fewer by chance in a bucket. These keys are lossless. More words: disjoint bands of BAND bits at any number of nodes; a pair that differs in a
+    share p of its bits meets in at least one of them with probability 1 - (1 - (1 - p) ** bits) ** bands. More nodes
+    crowd the buckets, which links() deals out as pairs of chunks; they do not lower that probability.
     """
     if words == 1:
         g = distance + 2
@@ -115,8 +117,7 @@ def key_masks(words: int, distance: int, nodes: int) -> list[np.ndarray]:
             g += 1
         blocks = np.array_split(np.arange(64), g)
         return [np.concatenate(c) for c in itertools.combinations(blocks, g - distance)]
-    width = max(16, min(32, math.ceil(math.log2(max(nodes, 2))) - 4))
-    return [np.arange(k, k + width) for k in range(0, 64 * words - width + 1, width)]
+    return [np.arange(k, k + BAND) for k in range(0, 64 * words, BAND)]
 
 
 def _keys(fps: np.ndarray, mask: np.ndarray) -> np.ndarray:

@@ -102,6 +102,17 @@ def test_keys_are_lossless(nodes):
         assert any(off.isdisjoint(m.tolist()) for m in masks)
 
 
+@pytest.mark.parametrize("off", [77, 84])
+def test_wide_keys_meet_as_often_at_any_number_of_nodes(off):
+    def met(nodes):
+        masks = simhash.key_masks(8, off, nodes)
+        assert len(np.unique(np.concatenate(masks))) == sum(map(len, masks))  # disjoint, as the product below needs
+        return 1 - np.prod([1 - (1 - off / 512) ** len(m) for m in masks])
+
+    few, many, most = (met(n) for n in (10, 10**6, 10**9))
+    assert few <= many <= most and few >= 0.84
+
+
 def test_wide_fingerprints_find_similar_texts(spark):
     rng = np.random.default_rng(3)
     words = np.array([f"w{k}" for k in range(5000)])
