@@ -9,13 +9,11 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docloom.llm import line_dedup, mixing, packing, simhash, toxicity
+from docloom.llm import line_dedup, mixing, packing, similar, toxicity
 from docloom.llm.common import staged, table
 
-#: Near duplicates: fingerprints of 512 bits over 5-word shingles. Two texts of similarity 0.8 (shared shingles over all
-#: shingles) have a cosine of 2 * 0.8 / 1.8 and so differ in arccos(0.889) / pi = 15 % of their bits, 77 of 512 with a
-#: spread of 8; the bound is one spread above, so that few such pairs are missed.
-WORDS, DISTANCE, SHINGLE = 8, 84, 5
+#: Near duplicates: 5-word shingles shared by two texts over all of theirs, verified exactly.
+SHINGLE, SIMILARITY = 5, 0.8
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -34,7 +32,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays, once; rows without id stay."""
-    found = staged(simhash.near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE, words=WORDS).select("id", "component"))
+    found = staged(similar.similar_groups(docs, shingle=SHINGLE, bound=SIMILARITY))
     kept = staged(found.filter("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("rows")))
     left = docs.join(kept.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(docs.columns)
     if not kept.filter("rows > 1").isEmpty():

@@ -128,6 +128,53 @@ def test_wide_fingerprints_find_similar_texts(spark):
     assert len(set(found.values())) >= 60
 
 
+def shingle_sets(texts):
+    words = [(t or "").encode().lower().split() for t in texts]
+    return [{b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def brute_groups(texts):
+    """The smallest position reachable over pairs whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    sets, root = shingle_sets(texts), list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = sets[i], sets[j]
+        if a == b or 0.8 * max(len(a), len(b)) <= min(len(a), len(b)) and 10 * len(a & b) >= 8 * len(a | b):
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = [new if r == old else r for r in root]
+    return root
+
+
+def test_pipeline_links_exactly_the_similar_texts(spark, monkeypatch):
+    import corpus_pipeline as cp
+    from docloom.llm import similar
+
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(120):  # similarities from 0.7 to 0.9, close to the bound on either side, and copies of copies
+        base = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(8, 500)))]
+        texts.append(" ".join(base))
+        for _ in range(2):
+            base = base + [f"v{x}" for x in rng.integers(0, 10**6, max(1, int(len(base) * rng.uniform(0.12, 0.4))))]
+            texts.append(" ".join(base))
+    texts += ["a b c d e f"] * 2 + ["", " ", "a b", "a b c"] + ["x " * 3000 + "tail one two", "x " * 3000 + "tail three four"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = [k for k, r in enumerate(brute_groups(texts)) if k == r]
+    assert 150 < len(kept) < 320
+    for chunk in (similar.CHUNK, 2):
+        monkeypatch.setattr(similar, "CHUNK", chunk)
+        found = {r["doc_id"] for r in cp.drop_near_duplicates(spark, df, DATA).collect()}
+        assert found == set(kept)
+
+
+def test_pipeline_groups_of_documents_match_brute_force(spark):
+    from docloom.llm import similar
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    found = {r["id"]: r["component"] for r in similar.similar_groups(docs).collect()}
+    assert [found[d] for d, _ in rows] == [rows[k][0] for k in brute_groups([t for _, t in rows])]
+
+
 def test_simhash_odd_cases(spark):
     rows = simhash.near_duplicates(odd(spark)).collect()
     assert len(rows) == len(odd_rows())
