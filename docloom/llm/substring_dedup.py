@@ -1,9 +1,11 @@
 """Substring dedup by hashing lines (or paragraphs) and the passages inside them.
 
-Units are normalised (lower case, blanks collapsed) and hashed to 128 bits. A unit is a whole line or paragraph, or a
-passage: the fewest whole sentences from some sentence on, inside one line, that have ``min_words`` words. Passages
-overlap, so a text that repeats inside longer lines is found wherever it starts. All documents' digests are grouped
-globally; the earliest occurrence by (document id, offset) stays and the others are removed from their documents.
+Units are normalised (lower case, blanks collapsed) and hashed to 128 bits. The pieces of a text are the whole sentences
+of its lines (or paragraphs). A unit is the fewest pieces from some piece on that have ``min_words`` words, across line
+feeds too, or the fewest that end with a piece at which no such run ends. Units overlap, so every run of pieces of
+``min_words`` words or more that two texts share is covered by units inside it, from its first piece to its last. A
+character of a script without blanks counts as a word. All documents' digests are grouped globally; the earliest
+occurrence by (document id, offset) stays and the others are removed from their documents.
 
 Grouping combines before the shuffle, so a digest of any frequency is one row from each task; only digests that repeat
 are kept. Occurrences meet them in a join of two staged tables, whose skewed partitions adaptive execution splits.
@@ -23,7 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .common import distinct_name, staged
 
 MIN_WORDS = 20
-_SENTENCE = re.compile(r"[.!?]+[ \t]+(?=\S)")
+_SENTENCE = re.compile(r"[.!?]+[ \t]+(?=\S)|[。！？]+[ \t]*(?=\S)")
+#: Characters that are words of their own: Han, kana, and the scripts of Thai, Lao, Burmese and Khmer.
+_ALONE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n\s*")
 
 
@@ -39,27 +43,36 @@ def _blocks(text: str, unit: str) -> Iterator[tuple[int, int]]:
 
 def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of each unit; offsets count code points of the text, end is past the last one."""
+    if len(text) < (min_words if _ALONE.search(text) else 2 * min_words - 1):
+        return
+    pieces: list[tuple[int, int]] = []
     for start, end in _blocks(text, unit):
-        if end - start < 2 * min_words - 1:
-            continue
-        cuts = [start, *(m.end() for m in _SENTENCE.finditer(text, start, end)), end]
-        words = [text[a:b].lower().split() for a, b in itertools.pairwise(cuts)]
-        sizes = [len(w) for w in words]
-        if sum(sizes) < min_words:
-            continue
-        joined = [" ".join(w) for w in words]
-        j, held, spans = 0, 0, set()
-        for i in range(len(sizes)):
-            while held < min_words and j < len(sizes):
-                held += sizes[j]
-                j += 1
-            if held < min_words:
-                break
-            spans.add((i, j))
+        pieces += itertools.pairwise([start, *(m.end() for m in _SENTENCE.finditer(text, start, end)), end])
+    words = [text[a:b].lower().split() for a, b in pieces]
+    joined = [" ".join(w) for w in words]
+    sizes = [len(w) for w in words]
+    if not text.isascii():
+        sizes = [n + len(_ALONE.findall(t)) - sum(1 for w in own if _ALONE.match(w)) for n, t, own in zip(sizes, joined, words)]
+    n, j, held, spans = len(sizes), 0, 0, []
+    for i in range(n):
+        while held < min_words and j < n:
+            held += sizes[j]
+            j += 1
+        if held < min_words:
+            break
+        spans.append((i, j))
+        held -= sizes[i]
+    ends = {j for _, j in spans}
+    i = held = 0
+    for j in range(1, n + 1):
+        held += sizes[j - 1]
+        while held - sizes[i] >= min_words:
             held -= sizes[i]
-        spans.add((0, len(sizes)))
-        for i, j in spans:
-            yield cuts[i], cuts[j], xxhash.xxh3_128_digest(" ".join(filter(None, joined[i:j])).encode("utf-8", "surrogatepass"))
+            i += 1
+        if held >= min_words and j not in ends:
+            spans.append((i, j))
+    for i, j in spans:
+        yield pieces[i][0], pieces[j - 1][1], xxhash.xxh3_128_digest(" ".join(filter(None, joined[i:j])).encode("utf-8", "surrogatepass"))
 
 
 _UNITS = "start bigint, end bigint, d1 bigint, d2 bigint"

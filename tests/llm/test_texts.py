@@ -197,6 +197,32 @@ def test_passages_inside_lines_are_found_and_clean_texts_stay(spark):
     assert again[4].strip() == "A paragraph." and again[3] == rows[2][1]
 
 
+def test_passages_across_short_lines_and_their_ends_are_found(spark):
+    verse = "\n".join(f"Line {k} of a verse has seven words" for k in range(8))
+    long = "This sentence of the passage has a good many more words in it than the twenty that a unit must have."
+    ending = f"{long} Its end is short."
+    han = "".join(chr(0x4E00 + 7 * k) for k in range(30)) + "。"
+    rows = [(1, f"Start.\n{verse}\nOne more."), (2, f"Other words here.\n{verse}\nQuite another."), (3, verse), (4, f"{ending} Then one goes on."), (5, f"Before. {ending} Then two stops."), (6, f"{han}\n甲"), (7, f"乙\n{han}")]
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(out[k] == dict(rows)[k] for k in (1, 4, 6))
+    assert out[2] == "Other words here.\n\nQuite another." and out[3] == ""
+    assert out[5] == "Before. Then two stops." and out[7] == "乙\n"
+
+
+def test_units_cover_every_shared_run():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        run = [" ".join(f"r{k}x{w}" for w in range(int(n))) + rng.choice(["\n", ". "]) for k, n in enumerate(rng.integers(1, 30, int(rng.integers(2, 9))))]
+        if len("".join(run).split()) < substring_dedup.MIN_WORDS:
+            continue
+        shared = "".join(run)
+        one, two = f"own words. {shared}then more of it.", f"other. And that\n{shared}last"
+        known = {d for *_, d in substring_dedup.units(one)}
+        covered = {c for s, e, d in substring_dedup.units(two) if d in known for c in range(s, e)}
+        at = two.index(shared)
+        assert all(c in covered for c in range(at, at + len(shared)) if not two[c].isspace())
+
+
 def test_repeats_odd_cases(spark):
     docs = odd(spark)
     out = substring_dedup.drop_repeats(docs)
