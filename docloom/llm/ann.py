@@ -4,7 +4,8 @@ Euclidean nearness is a maximum inner product: |q - x|^2 = |q|^2 - 2 (q.x - |x|^
 from codes of four bits for each pair of dimensions; |x|^2 / 2 is kept exactly. Codebooks and codes minimise a loss
 that weighs the part of the residual that is parallel to the vector more than the rest, since that part moves the
 scores of the vectors that matter. A scan adds table entries for two codes at a time; its best candidates are ranked
-again by exact distances on the original vectors.
+by exact distances on the original vectors, and then all others that could still be nearer: an estimate is off by at
+most |q| times the length of the candidate's residual, so what is left out cannot be among the k nearest.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from . import blocks
 SAMPLE, WIDTH, CENTRES, ROUNDS, PASSES = 20_000, 2, 16, 8, 2
 #: Inner products below this share of |x| do not count as worth finding; it sets the weight of the parallel residual.
 THRESHOLD = 0.2
-#: Candidates of a block that are ranked again for each query.
+#: Candidates of a block that are ranked first for each query; their k-th distance bounds which others are ranked too.
 RERANK = 128
 
 
@@ -90,6 +91,14 @@ class Codebooks:
             pieces.append(codes[::2] | codes[1::2] << 4)
         return np.concatenate(pieces, 1).tobytes()
 
+    def residuals(self, x: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """The length of what each row's codes leave of it."""
+        parts, square = self._split(x), np.zeros(len(x))
+        for m in range(parts.shape[1]):
+            codes = packed[m // 2] >> 4 if m % 2 else packed[m // 2] & 15
+            square += np.square(parts[:, m] - self.centres[m, codes]).sum(1)
+        return np.sqrt(square)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, pairs, 256): inner products of a query with both halves of a byte."""
         products = np.einsum("qmw,mcw->qmc", self._split(q), self.centres)
@@ -105,15 +114,29 @@ def search(books: dict[int, Codebooks], k: int, rerank: int):
         half = np.square(vectors).sum(1) / 2
         book = books.get(dim)
         codes = np.frombuffer(code, np.uint8).reshape(-1, len(ids)) if book else None
+        scanned = book and len(ids) > rerank + 1
+        if scanned:
+            off = book.residuals(vectors, codes)
+            longest = float((np.sqrt(2 * half) + off).max())
         for at in range(0, len(q_ids), 64):
-            tables = book.tables(q_vectors[at : at + 64]) if book else None
+            tables = book.tables(q_vectors[at : at + 64]) if scanned else None
             for j, own in enumerate(q_ids[at : at + 64]):
                 q = q_vectors[at + j]
-                if book and len(ids) > rerank + 1:
+                if scanned:
                     estimate = -half
                     for table, column in zip(tables[j], codes):
                         estimate += table[column]
                     places = np.argpartition(-estimate, rerank)[: rerank + 1]
+                    near = places[ids[places] != own]
+                    if len(near) < k:
+                        places = np.arange(len(ids))
+                    else:
+                        square = q @ q
+                        cut = (square - np.partition(np.square(vectors[near] - q).sum(1), k - 1)[k - 1]) / 2
+                        length = np.sqrt(square)
+                        # Tables hold single precision; the slack is far above their rounding.
+                        slack = 1e-6 * (length * longest + square + longest**2)
+                        places = np.flatnonzero(estimate + length * off >= cut - slack)
                 else:
                     places = np.arange(len(ids))
                 places = places[ids[places] != own]

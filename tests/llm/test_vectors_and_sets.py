@@ -413,6 +413,21 @@ def test_codes_weigh_the_parallel_residual():
     assert np.allclose(sum(t[c] for t, c in zip(book.tables(q)[0], codes)), held @ q[0], atol=1e-4)
 
 
+@pytest.mark.parametrize("spread", [0.0, 1e-3, 1.0])
+def test_search_of_crowded_groups_is_exact(spread):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(10, 32)), 600, 0)
+    x = (x + spread * rng.normal(size=x.shape))[rng.permutation(len(x))]
+    ids = rng.permutation(len(x))
+    book = ann.Codebooks(x[:2000])
+    found = list(ann.search({32: book}, 10, 128)(32, ids, x, book.packed(x), ids[:70], x[:70]))
+    for q, (places, scores) in enumerate(found):
+        exact = np.sqrt(np.square(x - x[q]).sum(1))
+        order = np.lexsort((ids, exact))
+        best = order[order != q][:10]
+        assert ids[places].tolist() == ids[best].tolist() and np.array_equal(scores, exact[best])
+
+
 def test_neighbours_odd_cases(spark):
     df = spark.createDataFrame([(i * 100 if i in (50,) else i, v) for i, v in ODD_VECTORS if True], "vec_id bigint, embedding array<double>").withColumn("rank", F.lit("x"))
     df = df.withColumn("vec_id", F.when(F.col("vec_id") == 5000, 200).otherwise(F.col("vec_id")))
