@@ -147,6 +147,11 @@ def wrapped_truth(spark, sf):
     return table(spark, sf, "benchmark").filter(~F.col("text").rlike(r'["\\\x00-\x1f/]')).select("item_id", records.wrapped_truth(F.col("text")).alias("truth"))
 
 
+@query("wrapped_truth_all")
+def wrapped_truth_all(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", records.wrapped_truth(F.col("text")).alias("truth"))
+
+
 @query("field_f1")
 def field_f1(spark, sf):
     gold = _documents(spark, sf).withColumnRenamed("doc", "gold")
