@@ -370,6 +370,12 @@ def pixel_shuffle(spark, sf):
     return rows.select("p_partkey", F.col("n").cast("bigint").alias("n"), vi.shuffled_index(F.col("n"), F.lit(8), F.lit(3)).alias("p")).select("p_partkey", "n", "p.h", "p.w", "p.c")
 
 
+@query("pixel_shuffle_all")
+def pixel_shuffle_all(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("n"))
+    return rows.select("p_partkey", F.col("n").cast("bigint").alias("n"), vi.shuffled_index(F.col("n"), F.lit(8), F.lit(3)).alias("p")).select("p_partkey", "n", "p.h", "p.w", "p.c")
+
+
 # --- boxes -----------------------------------------------------------------------------------------------------------
 
 _BOX_SQL = """SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS text, l_discount AS score, l_linenumber % 3 * 400 + l_quantity AS x, l_linenumber // 3 * 40 + l_quantity % 5 AS y,

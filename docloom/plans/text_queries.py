@@ -155,6 +155,13 @@ def embedding_gather(spark, sf):
     return joins.gathered(ids, e.select("vec_id", "embedding"), "vec_id").select("new_id", F.col("embedding")[0].cast("double").alias("first"), F.size("embedding").cast("bigint").alias("dims"))
 
 
+@query("embedding_gather_all")
+def embedding_gather_all(spark, sf):
+    e = table(spark, sf, "embeddings")
+    ids = e.select((F.row_number().over(Window.orderBy(F.desc("vec_id"))) - 1).cast("bigint").alias("new_id"), F.col("vec_id").alias("old_id"))
+    return joins.gathered(ids, e.select("vec_id", "embedding"), "vec_id").select("new_id", F.col("embedding")[0].cast("double").alias("first"), F.size("embedding").cast("bigint").alias("dims"))
+
+
 @query("char_classes", f"""
 SELECT regexp_full_match(word, '[\\x{{4e00}}-\\x{{9fa5}}a-zA-Z]+') AS letters, count(*) AS words, CAST(sum(freq) AS BIGINT) AS freq
 FROM ({_WORDS_SQL.format(t='text', f='documents')}) GROUP BY 1""")
