@@ -114,9 +114,38 @@ def top_pair(spark, sf):
     return vocab.most_frequent_pair(_bench_symbols(spark, sf))
 
 
+def _corpus_symbols(spark, sf):
+    return vocab.symbols(word_freq(spark, sf))
+
+
+_DOC_SYMBOLS_SQL = f"SELECT word, freq, list_append(regexp_extract_all(word, '(?s).'), '</w>') AS s FROM ({_WORDS_SQL.format(t='text', f='documents')})"
+_DOC_PAIRS_SQL = f"""SELECT s[i] AS "left", s[i + 1] AS "right", CAST(sum(freq) AS BIGINT) AS freq
+FROM (SELECT s, freq, unnest(range(1, len(s))) AS i FROM ({_DOC_SYMBOLS_SQL})) GROUP BY 1, 2"""
+
+
+@query("doc_spelled_words", f"SELECT array_to_string(s, ' ') AS spelled, freq FROM ({_DOC_SYMBOLS_SQL})")
+def doc_spelled_words(spark, sf):
+    return word_freq(spark, sf).select(tx.spelled(F.col("word")).alias("spelled"), "freq")
+
+
+@query("doc_pair_freq", _DOC_PAIRS_SQL)
+def doc_pair_freq(spark, sf):
+    return vocab.pair_counts(_corpus_symbols(spark, sf))
+
+
+@query("doc_token_freq", f"SELECT token, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT unnest(s) AS token, freq FROM ({_DOC_SYMBOLS_SQL})) GROUP BY token")
+def doc_token_freq(spark, sf):
+    return vocab.token_counts(_corpus_symbols(spark, sf))
+
+
+@query("doc_top_pair", f'SELECT * FROM ({_DOC_PAIRS_SQL}) ORDER BY freq DESC, "left", "right" LIMIT 1')
+def doc_top_pair(spark, sf):
+    return vocab.most_frequent_pair(_corpus_symbols(spark, sf))
+
+
 @query("bpe_5_merges")
 def bpe_5_merges(spark, sf):
-    found = vocab.trained_merges(_bench_symbols(spark, sf), 5)
+    found = vocab.trained_merges(_corpus_symbols(spark, sf), 5)
     return spark.createDataFrame([(k, *m) for k, m in enumerate(found)], 'merge_no int, left string, right string, freq bigint')
 
 

@@ -23,3 +23,24 @@ def test_embedding_gather_of_all_rows(spark, sf):
     held = sorted(((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()), reverse=True)
     rows = {r["new_id"]: (r["first"], r["dims"]) for r in registry.QUERIES["embedding_gather_all"](spark, sf).collect()}
     assert rows == {k: (float(v[0]), len(v)) for k, (_, v) in enumerate(held)}
+
+
+def test_merges_are_those_of_documents(spark, sf):
+    words = Counter(w for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for w in (r["text"] or "").split())
+    vocab, expected = {w: (*w, "</w>") for w in words}, []
+    for k in range(5):
+        pairs = Counter()
+        for w, n in words.items():
+            for p in zip(vocab[w], vocab[w][1:]):
+                pairs[p] += n
+        left, right = min(pairs, key=lambda p: (-pairs[p], p))
+        expected.append((k, left, right, pairs[left, right]))
+        for w, s in vocab.items():
+            out, at = [], 0
+            while at < len(s):
+                two = s[at : at + 2] == (left, right)
+                out.append(left + right if two else s[at])
+                at += 1 + two
+            vocab[w] = tuple(out)
+    found = registry.QUERIES["bpe_5_merges"](spark, sf).collect()
+    assert [tuple(r) for r in sorted(found, key=lambda r: r["merge_no"])] == expected
