@@ -10,9 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docloom.llm import line_dedup, mixing, packing, similar, toxicity
-from docloom.llm.common import staged, table
+from docloom.llm.common import scratch, staged, table
 
-#: Near duplicates: 5-word shingles shared by two texts over all of theirs, verified exactly.
+#: Near duplicates: 5-word shingles shared by two texts over all of theirs, verified exactly after SimHash.
 SHINGLE, SIMILARITY = 5, 0.8
 TOKENIZER = "word_bpe_49k.json"
 
@@ -31,13 +31,19 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays, once; rows without id stay."""
+    """Of each group of near duplicates one row stays: of the smallest id, null ids last, then of the least text hash.
+
+    A row is its id and text, so two texts under one id are two documents, and rows alike in both are one.
+    """
     found = staged(similar.similar_groups(docs, shingle=SHINGLE, bound=SIMILARITY))
-    kept = staged(found.filter("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("rows")))
-    left = docs.join(kept.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(docs.columns)
-    if not kept.filter("rows > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id"])
-    return left.unionByName(docs.filter("doc_id IS NULL"))
+    text = F.col("text").cast("string")
+    same = F.col("doc_id").eqNullSafe(F.col("id_of")) & F.when(text.isNotNull(), F.xxhash64(text)).eqNullSafe(F.col("print_of"))
+    named = lambda rows: rows.select(F.col("id").alias("id_of"), F.col("print").alias("print_of"))
+    left = docs.join(named(found.filter(~F.col("first"))), same, "left_anti")
+    often = found.filter(F.col("first") & (F.col("copies") > 1))
+    if often.isEmpty():
+        return left
+    return left.join(named(often), same, "left_anti").unionByName(left.join(named(often), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,5 +84,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            docs = staged(stage(spark, docs, sf_dir))
+            keep(docs)
     return docs

@@ -6,7 +6,10 @@ import atexit
 import ctypes
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: The option's number in glibc's malloc.h.
 _M_MMAP_THRESHOLD = -3
 
+_own = threading.local()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,7 +62,33 @@ def staged(df: DataFrame) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"staged-{uuid.uuid4().hex}")
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    for held in _scopes():
+        held.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def _scopes() -> list[list[str]]:
+    """The open scopes of this thread, the paths staged in each."""
+    if not hasattr(_own, "scopes"):
+        _own.scopes = []
+    return _own.scopes
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """A scope whose staged tables are deleted at its end, but for those given to what it yields."""
+    held: list[str] = []
+    kept: set[str] = set()
+    _scopes().append(held)
+    try:
+        yield lambda *tables: kept.update(t.staged_path for t in tables)
+    finally:
+        _scopes().pop()
+        for path in held:
+            if path not in kept:
+                _forget(spark, path)
 
 
 def distinct_name(df: DataFrame, wanted: str) -> str:

@@ -21,14 +21,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import lean_worker, staged
+from .common import lean_worker, scratch, staged
 
 SEED = 42
 PIVOTS = 16
 #: Rows of a bucket compared as one group; larger buckets are dealt out as pairs of chunks of this size.
 CHUNK = 4096
-#: Bits of a key of fingerprints of several words.
-BAND = 16
 #: Shingles and pairs held in memory at once.
 SHINGLES, PAIRS = 1 << 18, 1 << 17
 
@@ -61,13 +59,10 @@ def _hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
         yield np.fromiter(map(xxhash.xxh64_intdigest, map(text.__getitem__, cuts), itertools.repeat(SEED)), np.uint64, min(n - k, SHINGLES))
 
 
-def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> bytes:
-    """64 * words bits, little-endian; zero for a text without words (or null)."""
-    found = (text or b"").lower().split()  # bytes: A-Z only, and white space is exactly 0x20 and 0x09-0x0D
-    if not found:
-        return bytes(8 * words)
+def majority(hashes: Iterator[np.ndarray], words: int = 1) -> bytes:
+    """64 * words bits, little-endian: those that are set in over half the hashes; zero if there are none."""
     counts, n = np.zeros((8 * words, 8), np.int64), 0
-    for h in _hashes(found, shingle):
+    for h in hashes:
         n += len(h)
         for w in range(words):
             each = _mixed(h, w).view(np.uint8).reshape(-1, 8)
@@ -79,14 +74,20 @@ def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> bytes:
     return np.packbits((2 * counts > n).astype(np.uint8), axis=1, bitorder="little").tobytes()
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 4, words: int = 1) -> DataFrame:
-    """One row for each row of df: ``id`` and ``fp`` (binary, 8 * words bytes). Null texts count as empty."""
+def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> bytes:
+    """The majority of the hashes of all shingles; zero for a text without words (or null)."""
+    found = (text or b"").lower().split()  # bytes: A-Z only, and white space is exactly 0x20 and 0x09-0x0D
+    return majority(_hashes(found, shingle), words) if found else bytes(8 * words)
+
+
+def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
+    """One row for each row of df: ``id`` and ``fp`` (binary, 8 bytes). Null texts count as empty."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_worker()
         for b in batches:
             texts = b.column(1).cast(pa.binary())
-            fps = pa.array((fingerprint(t.as_py(), shingle, words) for t in texts), pa.binary())
+            fps = pa.array((fingerprint(t.as_py(), shingle) for t in texts), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], ["id", "fp"])
 
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -103,21 +104,17 @@ def references(words: int, pivots: int = PIVOTS) -> np.ndarray:
     return np.array([[xxhash.xxh64_intdigest(f"{p}/{w}", SEED) for w in range(words)] for p in range(pivots)], np.uint64)
 
 
-def key_masks(words: int, distance: int, nodes: int) -> list[np.ndarray]:
-    """Masks of the bits (bit numbers) that make up each bucket key.
+def key_masks(distance: int, nodes: int) -> list[np.ndarray]:
+    """Masks of the bits (bit numbers) that make up each bucket key of fingerprints of 64 bits.
 
-    One word: g blocks, choose g - distance of them; g is distance + 2 or the least above that leaves about 8 nodes or
-    fewer by chance in a bucket. These keys are lossless. More words: disjoint bands of BAND bits at any number of nodes; a pair that differs in a
-    share p of its bits meets in at least one of them with probability 1 - (1 - (1 - p) ** bits) ** bands. More nodes
-    crowd the buckets, which links() deals out as pairs of chunks; they do not lower that probability.
+    g blocks, choose g - distance of them; g is distance + 2 or the least above that leaves about 8 nodes or fewer by
+    chance in a bucket. The keys are lossless.
     """
-    if words == 1:
-        g = distance + 2
-        while nodes / 2 ** (64 * (g - distance) / g) > 8 and g < distance + 6:
-            g += 1
-        blocks = np.array_split(np.arange(64), g)
-        return [np.concatenate(c) for c in itertools.combinations(blocks, g - distance)]
-    return [np.arange(k, k + BAND) for k in range(0, 64 * words, BAND)]
+    g = distance + 2
+    while nodes / 2 ** (64 * (g - distance) / g) > 8 and g < distance + 6:
+        g += 1
+    blocks = np.array_split(np.arange(64), g)
+    return [np.concatenate(c) for c in itertools.combinations(blocks, g - distance)]
 
 
 def _keys(fps: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -128,16 +125,17 @@ def _keys(fps: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 
 def _fps(column: pa.Array, words: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
+    """The first words of each value; a value may go on after its fingerprint."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)[:, :words] if len(column) else np.zeros((0, words), np.uint64)
 
 
-def bucketed(nodes: DataFrame, masks: list[np.ndarray], words: int) -> DataFrame:
+def bucketed(nodes: DataFrame, masks: list[np.ndarray]) -> DataFrame:
     """(mask_no, key, fp, pivots) for every node and mask; pivots holds a distance of two bytes for each reference."""
-    refs = references(words)
+    refs = references(1)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = _fps(b.column(0), words)
+            fps = _fps(b.column(0), 1)
             if not len(fps):
                 continue
             table = np.stack([np.bitwise_count(fps ^ r).sum(1) for r in refs], 1).astype(np.uint16)
@@ -148,6 +146,17 @@ def bucketed(nodes: DataFrame, masks: list[np.ndarray], words: int) -> DataFrame
     return nodes.select("fp").mapInArrow(each, "mask_no int, key bigint, fp binary, pivots binary")
 
 
+def _own_pivots(fps: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The pivot table of each run of equal group numbers for references from the run itself, evenly spaced.
+
+    Wide fingerprints are all about equally far from a reference drawn at random; one out of the bucket parts what is
+    near it from the rest.
+    """
+    starts = np.searchsorted(group, group)
+    sizes = np.searchsorted(group, group, side="right") - starts
+    return np.stack([np.bitwise_count(fps ^ fps[starts + k * sizes // PIVOTS]).sum(1) for k in range(PIVOTS)], 1).astype(np.int16)
+
+
 def _forest(fps: np.ndarray, pivots: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links inside each run of equal group numbers; rows are sorted by group.
 
@@ -197,9 +206,9 @@ def _linked(words: int, distance: int) -> Callable[[Iterator[pa.RecordBatch]], I
 
     def found(t: pa.Table) -> pa.RecordBatch:
         fps = _fps(t["fp"], words)
-        pivots = np.frombuffer(b"".join(t["pivots"].to_pylist()), np.uint16).reshape(len(fps), -1).astype(np.int16)
         keys = np.stack([t[c].to_numpy() for c in ("mask_no", "key", "part")], 1)
         group = np.concatenate(([0], np.cumsum((keys[1:] != keys[:-1]).any(1))))
+        pivots = np.frombuffer(b"".join(t["pivots"].to_pylist()), np.uint16).reshape(len(fps), -1).astype(np.int16) if "pivots" in t.column_names else _own_pivots(fps, group)
         a, b = _forest(fps, pivots, group, distance)
         kept = t["fp"].combine_chunks()
         return pa.RecordBatch.from_arrays([kept.take(pa.array(a)).cast(pa.binary()), kept.take(pa.array(b)).cast(pa.binary())], ["a", "b"])
@@ -223,23 +232,23 @@ def _linked(words: int, distance: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return each
 
 
-def links(nodes: DataFrame, distance: int, words: int = 1) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that span every component of the links; nodes: distinct ``fp``.
+def links(rows: DataFrame, distance: int, words: int = 1) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that span every component of the links inside buckets.
 
+    rows: mask_no, key and fp, distinct (mask_no and key name the bucket), and pivots if the references are global.
     A bucket of over CHUNK rows is dealt out: each of its m chunks meets each other chunk in a group of its own, so no
     task holds more than two chunks and no pair is missed. Chunks follow from a hash of the fingerprint.
     """
-    masks = key_masks(words, distance, nodes.count())
-    rows = bucketed(nodes, masks, words)
+    own = [c for c in ("fp", "pivots") if c in rows.columns]
     heavy = staged(rows.groupBy("mask_no", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK))
     part = F.lit(0).cast("bigint").alias("part")
     if heavy.isEmpty():
-        rows = rows.select("mask_no", "key", part, "fp", "pivots")
+        rows = rows.select("mask_no", "key", part, *own)
     else:
         m = F.ceil(F.col("n") / CHUNK).cast("bigint")
         chunk = F.pmod(F.xxhash64("fp"), F.col("m"))
         met = F.when(F.col("m").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1), lambda other: F.least(chunk, other) * F.col("m") + F.greatest(chunk, other)))
-        rows = rows.join(heavy.select("mask_no", "key", m.alias("m")), ["mask_no", "key"], "left").select("mask_no", "key", F.explode(met).alias("part"), "fp", "pivots")
+        rows = rows.join(heavy.select("mask_no", "key", m.alias("m")), ["mask_no", "key"], "left").select("mask_no", "key", F.explode(met).alias("part"), *own)
     dealt = rows.repartition("mask_no", "key", "part").sortWithinPartitions("mask_no", "key", "part")
     return dealt.mapInArrow(_linked(words, distance), "a binary, b binary").distinct()
 
@@ -288,17 +297,19 @@ def components(edges: DataFrame) -> DataFrame:
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, words: int = 1) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """(id, fp, component) for every row of df: component is the smallest id reachable over links, its own included.
 
     Texts without words, null ones included, have the fingerprint zero and link to each other like any others. A row
     without id takes part in links and gets the component of its group (null if no row of the group has an id).
     Repeated rows share a fingerprint and so a component. An empty table gives no rows. Other columns are not read.
     """
-    rows = staged(fingerprints(df, id_col, text_col, shingle, words))
-    nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    found = components(links(nodes, distance, words))
-    roots = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    grouped = found.select(F.col("root")).distinct().join(roots, "root").groupBy("root").agg(F.min("least").alias("component"))
-    to = staged(roots.join(grouped, "root", "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "least").alias("component")))
+    with scratch(df.sparkSession) as keep:
+        rows = staged(fingerprints(df, id_col, text_col, shingle))
+        nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("least")))
+        found = components(links(bucketed(nodes, key_masks(distance, nodes.count())), distance))
+        roots = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        grouped = found.select(F.col("root")).distinct().join(roots, "root").groupBy("root").agg(F.min("least").alias("component"))
+        to = staged(roots.join(grouped, "root", "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "least").alias("component")))
+        keep(rows, to)
     return rows.join(to, F.col("fp") == F.col("fp_")).select("id", "fp", "component")

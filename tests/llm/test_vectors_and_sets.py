@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docloom.llm import ann, mixing, packing, queries, simhash, topk
+from docloom.llm import ann, mixing, packing, queries, simhash, similar, topk
 from docloom.llm.packing import Encoder
 
 from .data import SCHEMA, empty, odd, odd_rows
@@ -72,7 +72,7 @@ def test_links_of_crowded_buckets(spark, monkeypatch, chunk, finish):
     monkeypatch.setattr(simhash, "FINISH", finish)
     fps = near_copies(400, np.random.default_rng(chunk))
     nodes = spark.createDataFrame([(bytearray(np.uint64(f).tobytes()),) for f in fps], "fp binary")
-    edges = simhash.links(nodes, 4)
+    edges = simhash.links(simhash.bucketed(nodes, simhash.key_masks(4, len(fps))), 4)
     found = {bytes(r["node"]): bytes(r["root"]) for r in simhash.components(edges).collect()}
     keys = [np.uint64(f).tobytes() for f in fps]
     mine = defaultdict(set)
@@ -95,37 +95,50 @@ def test_pivots_lose_no_pair():
 
 @pytest.mark.parametrize("nodes", [10, 10**6, 10**9])
 def test_keys_are_lossless(nodes):
-    masks = simhash.key_masks(1, 4, nodes)
+    masks = simhash.key_masks(4, nodes)
     rng = np.random.default_rng(nodes % 97)
     for _ in range(200):
         off = set(rng.choice(64, 4, replace=False).tolist())
         assert any(off.isdisjoint(m.tolist()) for m in masks)
 
 
-@pytest.mark.parametrize("off", [77, 84])
-def test_wide_keys_meet_as_often_at_any_number_of_nodes(off):
-    def met(nodes):
-        masks = simhash.key_masks(8, off, nodes)
-        assert len(np.unique(np.concatenate(masks))) == sum(map(len, masks))  # disjoint, as the product below needs
-        return 1 - np.prod([1 - (1 - off / 512) ** len(m) for m in masks])
-
-    few, many, most = (met(n) for n in (10, 10**6, 10**9))
-    assert few <= many <= most and few >= 0.84
-
-
-def test_wide_fingerprints_find_similar_texts(spark):
-    rng = np.random.default_rng(3)
-    words = np.array([f"w{k}" for k in range(5000)])
-    rows = []
-    for k in range(60):
-        base = rng.choice(words, 400)
-        other = base.copy()
-        at = rng.choice(400, 6, replace=False)  # about 30 of 396 five-word shingles change
-        other[at] = rng.choice(words, 6)
-        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
-    found = {r["id"]: r["component"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=5, distance=77, words=8).collect()}
-    assert sum(found[2 * k] == found[2 * k + 1] for k in range(60)) >= 57
-    assert len(set(found.values())) >= 60
+def test_pivots_of_a_bucket_lose_no_pair():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 64, (8, 4), np.uint64)
+    fps = base[rng.integers(0, 8, 300)].copy()
+    for k in range(300):
+        for bit in rng.integers(0, 256, rng.integers(0, 60)):
+            fps[k, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    group = np.sort(rng.integers(0, 3, 300))
+    table = simhash._own_pivots(fps, group)
+    a, b = simhash._forest(fps, table, group, similar.DISTANCE)
+    root = list(range(300))
+    for i, j in itertools.combinations(range(300), 2):
+        if group[i] == group[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= similar.DISTANCE:
+            assert np.abs(table[i] - table[j]).max() <= similar.DISTANCE
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = [new if r == old else r for r in root]
+    mine = list(range(300))
+    for i, j in zip(a.tolist(), b.tolist()):
+        old, new = max(mine[i], mine[j]), min(mine[i], mine[j])
+        mine = [new if r == old else r for r in mine]
+    assert mine == root and (np.abs(table[:, None] - table[None]).max(2) > similar.DISTANCE).any()
+
+
+def test_keys_and_fingerprints_find_pairs_at_the_bound():
+    """A pair at 0.8 shares a key whatever the number of nodes, and its fingerprints differ in DISTANCE bits or fewer."""
+    rng = np.random.default_rng(12)
+    met, near = [], []
+    for _ in range(1500):
+        shared = int(rng.choice([4, 8, 40, 400]))
+        extra = shared // 4
+        left = int(rng.integers(0, extra + 1))
+        every = rng.integers(0, 1 << 64, shared + extra, np.uint64)
+        a, b = np.sort(every[: shared + left]), np.sort(np.concatenate((every[:shared], every[shared + left :])))
+        met.append(bool(set(similar.keys(a).tolist()) & set(similar.keys(b).tolist())))
+        one, two = (np.frombuffer(similar.node_of(x)[: 8 * similar.WORDS], np.uint64) for x in (a, b))
+        near.append(int(np.bitwise_count(one ^ two).sum()) <= similar.DISTANCE)
+    assert np.mean(met) >= 0.998 and all(near)
 
 
 def shingle_sets(texts):
@@ -146,7 +159,6 @@ def brute_groups(texts):
 
 def test_pipeline_links_exactly_the_similar_texts(spark, monkeypatch):
     import corpus_pipeline as cp
-    from docloom.llm import similar
 
     rng = np.random.default_rng(8)
     texts = []
@@ -166,12 +178,24 @@ def test_pipeline_links_exactly_the_similar_texts(spark, monkeypatch):
         assert found == set(kept)
 
 
-def test_pipeline_groups_of_documents_match_brute_force(spark):
-    from docloom.llm import similar
+def test_pipeline_decides_by_row(spark):
+    import corpus_pipeline as cp
+
+    one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    rows = [(1, one), (1, two), (5, one), (5, three), (None, two), (None, two), (None, "own text of a row without id here"), (2, None), (3, ""), (None, None), (7, three), (8, two + " tail"), (9, one), (9, one), (10, "x y z"), (10, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("source", F.lit("s"))
+    out = cp.drop_near_duplicates(spark, df, DATA)
+    assert out.columns == df.columns
+    left = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert left == Counter([(1, one), (1, two), (5, three), (None, "own text of a row without id here"), (2, None), (10, "x y z")])
+    assert cp.drop_near_duplicates(spark, df.limit(0), DATA).count() == 0
 
+
+def test_pipeline_groups_of_documents_match_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     found = {r["id"]: r["component"] for r in similar.similar_groups(docs).collect()}
+    assert len(found) == len(rows)
     assert [found[d] for d, _ in rows] == [rows[k][0] for k in brute_groups([t for _, t in rows])]
 
 
