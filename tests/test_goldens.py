@@ -77,6 +77,17 @@ def test_tag_codec(spark):
     assert codec.untagged("<s_a>x<sep/>y</s_a>") == {"a": ["x", "y"]}
     assert codec.untagged("<s_a><yes/></s_a>", frozenset({"<yes/>"})) == {"a": "yes"}
     assert codec.untagged("<s_b><s_a>1</s_a>") == {"a": "1"}
+    deep = {"a": {"b": {"c": "1"}, "d": ["2", "3"]}, "e": [{"f": "4"}, {"f": "5", "g": {"h": "6"}}]}
+    assert codec.untagged(codec.tags(deep)) == deep
+    assert codec.untagged("<s_gt_parse><s_text_sequence>CD</n>2 /x</s_text_sequence></s_gt_parse>") == {"gt_parse": {"text_sequence": "CD</n>2 /x"}}
+    # broken: a tag without its end is passed over, an end without its tag is text, an item ends what it holds
+    assert codec.untagged("<s_a>x<s_b>y</s_a>") == {"a": "x<s_b>y"}
+    assert codec.untagged("<s_a><s_b><s_c>1</s_c></s_a><s_d>2</s_d>") == {"a": {"c": "1"}, "d": "2"}
+    assert codec.untagged("<s_a>1</s_b></s_a> between <s_b>2</s_b><sep/>") == [{"a": "1</s_b>", "b": "2"}]
+    assert codec.untagged("<s_a><s_a>x</s_a></s_a>") == {"a": "<s_a>x"}
+    assert codec.untagged("<s_a><s_b>x</s_c></s_a><s_d>1\n2</s_d>") == {"d": "1\n2"}
+    assert codec.untagged("<s_A>1</s_a>") == {"A": "1"} and codec.untagged("<s_b>open") == {"text_sequence": "open"}
+    assert len(codec.untagged("<s_a>" * 100_000 + "x" + "<s_b>" * 100_000)["text_sequence"]) == 1
     assert codec.tags({"b": None, "a": True}) == "<s_a>True</s_a><s_b>None</s_b>"
     assert one(spark, codec.flat_tags(F.lit('{"b": null, "a": "1"}'))) == "<s_a>1</s_a><s_b>None</s_b>"
 
@@ -85,6 +96,10 @@ def test_loose_codec(spark):
     assert codec.loosened({"b": "1", "票": ""}, drop=frozenset({"x"})) == '{b:1,票:""}'
     assert one(spark, codec.loose_v1(F.lit(json.dumps({"b": "1", "票": ""}, ensure_ascii=False)))) == '{b:1,票:""}'
     assert codec.unloose("{") is None
+    assert codec.unloose("{a:1,b:[{c:x y},{c:z,d:{e:f}}],g:[]}") == {"a": "1", "b": [{"c": "x y"}, {"c": "z", "d": {"e": "f"}}], "g": []}
+    assert codec.unloose("{a:x,no colon,b: y }") == {"a": "x", "b": " y "} and codec.unloose("{a:(:x}") == {"a": "(: x"}
+    for broken in ("a:b", "{a:1:2}", "{a:}", "{a:x{b:y}}", "[a:b]", "{a:[b,c],d:e}", "{a:b}{c:d}", '{a:"}', "{a-b:c}", "{a:b]", "{{a:b}}", "{a:b,c:d,}", ""):
+        assert codec.unloose(broken) is None
 
 
 def test_key_functions():
