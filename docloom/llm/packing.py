@@ -18,6 +18,7 @@ import gc
 import itertools
 import os
 import re
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -54,7 +55,8 @@ class Encoder(dict):
     """Ids of a text by the tokenizer file at path.
 
     The ids of what stands between blanks follow from it alone. So stems (words without case and the marks after them)
-    are encoded many at a time and remembered as bytes, in a table of bounded size.
+    are encoded many at a time and remembered as bytes, in a table of bounded size. Texts that hold one of the
+    tokenizer's own marks (in any case) or odd white space are encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -66,7 +68,8 @@ class Encoder(dict):
 
             path = public_tokenizers.path(os.path.basename(path))
         self._own = Tokenizer.from_file(path)
-        self._own.encode_special_tokens = True
+        marks = [t.content for t in self._own.get_added_tokens_decoder().values()]
+        self._whole = "|".join([_ODD, *(f"(?i:{re.escape(m)})" for m in marks if m)])
         self._seen = np.zeros(SEEN, bool)
         self.clear()
         # lower-case letters of Latin-1 need neither normalising nor the pattern
@@ -102,12 +105,16 @@ class Encoder(dict):
         return of
 
     def _parted(self, words: Iterable[str]) -> Iterator[tuple[str, str, str]]:
-        """(word, stem, marks): a word is its stem and the punctuation after it, which the pattern always parts."""
+        """(word, stem, marks): a word is its stem and the punctuation after it.
+
+        The pattern parts them after a letter that stays one letter in lower case: any of ASCII, and others if the
+        normalised word is of letters (a capital I with a dot becomes an i and a mark that joins the punctuation).
+        """
         for w in words:
             stem, marks = w, ""
             if w[-1] in _MARKS:
                 stem = w.rstrip(_MARKS)
-                if stem and stem[-1].isalpha():
+                if stem and stem[-1].isalpha() and (stem[-1].isascii() or (max(stem) < "\u0530" and unicodedata.normalize("NFC", stem).lower().isalpha())):
                     marks = w[len(stem) :]
                 else:
                     stem = w
@@ -147,7 +154,7 @@ class Encoder(dict):
         Splitting and telling words apart is Arrow's; Python sees each distinct word once, ids are gathered by numpy.
         """
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _ODD)
+        odd = pc.match_substring_regex(texts, self._whole)
         words = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
         cuts, told = words.offsets.to_numpy(), words.flatten().dictionary_encode()
         own = self._words(told.dictionary.to_pylist())

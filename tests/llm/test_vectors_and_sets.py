@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from docloom.llm import ann, mixing, packing, queries, simhash, similar, topk
@@ -321,6 +322,15 @@ def encoder():
     return Encoder(public_tokenizers.path(TOKENIZER))
 
 
+@pytest.fixture(scope="module")
+def tokenizer():
+    """The file as it is, apart from the encoder."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+
+
 def check_packed(rows, wanted):
     """rows cover the ids of wanted (list of (doc_id, ids)) exactly, in sequences that are gapless and not too long."""
     expected = Counter()
@@ -342,10 +352,10 @@ def check_packed(rows, wanted):
     return seqs, docs, padding / max(total, 1)
 
 
-def test_packing_round_trip(spark, encoder):
+def test_packing_round_trip(spark, tokenizer):
     rows = queries.op8_order_preserving_packing(spark, DATA).collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    wanted = {d: np.array([*encoder._own.encode(t, add_special_tokens=False).ids, 2], "<u4") for d, t in docs.items()}
+    wanted = {d: np.array([*ids_of(tokenizer, t), 2], "<u4") for d, t in docs.items()}
     _, pieces, padding = check_packed(rows, wanted.items())
     assert padding < 0.01 and pieces.keys() == wanted.keys()
     for d, own in pieces.items():
@@ -357,14 +367,33 @@ def test_packing_round_trip(spark, encoder):
         assert at == len(wanted[d])
 
 
-def test_encoder_is_the_tokenizer(encoder):
-    odd_texts = ["", "  ", "İstanbul ΑΣ. Σ!! <|endoftext|> x's don't áb́. é,", "a\x1cb c d", "½. ³, x². 漢字。 ok?|| ...!!! 12.5, 3:4; _a_. naïve", "ﬁ. ẞ? ß!", "it's, we'll. 'tis they'd! O'Neil's", "👍🏽 👨‍👩‍👧. z", "A" * 300]
-    for _ in range(2):
-        flat, counts = encoder.ids(pa.array([*odd_texts, None]))
+def ids_of(tokenizer, text):
+    return tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def check_encoder(encoder, tokenizer, texts):
+    for _ in range(2):  # the second time words are remembered
+        flat, counts = encoder.ids(pa.array([*texts, None]))
         assert counts[-1] == 0
-        for t, ids in zip(odd_texts, np.split(flat, counts.cumsum())):
-            assert ids.tolist() == encoder._own.encode(t, add_special_tokens=False).ids
-        encoder.clear()
+        for t, ids in zip(texts, np.split(flat, counts.cumsum())):
+            assert ids.tolist() == ids_of(tokenizer, t), t
+
+
+def test_encoder_is_the_tokenizer(encoder, tokenizer):
+    odd_texts = ["", "  ", "İstanbul ΑΣ. Σ!! <|endoftext|> x's don't áb́. é,", "a\x1cb c d", "½. ³, x². 漢字。 ok?|| ...!!! 12.5, 3:4; _a_. naïve", "ﬁ. ẞ? ß!", "it's, we'll. 'tis they'd! O'Neil's", "👍🏽 👨‍👩‍👧. z", "A" * 300]
+    odd_texts += ["hello <|startoftext|> world", "<|ENDOFTEXT|>", "x<|StartOfText|>y.", "İ?", "Aİ?", "aİ.", "İ..", "ǰ. ẖ, ΐ! ΰ; և: ŉ?", "<|endoftext |>", "e\u0301. a\u0308? n\u0303", "Ⅳ. ª, º! µ? ß;"]
+    check_encoder(encoder, tokenizer, odd_texts)
+    encoder.clear()
+
+
+LETTERS = st.sampled_from("abcxyzABCIİıiſßẞΑΣσςΐΰάéÉñŉǅǆЖжїЙ漢字ªºµ") | st.characters(min_codepoint=0x00C0, max_codepoint=0x05FF)
+OTHERS = st.sampled_from([".", ",", "?", "!", "|", ";", ":", "'s", "'", " ", "  ", "\n", "\t", "1", "²", "\u0301", "\u0307", "\u0308", "\u0345", "<|startoftext|>", "<|endoftext|>", "<|", "|>", "<|EndOfText|>", "\u00a0", "\x1f", "\u200d", "👍🏽"])
+
+
+@settings(max_examples=600, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(LETTERS | OTHERS, max_size=14).map("".join), min_size=1, max_size=6))
+def test_encoder_is_the_tokenizer_on_any_text(encoder, tokenizer, texts):
+    check_encoder(encoder, tokenizer, texts)
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -387,9 +416,9 @@ def test_cuts_are_the_cheapest(seed):
     assert spent <= total
 
 
-def test_packing_odd_cases(spark, encoder):
+def test_packing_odd_cases(spark, tokenizer):
     rows = packing.packed(odd(spark), TOKENIZER).collect()
-    wanted = [(i, [*encoder._own.encode(t or "", add_special_tokens=False).ids, 2]) for i, t, *_ in odd_rows()]
+    wanted = [(i, [*ids_of(tokenizer, t), 2]) for i, t, *_ in odd_rows()]
     _, pieces, _ = check_packed(rows, wanted)
     tokens = Counter()
     for d, ids in wanted:
