@@ -1,6 +1,7 @@
 """Line dedup by site-relative frequency, in DataFrame expressions only.
 
-A line is boilerplate of a host if at least ``min_pages`` pages and over ``ratio`` of the host's pages contain it. Lines
+A line is boilerplate of a host if over ``ratio`` of the host's pages contain it and it is shared at all, that is on
+``min_pages`` pages: without that a host of one page, all of whose lines are on every page, would lose its text. Lines
 are compared by a digest after trimming blanks. Counts combine before their shuffle, so a line or host of any frequency
 is no hot task; only digests move. A host has at most (mean lines of its pages) / ratio such lines, so they fit in one
 row for each host; documents meet that row by host, broadcast where Spark finds the staged table small, else by a
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import distinct_name, staged
 
-RATIO, MIN_PAGES = 0.1, 5
+RATIO, MIN_PAGES = 0.1, 2
 
 
 def host_of(url: Column) -> Column:

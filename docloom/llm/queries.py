@@ -114,7 +114,7 @@ WITH lines AS (
 ), often AS (
   SELECT source, t, count(DISTINCT doc_id) AS n FROM lines WHERE t <> '' AND source IS NOT NULL GROUP BY source, t
 ), bad AS (
-  SELECT source, t FROM often JOIN pages USING (source) WHERE n >= 5 AND CAST(n AS DOUBLE) / pages > 0.1
+  SELECT source, t FROM often JOIN pages USING (source) WHERE n >= 2 AND CAST(n AS DOUBLE) / pages > 0.1
 ), kept AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (b.t IS NULL) AS text,
          CAST(count(b.t) AS INTEGER) AS dropped_lines
@@ -125,10 +125,9 @@ SELECT doc_id, dropped_lines, CAST(length(coalesce(text, '')) AS BIGINT) AS kept
 
 _MIXING_SQL = """
 WITH RECURSIVE c AS (
-  SELECT source AS key, count(*) AS n_rows FROM documents GROUP BY source
+  SELECT source AS key, count(*) AS n_rows, CAST(ceil(sqrt(CAST(count(*) AS DOUBLE)) * 100) AS BIGINT) AS root FROM documents GROUP BY source
 ), s AS (
-  SELECT key, n_rows, CAST(ceil(sqrt(CAST(n_rows AS DOUBLE)) * 100) AS BIGINT) AS q,
-         greatest(16, CAST(ceil(sum(n_rows) OVER () / 65536.0) AS BIGINT)) AS br,
+  SELECT key, n_rows, 16 AS br, CAST(greatest(1, (root * 512 + sum(root) OVER ()) // (2 * sum(root) OVER ())) AS BIGINT) AS q,
          CAST(row_number() OVER (ORDER BY key NULLS FIRST) - 1 AS BIGINT) AS s
   FROM c
 ), n AS (

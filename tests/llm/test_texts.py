@@ -258,12 +258,15 @@ def test_site_lines_match_brute_force(spark):
 
 def test_site_lines_odd_cases(spark):
     docs = odd(spark)
-    out = line_dedup.drop_boilerplate(docs, F.col("source"), min_pages=2)
+    out = line_dedup.drop_boilerplate(docs, F.col("source"))
     assert out.columns == [*docs.columns, "dropped_lines_"] and out.count() == len(odd_rows())
     assert out.filter("source IS NULL AND dropped_lines_ > 0").count() == 0
     same = spark.createDataFrame([(k, "foot", "h") for k in range(5)] + [(9, None, "h"), (10, "", "h"), (11, "own\nfoot", None)], "doc_id bigint, text string, source string")
     found = {r["doc_id"]: (r["text"], r["dropped_lines"]) for r in line_dedup.drop_boilerplate(same, F.col("source")).collect()}
     assert found[0] == ("", 1) and found[9] == (None, 0) and found[10] == ("", 0) and found[11] == ("own\nfoot", 0)
+    small = [(1, "foot\nown", "a"), (2, "foot\nother", "a"), (3, "alone\nhere", "b"), (4, "x\nfoot", "c"), (5, "y\nfoot", "c"), (6, "z\nfoot", "c"), (7, "w", "c")]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(spark.createDataFrame(small, "doc_id bigint, text string, source string"), F.col("source")).collect()}
+    assert found == {1: "own", 2: "other", 3: "alone\nhere", 4: "x", 5: "y", 6: "z", 7: "w"}
     assert line_dedup.drop_boilerplate(empty(spark), F.col("source")).count() == 0
 
 

@@ -1,8 +1,10 @@
 """SimHash, mixing, top-k, packing, neighbours and the pipeline: brute force, exact round trips and odd cases."""
 
 import itertools
+import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -252,11 +254,51 @@ def test_mixture_is_less_than_a_block_off(spark, seed):
     assert all(v <= 8 for v in sizes.values()) and sum(v < 8 for v in sizes.values()) <= len(sources)
 
 
-def test_mixture_blocks_grow_past_the_bound(spark):
-    df = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"))
-    out = mixing.mixed(df, block_rows=1, max_blocks=50).collect()
-    assert max(r["mix_slot"] for r in out) < 53
-    assert sorted(r["mix_position"] for r in out) == list(range(1000))
+def edf(sizes, weights, block_rows):
+    """(source, block): (slot, first row) by earliest deadline first over all blocks at once."""
+    n = {s: -(-r // block_rows) for s, r in sizes.items()}
+    gone = lambda s, j: sum(min(Fraction(weights[k] * j, weights[s]), n[k]) for k in n)
+    todo = [(math.ceil(gone(s, j + 1)), s, j, math.floor(gone(s, j))) for s in n for j in range(n[s])]
+    out, row = {}, 0
+    for slot in range(len(todo)):
+        pick = min(t for t in todo if t[3] <= slot)
+        todo.remove(pick)
+        _, s, j, _ = pick
+        out[s, j] = (slot, row)
+        row += min(block_rows, sizes[s] - j * block_rows)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_give_the_schedule_of_all_blocks(spark, seed):
+    rng = np.random.default_rng(20 + seed)
+    weights = {f"s{k}": int(rng.integers(1, 6)) for k in range(5)}
+    sizes = {s: int(rng.integers(1, 160)) for s in weights}
+    rows = [(k, s) for s, n in sizes.items() for k in range(n)]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id bigint, source string"), weights=weights, block_rows=3).collect()
+    expected = edf(sizes, weights, 3)
+    assert sorted(r["mix_position"] for r in out) == list(range(len(rows)))
+    for r in out:
+        slot, row = expected[r["source"], r["mix_block"]]
+        assert r["mix_slot"] == slot and row <= r["mix_position"] < row + 3
+
+
+def test_plan_does_not_grow_with_rows(spark):
+    def plan(rows):
+        sources = spark.createDataFrame([(k, a, n * rows, n * rows * 16 - k) for k, (a, n) in enumerate(((100, 7), (60, 5), (30, 9)))], "s int, a bigint, n bigint, rows bigint")
+        found = mixing.planned(sources).collect()
+        assert sum((r["upto"] - r["first"]) * 1 for r in found if r["s"] == 0 and r["j"] == 0) == -(-7 * rows // 100)
+        return len(found)
+
+    assert plan(10**9) <= 6 * 190 and plan(1000) <= 6 * 190
+
+
+def test_mixture_of_many_sources(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 600).cast("string").alias("source"))
+    out = mixing.mixed(df, block_rows=2).collect()
+    assert sorted(r["mix_position"] for r in out) == list(range(3000))
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in out)
+    assert len({(r["source"], r["mix_block"]): r["mix_slot"] for r in out}) == len({r["mix_slot"] for r in out}) == 1800
 
 
 def test_mixing_odd_cases(spark):
