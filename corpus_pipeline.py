@@ -19,7 +19,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose severity grade is likelier to be above 0 go."""
-    model = toxicity.fit(*toxicity.keyed(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(toxicity.keyed(docs), toxicity.graded(table(spark, sf_dir, "labels")))
     scored = toxicity.severity(docs, model)
     return scored.filter(~F.col(scored.columns[-1])).select(docs.columns)
 

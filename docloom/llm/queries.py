@@ -18,9 +18,9 @@ CRAWLED = "2024-01-01T00:00:00Z"
 
 
 def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, severity, grade, p_toxic, toxic for every document, fitted on labels.toxic."""
+    """doc_id, severity, grade, p_toxic, toxic for every document, fitted on the grades of labels."""
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(*toxicity.keyed(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(toxicity.keyed(docs), toxicity.graded(table(spark, sf_dir, "labels")))
     return toxicity.severity(docs.select("doc_id", "text"), model).drop("text")
 
 

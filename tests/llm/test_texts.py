@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from docloom.llm import line_dedup, quality, queries, substring_dedup, toxicity, warc
@@ -22,20 +24,74 @@ def texts(spark):
 # --- toxicity --------------------------------------------------------------------------------------------------------
 
 
+def plain_words(text):
+    return regex.findall(r"\p{L}+", (text or "").lower())
+
+
+def plain_features(text):
+    """{(kind, text): words that have it}, without any array."""
+    found = Counter()
+    for w in plain_words(text):
+        found.update([(0, w)] + [(n, w[:n]) for n in (4, 5, 6) if len(w) > n])
+    return found
+
+
+def plain_loss(x, grades, w, t, ridge=1e-6):
+    z = x @ w
+    cut = np.concatenate(([-np.inf], t, [np.inf]))
+    p = 1 / (1 + np.exp(-(cut[grades + 1] - z))) - 1 / (1 + np.exp(-(cut[grades] - z)))
+    return -np.log(p).mean() + ridge / 2 * (w @ w)
+
+
+def test_toxicity_matches_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.fit(toxicity.keyed(docs), toxicity.graded(labels))
+    held, grade = texts(spark), {r["doc_id"]: (1 + (r["quality"] == 0) if r["toxic"] else 0) for r in labels.collect()}
+    found = {d: plain_features(t) for d, t in held.items()}
+    seen = (Counter(), Counter())  # the features, from counts over all labelled rows
+    for d, g in grade.items():
+        seen[g > 0].update(found[d].keys())
+    clean, toxic = (sum((g > 0) == v for g in grade.values()) for v in (False, True))
+    n, chosen = clean + toxic, []
+    for f, a in seen[1].items():
+        b = seen[0][f]
+        chi = n * (a * (clean - b) - b * (toxic - a)) ** 2 / ((a + b) * (n - a - b + 1) * toxic * clean)
+        if a >= toxicity.SUPPORT and ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1)) >= toxicity.ODDS and chi >= toxicity.CHI:
+            chosen.append((-chi, f))
+    assert list(model.index) == [f for _, f in sorted(chosen)] and len(chosen) < toxicity.FEATURES
+    width, rows = len(model.index), {}
+    for d, own in found.items():
+        x, total = np.zeros(2 * width), len(plain_words(held[d]))
+        for f, k in model.index.items():
+            if own[f]:
+                x[k], x[width + k] = 1, min(1, 10 * own[f] / total)
+        rows[d] = x
+    out = {r["doc_id"]: r for r in queries.op1_ordinal_toxicity(spark, DATA).collect()}
+    assert len(model.thresholds) == max(grade.values()) == 2 and out.keys() == held.keys()
+    for d, x in rows.items():
+        p = 1 / (1 + np.exp(-(x @ model.weights - model.thresholds)))
+        assert np.isclose(out[d]["severity"], p.sum(), atol=1e-9) and np.isclose(out[d]["p_toxic"], p[0], atol=1e-9)
+        assert out[d]["grade"] == (p >= 0.5).sum() and out[d]["toxic"] == (p[0] >= 0.5)
+    ids = sorted(grade)
+    x, g = np.array([rows[d] for d in ids]), np.array([grade[d] for d in ids])
+    base = plain_loss(x, g, np.zeros(2 * width), np.array([np.log(clean / toxic), np.log((n - (g == 2).sum()) / (g == 2).sum())]))
+    assert plain_loss(x, g, model.weights, model.thresholds) < 0.5 * base
+
+
 def test_toxicity_finds_labelled_documents(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     rows = queries.op1_ordinal_toxicity(spark, DATA).collect()
     assert len(rows) == 1000
     pairs = Counter((labels[r["doc_id"]], r["toxic"]) for r in rows if r["doc_id"] in labels)
     assert pairs[0, True] == 0 and pairs[1, True] >= 0.6 * (pairs[1, True] + pairs[1, False])
-    assert all(0 <= r["severity"] <= toxicity.GRADES and r["toxic"] == (r["p_toxic"] >= 0.5) for r in rows)
+    assert all(0 <= r["severity"] <= 2 and r["toxic"] == (r["p_toxic"] >= 0.5) == (r["grade"] > 0) for r in rows)
 
 
 def test_toxicity_on_rows_not_fitted(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     seen = F.col("doc_id") % 4 != 0
-    model = toxicity.fit(*toxicity.keyed(docs, labels.filter(seen)))
+    model = toxicity.fit(toxicity.keyed(docs), toxicity.graded(labels.filter(seen)))
     found = toxicity.severity(docs.join(labels.filter(~seen).select("doc_id", F.col("toxic").alias("label")), "doc_id"), model).select("label", "toxic").collect()
     n = Counter((r["label"], r["toxic"]) for r in found)
     assert n[0, True] <= 0.005 * (n[0, True] + n[0, False]) and n[1, True] >= 0.85 * (n[1, True] + n[1, False])
@@ -49,18 +105,55 @@ def test_ordinal_fit_shares_weights_and_orders_thresholds():
     rows, cols = np.divmod(np.arange(6000), 2)
     w, t = toxicity.fit_ordinal(rows, cols, x.ravel(), grades, 2, steps=1500)
     assert np.allclose(w, [2, -1], atol=0.25) and np.allclose(t, [0, 1.5, 3], atol=0.3) and (np.diff(t) > 0).all()
+    least = plain_loss(x, grades, w, t)
+    for k in range(5):  # the least loss: it rises either way along each weight and threshold
+        for step in (-0.02, 0.02):
+            both = np.concatenate((w, t))
+            both[k] += step
+            assert plain_loss(x, grades, both[:2], both[2:]) > least
+
+
+def test_severity_grades_expect_what_texts_of_that_grade_have(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(900):  # severity shows in the words; the grades are given, with some noise
+        g = k % 4
+        words = [f"plain{x}" for x in rng.choice(list("abcdefgh"), 30)] + [f"mark{'uvw'[j]}" for j in range(3) if g > j and rng.random() < 0.9]
+        rows.append((k, " ".join(rng.permutation(words)), g))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, grade int")
+    model = toxicity.fit(toxicity.keyed(df), df.selectExpr("doc_id AS id", "grade").filter("id % 5 > 0"))
+    out = toxicity.severity(df.filter("doc_id % 5 = 0").withColumnRenamed("grade", "true"), model).groupBy("true").agg(F.avg("severity").alias("s")).orderBy("true").collect()
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+    assert (np.diff([r["s"] for r in out]) > 0.4).all() and out[0]["s"] < 0.3 and out[3]["s"] > 2.2
+
+
+def test_words_are_runs_of_letters():
+    held = ["", None, "  ", "É1é_a-b\n漢字 x", "ab'cd " * 3, "12 34"]
+    rows, at, words = toxicity.words_of(pa.array(held))
+    assert [[words[j] for k, j in zip(rows, at) if k == n] for n in range(len(held))] == [plain_words(t) for t in held]
 
 
 def test_toxicity_odd_cases(spark):
     docs = odd(spark)
-    labels = spark.createDataFrame([(5, 1), (7, 0), (8, 0), (6, 1), (None, 1), (2, None)], "doc_id bigint, toxic int")
-    for model in (None, toxicity.fit(*toxicity.keyed(docs, labels))):
-        out = toxicity.severity(docs, model)
+    labels = spark.createDataFrame([(5, 1, 1), (7, 0, 0), (8, 0, None), (6, 1, 0), (None, 1, 1), (2, None, 0), (6, 0, 1)], "doc_id bigint, toxic int, quality int")
+    assert sorted((r["id"], r["grade"]) for r in toxicity.graded(labels).collect()) == [(5, 1), (6, 0), (6, 2), (7, 0), (8, 0)]
+    assert {r["grade"] for r in toxicity.graded(labels.drop("quality")).collect()} == {0, 1}
+    model = toxicity.fit(toxicity.keyed(docs), toxicity.graded(labels))
+    assert len(model.thresholds) == 2
+    for m in (None, model):
+        out = toxicity.severity(docs, m)
         assert out.columns[: len(docs.columns)] == docs.columns and out.columns[-4:] == ["severity_", "grade_", "p_toxic_", "toxic_"]
         assert out.count() == len(odd_rows()) and out.filter("severity_ IS NULL").count() == 0
     assert toxicity.severity(empty(spark), None).count() == 0
-    assert toxicity.fit(*toxicity.keyed(empty(spark), labels)) is None
-    assert toxicity.fit(*toxicity.keyed(docs, labels.filter("toxic = 1"))) is None
+    assert toxicity.fit(toxicity.keyed(empty(spark)), toxicity.graded(labels)) is None
+    assert toxicity.fit(toxicity.keyed(docs), toxicity.graded(labels.filter("toxic = 1"))) is None
+
+
+def test_one_text_of_each_sampled_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 3}") for k in range(300)] + [(2, "other"), (3, None)], "id bigint, text string")
+    grades = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 1)], "id bigint, grade int")
+    assert toxicity._sampled(docs, grades, 10).count() == 3
+    assert toxicity._sampled(docs, grades, 1).count() <= 2
 
 
 # --- WARC ------------------------------------------------------------------------------------------------------------
