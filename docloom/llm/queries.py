@@ -25,10 +25,9 @@ def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The metadata and the conversion record of every page; blocks as their digests."""
+    """The metadata and the conversion record of every page, whole."""
     pages = table(spark, sf_dir, "pages")
-    found = warc.derive(warc.responses_of(pages, "page_id", "url", "html", CRAWLED), ["page_id"])
-    return found.drop("block", "date", "content_type")
+    return warc.derive(warc.responses_of(pages, "page_id", "url", "html", CRAWLED), ["page_id"])
 
 
 def op3_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

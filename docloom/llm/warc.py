@@ -3,27 +3,35 @@
 Every response gives two records that refer to it by its record id (WARC-Refers-To) and to each other
 (WARC-Concurrent-To). The metadata record keeps the response's WARC header, its digests, the HTTP status and headers as
 they came, and the page's title, metas and links; the conversion record is the page's text. It is one pass over the
-responses without a shuffle. Records are written as WARC files by Spark's own text writer, so any file system will do.
+responses without a shuffle. Files are read and written by Spark's own text source, so any file system will do: records
+are read one by one out of a stream, and each is written as a gzip member of its own, which can be read at its offset.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import json
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Bytes of records that a task holds before it hands them on.
+HELD = 1 << 23
+
 RESPONSE = "record_id string, target_uri string, date string, warc_headers string, http_status int, http_headers string, payload binary, block_digest string, payload_digest string"
 RECORD = "record_id string, record_type string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, content_length bigint, block_digest string, source_payload_digest string, link_count int, block string"
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>(.*?)(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: Where a tag ends, or a quoted value starts in which it doesn't.
+_TAG_END = re.compile(r"=[ \t\r\n\f]*([\"'])|>")
+#: Elements whose content is not part of the page, each with its end.
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "noscript", "template")}
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BREAKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 #: Attributes that hold links, by element.
@@ -40,21 +48,60 @@ def urn(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
 
 
+def _after_tag(page: str, at: int) -> int:
+    """The place after the tag whose inside goes on at `at`; the page's end if it has none, as browsers have it."""
+    while m := _TAG_END.search(page, at):
+        if not m[1]:
+            return m.end()
+        at = page.find(m[1], m.end()) + 1
+        if not at:
+            break
+    return len(page)
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of every piece of markup, in one pass.
+
+    Comments and declarations have no name; scripts and the like end after their closing tag.
+    """
+    at = 0
+    while (start := page.find("<", at)) >= 0:
+        m = _NAME.match(page, start)
+        if m:
+            name, closes = m[1].lower(), page[start + 1] == "/"
+            at = _after_tag(page, m.end())
+            told = page[m.end() : at - 1] if page[at - 1 : at] == ">" else page[m.end() : at]
+            if name in _RAW and not closes:
+                end = _RAW[name].search(page, at)
+                at = _after_tag(page, end.end()) if end else len(page)
+            yield start, at, name, closes, told
+        elif page.startswith("<!--", start):
+            at = page.find("-->", start + 4) + 3
+            at = at if at > 2 else len(page)
+            yield start, at, "", False, ""
+        elif page.startswith(("<!", "<?", "</"), start):
+            at = page.find(">", start) + 1 or len(page)
+            yield start, at, "", False, ""
+        else:  # a bare character
+            at = start + 1
+
+
 def extract(page: str) -> tuple[str, str | None, list[dict[str, str]], list[dict[str, str]]]:
-    """(text, title, metas, links) of a page: a line for each block, blanks collapsed, scripts and comments left out."""
+    """(text, title, metas, links) of a page: a line for each block, blanks collapsed, scripts and comments left out.
+
+    Time is linear in the page, whatever it holds; a tag that is never closed takes the rest of the page.
+    """
     out, metas, links, at = [], [], [], 0
     title, in_title, anchor = None, None, None
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            out.append(page[at : m.start()])
-        at = m.end()
-        name = (m[4] or m[1] or "").lower()
+    for start, end, name, closes, told in _tokens(page):
+        if start > at:
+            out.append(page[at:start])
+        at = end
         if not name:
             continue
-        raw = m[5] if m[4] else m[0][: m[0].find(">")].split(None, 1)[1] if re.match(r"<\w+\s", m[0]) else ""
-        if m[4] and name in _BREAKS:
+        if name in _BREAKS:
             out.append("\n")
-        if m[3]:
+        if closes:
             if name == "title" and in_title is not None and title is None:
                 title = " ".join(html.unescape("".join(out[in_title:])).split())
                 in_title = None
@@ -62,10 +109,10 @@ def extract(page: str) -> tuple[str, str | None, list[dict[str, str]], list[dict
                 anchor[0]["text"] = " ".join(html.unescape("".join(out[anchor[1] :])).split())
                 anchor = None
             continue
-        if name == "title" and title is None:
+        if name == "title" and title is None and in_title is None:
             in_title = len(out)
         elif name == "meta" or name in _LINKS:
-            held = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(raw or "")}
+            held = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(told)}
             if name == "meta":
                 metas.append(held)
             elif _LINKS[name] in held:
@@ -117,35 +164,43 @@ def derive(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:
     held = [f"held_{k}" for k in range(len(keep))]
     wanted = responses.select(*[F.col(c) for c in own], *[F.col(c).alias(h) for c, h in zip(keep, held)])
 
+    names = [f.strip().split(" ")[0] for f in RECORD.split(",")]
+    types = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string()]
+
+    def records(r: dict) -> Iterator[tuple]:
+        payload = r["payload"] or b""
+        http = _headers(r["http_headers"])
+        text, title, metas, links = extract(payload.decode(_charset(http, payload), "replace"))
+        source = r["payload_digest"] or digest(payload)
+        head = f"HTTP/1.1 {r['http_status']}\r\n{r['http_headers'] or ''}\r\n\r\n".encode()
+        whole = {
+            "Envelope": {
+                "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": r["record_id"], "WARC-Target-URI": r["target_uri"], "WARC-Date": r["date"], **dict(_headers(r["warc_headers"]))},
+                "Block-Digest": r["block_digest"] or digest(head + payload),
+                "Payload-Metadata": {
+                    "Payload-Digest": source,
+                    "Payload-Length": len(payload),
+                    "HTTP-Response-Metadata": {"Status": r["http_status"], "Headers": http, "HTML-Metadata": {"Title": title, "Metas": metas, "Links": links}},
+                },
+            }
+        }
+        ids = [urn(r["record_id"] or "", kind) for kind in ("metadata", "conversion")]
+        for k, (kind, content, block) in enumerate((("metadata", "application/json", json.dumps(whole, ensure_ascii=False)), ("conversion", "text/plain", text))):
+            data = block.encode("utf-8", "replace")
+            yield (ids[k], kind, r["record_id"], ids[1 - k], r["target_uri"], r["date"], content, len(data), digest(data), source, len(links), data.decode())
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for r in b.select(own).to_pylist():
-                payload = r["payload"] or b""
-                http = _headers(r["http_headers"])
-                text, title, metas, links = extract(payload.decode(_charset(http, payload), "replace"))
-                source = r["payload_digest"] or digest(payload)
-                head = f"HTTP/1.1 {r['http_status']}\r\n{r['http_headers'] or ''}\r\n\r\n".encode()
-                whole = {
-                    "Envelope": {
-                        "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": r["record_id"], "WARC-Target-URI": r["target_uri"], "WARC-Date": r["date"], **dict(_headers(r["warc_headers"]))},
-                        "Block-Digest": r["block_digest"] or digest(head + payload),
-                        "Payload-Metadata": {
-                            "Payload-Digest": source,
-                            "Payload-Length": len(payload),
-                            "HTTP-Response-Metadata": {"Status": r["http_status"], "Headers": http, "HTML-Metadata": {"Title": title, "Metas": metas, "Links": links}},
-                        },
-                    }
-                }
-                ids = [urn(r["record_id"] or "", kind) for kind in ("metadata", "conversion")]
-                for k, (kind, content, block) in enumerate((("metadata", "application/json", json.dumps(whole, ensure_ascii=False)), ("conversion", "text/plain", text))):
-                    data = block.encode("utf-8", "replace")
-                    rows.append((ids[k], kind, r["record_id"], ids[1 - k], r["target_uri"], r["date"], content, len(data), digest(data), source, len(links), data.decode()))
-            cols = list(zip(*rows)) or [()] * 12
-            types = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string()]
-            twice = pa.array([k for k in range(b.num_rows) for _ in range(2)], pa.int64())
-            kept = [b.column(h).take(twice) for h in held]
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(cols, types)]], [*held, *[f.strip().split(" ")[0] for f in RECORD.split(",")]])
+            rows, places, size = [], [], 0
+            for k in range(b.num_rows):
+                for found in records(b.slice(k, 1).select(own).to_pylist()[0]):
+                    rows.append(found)
+                    places.append(k)
+                    size += found[7]
+                if rows and (size >= HELD or k == b.num_rows - 1):
+                    kept = [b.column(h).take(pa.array(places, pa.int64())) for h in held]
+                    yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], [*held, *names])
+                    rows, places, size = [], [], 0
 
     from pyspark.sql import types as T
 
@@ -155,61 +210,126 @@ def derive(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def record_text(df: DataFrame) -> Column:
-    """A record as WARC text, without the two line ends that close it."""
+    """A record as WARC text, without the two line ends that close it. The payload digest is the source's."""
     line = lambda name, c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit("\r\n")))
     return F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: "), F.col("record_type"), F.lit("\r\n"),
         line("WARC-Record-ID", "record_id"), line("WARC-Refers-To", "refers_to"), line("WARC-Concurrent-To", "concurrent_to"),
-        line("WARC-Target-URI", "target_uri"), line("WARC-Date", "date"), line("WARC-Block-Digest", "block_digest"), line("Content-Type", "content_type"),
+        line("WARC-Target-URI", "target_uri"), line("WARC-Date", "date"), line("WARC-Block-Digest", "block_digest"),
+        line("WARC-Payload-Digest", "source_payload_digest"), line("Content-Type", "content_type"),
         F.lit("Content-Length: "), F.col("content_length").cast("string"), F.lit("\r\n\r\n"), F.col("block"),
     )
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Files of gzipped WARC records under path, one for each partition."""
-    records.select(record_text(records).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+#: A gzip member of nothing.
+_NOTHING = gzip.compress(b"", mtime=0)
 
 
-def _members(data: bytes) -> bytes:
-    """The bytes of a file, its gzip members joined if it has any."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        unzip = zlib.decompressobj(31)
-        out.append(unzip.decompress(data) + unzip.flush())
-        data = unzip.unused_data
-    return b"".join(out) or data
+def _member(record: str) -> bytes:
+    """A gzip member of the record, without its last byte, which is zero.
 
+    That byte is the high one of the length; after a record of 16 MB or more a member of nothing follows.
+    """
+    packed = gzip.compress(record.encode("utf-8", "surrogatepass") + b"\r\n\r\n", mtime=0)
+    return packed[:-1] if not packed[-1] else packed + _NOTHING[:-1]
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of each record of a WARC file."""
-    data, at = _members(data), 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = dict(_headers(data[at:end].decode("utf-8", "replace").partition("\r\n")[2]))
-        n = int(next((v for k, v in head.items() if k.lower() == "content-length"), 0))
-        yield head, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+
+def write_warc(records: DataFrame, path: str) -> None:
+    """Files of WARC records under path, one for each partition, named *.warc.gz: each record is a gzip member.
+
+    Members are bytes that the text writer passes through; the zero byte that ends each is its line separator.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                yield pa.RecordBatch.from_arrays([pa.array([_member(x) for x in b.column(0).slice(k, 64).to_pylist()], pa.binary())], ["value"])
+
+    spark = records.sparkSession
+    packed = records.select(record_text(records).alias("value")).mapInArrow(each, "value binary")
+    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in system.listStatus(folder):  # names only
+        name = found.getPath().getName()
+        if name.endswith(".txt"):
+            system.rename(found.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name[:-4] + ".warc.gz"))
+
+
+_MARK = b"WARC/1."
+
+
+class _Records:
+    """Records out of the stretches between marks. A block that holds a mark goes on in the next stretch."""
+
+    def __init__(self) -> None:
+        self.parts: list[bytes] = []
+        self.missing = 0
+
+    def add(self, stretch: bytes) -> tuple[dict[str, str], bytes] | None:
+        """The record that is complete with this stretch."""
+        if self.parts:
+            self.parts.append(_MARK + stretch)
+            self.missing -= len(_MARK) + len(stretch)
+        else:
+            end = stretch.find(b"\r\n\r\n")
+            if end < 0:
+                return None  # what stands before the first mark
+            n = next((v for k, v in _headers(stretch[:end].decode("utf-8", "replace")) if k.lower() == "content-length"), "0")
+            self.parts, self.missing = [stretch], end + 4 + (int(n) if n.isdigit() else 0) - len(stretch)
+        if self.missing > 0:
+            return None
+        data, self.parts = b"".join(self.parts), []
+        top, _, block = data.partition(b"\r\n\r\n")
+        head = dict(_headers(top.decode("utf-8", "replace").partition("\r\n")[2]))
+        n = next((v for k, v in head.items() if k.lower() == "content-length"), "0")
+        return head, block[: int(n) if n.isdigit() else 0]
+
+
+def parse_warc(stretches: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header, block) of each record, from what stands between the marks of a file, in its order.
+
+    A record that the file cuts off is left out.
+    """
+    open_record = _Records()
+    for stretch in stretches:
+        if found := open_record.add(stretch):
+            yield found
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """The response records (see RESPONSE) of the WARC files at path, one task for each file or more."""
+    """The response records (see RESPONSE) of the WARC files at path, packed by record, as a whole, or not at all.
+
+    The text reader unpacks a file as a stream and hands out what stands between marks, so a task holds a few records
+    and not the file. A file that isn't packed may be read in parts by several tasks; a mark inside a block is told
+    from a record's unless a part begins between the two.
+    """
+    names = [f.strip().split(" ")[0] for f in RESPONSE.split(",")]
+    types = [pa.string()] * 4 + [pa.int32(), pa.string(), pa.binary(), pa.string(), pa.string()]
+
+    def response(head: dict[str, str], block: bytes) -> tuple:
+        top, _, payload = block.partition(b"\r\n\r\n")
+        status, _, lines = top.decode("latin-1").partition("\r\n")
+        code = re.match(r"HTTP/\S+ (\d+)", status)
+        return (head.get("WARC-Record-ID"), head.get("WARC-Target-URI"), head.get("WARC-Date"), "\r\n".join(f"{k}: {v}" for k, v in head.items()), int(code[1]) if code else None, lines, payload, head.get("WARC-Block-Digest") or digest(block), head.get("WARC-Payload-Digest") or digest(payload))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.strip().split(" ")[0] for f in RESPONSE.split(",")]
-        types = [pa.string()] * 4 + [pa.int32(), pa.string(), pa.binary(), pa.string(), pa.string()]
+        file, own, rows, size = None, _Records(), [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         for b in batches:
-            for data in b.column(0):
-                rows = []
-                for head, block in parse_warc(data.as_py()):
-                    if head.get("WARC-Type") != "response":
-                        continue
-                    top, _, payload = block.partition(b"\r\n\r\n")
-                    status, _, lines = top.decode("latin-1").partition("\r\n")
-                    code = re.match(r"HTTP/\S+ (\d+)", status)
-                    rows.append((head.get("WARC-Record-ID"), head.get("WARC-Target-URI"), head.get("WARC-Date"), "\r\n".join(f"{k}: {v}" for k, v in head.items()), int(code[1]) if code else None, lines, payload, head.get("WARC-Block-Digest") or digest(block), head.get("WARC-Payload-Digest") or digest(payload)))
-                cols = list(zip(*rows)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(each, RESPONSE)
+            for at, stretch in zip(b.column(0), b.column(1)):
+                if at.as_py() != file:
+                    file, own = at.as_py(), _Records()
+                found = own.add(stretch.as_py())
+                if found and found[0].get("WARC-Type") == "response":
+                    rows.append(response(*found))
+                    size += len(found[1])
+                    if size >= HELD:
+                        yield out()
+                        rows, size = [], 0
+        if rows:
+            yield out()
+
+    part = F.concat_ws(" ", F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string"))
+    return spark.read.option("lineSep", _MARK.decode()).text(path).select(part.alias("file"), F.col("value").cast("binary").alias("stretch")).mapInArrow(each, RESPONSE)

@@ -1,6 +1,9 @@
 """Toxicity, WARC, substring dedup, line dedup and quality: brute force, held-out accuracy and odd cases."""
 
+import gzip
 import json
+import time
+import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
@@ -214,20 +217,64 @@ def test_warc_derivatives_match_another_parser(spark):
             assert r["block_digest"] == warc.digest(r["block"].encode()) and r["content_length"] == len(r["block"].encode())
 
 
+def members(data):
+    """The gzip members of a file, each unpacked."""
+    while data:
+        unzip = zlib.decompressobj(31)
+        yield unzip.decompress(data) + unzip.flush()
+        data = unzip.unused_data
+
+
 def test_warc_files_round_trip(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "http://x/é", "<p>é&amp;<a href='/y'>z</a>")], "page_id bigint, url string, html string")
+    pages = spark.createDataFrame([(1, "http://x/é", "<p>é&amp;<a href='/y'>z</a>"), (2, "http://y", "<p>two")], "page_id bigint, url string, html string").coalesce(1)
     records = warc.derive(warc.responses_of(pages, "page_id", "url", "html", "2024-01-01T00:00:00Z"))
     warc.write_warc(records, f"{tmp_path}/w")
-    found = [x for f in (tmp_path / "w").glob("*.gz") for x in warc.parse_warc(f.read_bytes())]
-    assert [h["WARC-Type"] for h, _ in found] == ["metadata", "conversion"]
+    (file,) = (tmp_path / "w").glob("*.warc.gz")
+    whole = list(members(file.read_bytes()))
+    assert len(whole) == 4 and all(m.startswith(b"WARC/1.0\r\n") and m.endswith(b"\r\n\r\n") for m in whole)
+    found = list(warc.parse_warc(b"".join(whole).split(b"WARC/1.")))
+    assert [h["WARC-Type"] for h, _ in found] == ["metadata", "conversion"] * 2
     assert all(len(b) == int(h["Content-Length"]) and warc.digest(b) == h["WARC-Block-Digest"] for h, b in found)
-    assert found[1][1].decode() == "é&z"
-    http = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html; charset=latin-1\r\n\r\n<p>\xe9"
-    raw = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://x\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:KEPT\r\nContent-Length: %d\r\n\r\n%s\r\n\r\nWARC/1.0\r\nWARC-Type: request\r\nContent-Length: 0\r\n\r\n\r\n\r\n" % (len(http), http)
-    (tmp_path / "in.warc").write_bytes(raw)
-    rows = {r["record_type"]: r for r in warc.derive(warc.read_responses(spark, f"{tmp_path}/in.warc")).collect()}
-    assert rows["conversion"]["block"] == "é" and rows["conversion"]["refers_to"] == "<urn:uuid:1>"
-    assert rows["metadata"]["source_payload_digest"] == "sha1:KEPT" and json.loads(rows["metadata"]["block"])["Envelope"]["WARC-Header-Metadata"]["WARC-Payload-Digest"] == "sha1:KEPT"
+    assert found[1][1].decode() == "é&z" and found[1][0]["WARC-Payload-Digest"] == warc.digest("<p>é&amp;<a href='/y'>z</a>".encode())
+    http = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html; charset=latin-1\r\n\r\n<p>\xe9 WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\n"
+    raw = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://x\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:KEPT\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(http), http)
+    other = b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    cut = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nHTTP/1.1 200"
+    for name, data in (("in.warc", raw + other + cut), ("one.warc.gz", gzip.compress(raw + other + raw)), ("many.warc.gz", gzip.compress(raw) + gzip.compress(other) + gzip.compress(raw))):
+        (tmp_path / name).write_bytes(data)
+        held = warc.read_responses(spark, f"{tmp_path}/{name}").collect()
+        assert [bytes(r["payload"]) for r in held] == [http.partition(b"\r\n\r\n")[2]] * (1 if name == "in.warc" else 2)
+        rows = {r["record_type"]: r for r in warc.derive(warc.read_responses(spark, f"{tmp_path}/{name}")).collect()}
+        assert rows["conversion"]["block"].startswith("é WARC/1.0") and rows["conversion"]["refers_to"] == "<urn:uuid:1>"
+        assert rows["metadata"]["source_payload_digest"] == "sha1:KEPT" and json.loads(rows["metadata"]["block"])["Envelope"]["WARC-Header-Metadata"]["WARC-Payload-Digest"] == "sha1:KEPT"
+
+
+def test_warc_members_of_large_records():
+    for text in ("x", "y" * ((1 << 24) + 5)):
+        assert b"".join(members(warc._member(text) + b"\0")) == text.encode() + b"\r\n\r\n"
+
+
+def test_warc_files_are_read_as_a_stream(spark, tmp_path):
+    """200 MB of responses in a file of a few hundred kB; no task holds more than some records."""
+    block = b"HTTP/1.1 200 OK\r\n\r\n<p>" + b"word " * 200_000
+    one = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block))
+    (tmp_path / "big.warc.gz").write_bytes(one * 200)
+
+    def most(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(x.nbytes for x in batches)])], ["most"])
+
+    found = warc.read_responses(spark, f"{tmp_path}/big.warc.gz")
+    assert found.count() == 200 and found.mapInArrow(most, "most bigint").agg(F.max("most")).collect()[0][0] < 70 << 20
+
+
+def test_hostile_pages_take_linear_time():
+    for piece in ("<a ", "<", "<a href=\"", "<a b='", "</", "<!--", "<!", "<script ", "<script>", "</script", "<a =", "= ", "<title>", "<a><a href=x>", "&", "<a \"'"):
+        page = piece * (1_000_000 // len(piece))
+        began = time.perf_counter()
+        warc.extract(page)
+        assert time.perf_counter() - began < 5, piece
+    began = time.perf_counter()
+    assert warc.extract("text <a " + "<a " * 330_000)[0] == "text" and time.perf_counter() - began < 1
 
 
 def test_warc_odd_cases(spark):
