@@ -19,6 +19,8 @@ from . import blocks
 
 #: Rows that codebooks are fitted on at most, dimensions to a code, its centres, rounds of fitting and of encoding.
 SAMPLE, WIDTH, CENTRES, ROUNDS, PASSES = 20_000, 2, 16, 8, 2
+#: Rows that are encoded together.
+ENCODED = 4096
 #: Inner products below this share of |x| do not count as worth finding; it sets the weight of the parallel residual.
 THRESHOLD = 0.2
 #: Candidates of a block that are ranked first for each query; their k-th distance bounds which others are ranked too.
@@ -36,8 +38,7 @@ class Codebooks:
         pick = rng.choice(len(x), CENTRES, replace=len(x) < CENTRES)
         self.centres = parts[pick].transpose(1, 0, 2).copy() + rng.normal(0, 1e-9, (parts.shape[1], CENTRES, WIDTH))
         for _ in range(ROUNDS):
-            codes = self.encode(x)
-            self._fit(parts, codes)
+            self._fit(parts, np.concatenate([self.encode(x[k : k + ENCODED]) for k in range(0, len(x), ENCODED)], 1))
 
     def _split(self, x: np.ndarray) -> np.ndarray:
         """(rows, codes, WIDTH), padded by zeros."""
@@ -84,8 +85,8 @@ class Codebooks:
     def packed(self, x: np.ndarray) -> bytes:
         """Two codes to a byte, (pairs, rows)."""
         pieces = []
-        for k in range(0, len(x), 8192):
-            codes = self.encode(x[k : k + 8192])
+        for k in range(0, len(x), ENCODED):
+            codes = self.encode(x[k : k + ENCODED])
             if len(codes) % 2:
                 codes = np.concatenate((codes, np.zeros_like(codes[:1])))
             pieces.append(codes[::2] | codes[1::2] << 4)
@@ -156,10 +157,10 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     their own length. Repeated rows are candidates one by one and one query together. An empty table gives no rows.
     """
     rows = blocks.usable(df, id_col, vector_col, zero=False)
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    by: dict[int, list] = {}
-    for r in drawn:
-        by.setdefault(len(r["vector"]), []).append(r["vector"])
-    books = {dim: Codebooks(np.array(v, np.float64)) for dim, v in by.items()}
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()["vector"].combine_chunks()
+    dims = np.diff(drawn.offsets.to_numpy()) if len(drawn) else np.zeros(0, np.int64)
+    flat = drawn.flatten().to_numpy(zero_copy_only=False).astype(np.float64) if len(drawn) else np.zeros(0)
+    by = {dim: flat[np.repeat(dims == dim, dims)].reshape(-1, dim) for dim in np.unique(dims).tolist()}
+    books = {dim: Codebooks(v) for dim, v in by.items()}
     encode = lambda x: books[x.shape[1]].packed(x) if x.shape[1] in books else b""
     return blocks.nearest(rows, rows.filter(F.col("id") % every == 0), search(books, k, rerank), k, "double", lambda s: s.asc(), encode)

@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Rows of a block of candidates (least and most) and of queries.
+#: Rows of a block of candidates (least and most) and of queries; fewer where their vectors would take more bytes.
 LEAST, MOST, QUERIES = 8192, 65536, 2048
+#: Bytes of the vectors of a block of candidates and of queries.
+BYTES, QUERY_BYTES = 1 << 25, 1 << 22
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
@@ -30,8 +32,8 @@ def usable(df: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame
     return rows if zero else rows.filter(F.exists(v, lambda x: x != 0))
 
 
-def _packed(batches: Iterator[pa.RecordBatch], encode: Callable[[np.ndarray], bytes] | None, most: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """(dimensions, ids, vectors, code) in blocks of at most `most` rows; vectors: float64, row by row."""
+def _packed(batches: Iterator[pa.RecordBatch], encode: Callable[[np.ndarray], bytes] | None, rows: int, size: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(dimensions, ids, vectors, code) in blocks of at most so many rows and bytes of vectors, which are float64, row by row."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def out(dim: int) -> tuple[int, bytes, bytes, bytes]:
@@ -46,10 +48,11 @@ def _packed(batches: Iterator[pa.RecordBatch], encode: Callable[[np.ndarray], by
         for dim in np.unique(dims).tolist():
             own = np.flatnonzero(dims == dim)
             x = flat.reshape(-1, dim) if len(own) == len(dims) and dim else flat[np.repeat(dims == dim, dims)].reshape(len(own), dim)
+            most = max(1, min(rows, size // (8 * max(dim, 1))))
             for k in range(0, len(own), most):
-                held.setdefault(dim, []).append((ids[own[k : k + most]], x[k : k + most]))
-                if sum(len(p[0]) for p in held[dim]) >= most:
+                if dim in held and sum(len(p[0]) for p in held[dim]) + min(most, len(own) - k) > most:
                     yield out(dim)
+                held.setdefault(dim, []).append((ids[own[k : k + most]], x[k : k + most]))
     for dim in list(held):
         yield out(dim)
 
@@ -72,18 +75,18 @@ def nearest(
     candidates in the block and their scores: at least the block's k best among them, own id left out.
     A vector meets vectors of its own length only. Query rows alike in id and vector count once.
     """
-    n = rows.count()
-    parts = max(1, -(-n // min(MOST, max(LEAST, n // 64))))
+    n, values = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector").cast("bigint")), F.lit(0))).collect()[0]
+    parts = max(1, -(-n // min(MOST, max(LEAST, n // 64))), -(-8 * values // BYTES))
 
     def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId()
-        for dim, ids, x, code in _packed(batches, encode, MOST):
+        for dim, ids, x, code in _packed(batches, encode, MOST, 2 * BYTES):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([dim], pa.int32()), *[pa.array([v], pa.binary()) for v in (ids, x, code)]], ["block", "kind", "dim", "ids", "vectors", "code"])
 
     def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for dim, ids, x, _ in _packed(batches, None, QUERIES):
+        for dim, ids, x, _ in _packed(batches, None, QUERIES, QUERY_BYTES):
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([1], pa.int32()), pa.array([dim], pa.int32()), *[pa.array([v], pa.binary()) for v in (ids, x, b"")]], ["block", "kind", "dim", "ids", "vectors", "code"])
 
     asked = queries.dropDuplicates(["id", "vector"]).coalesce(max(1, parts // 8)).mapInArrow(pack_queries, _ROW)

@@ -2,8 +2,8 @@
 
 Every whole text gives a row of statistics (lengths, kinds of characters, repetition). Cosines of random projections of
 the standardised statistics approximate a Gaussian kernel; ridge regression on them is fitted from normal equations
-that each partition sums over its labelled rows, so the driver gets a few matrices of a fixed size, whatever the number
-of labels. Scores become probabilities by isotonic regression over a fixed number of bins.
+that each partition sums over its labelled rows; SUMS tasks add those of all partitions, so the driver gets a few
+matrices of a fixed size, whatever the number of labels. Scores become probabilities by isotonic regression over a fixed number of bins.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import staged
+from .common import scratch, staged
 
-#: Fourier features, kernel width in standard deviations a statistic, ridge a row, partitions that sum, bins.
+#: Fourier features, kernel width in standard deviations a statistic, ridge a row, tasks that add up sums, bins.
 WIDTH, BANDWIDTH, RIDGE, SUMS, BINS = 384, 1.0, 1e-4, 16, 1000
 THRESHOLD = 0.3
 
@@ -100,7 +100,7 @@ class Fourier:
 
 
 def _summed(rows: DataFrame, of) -> np.ndarray | None:
-    """The sum over all rows of of(stats, labels), an array of fixed shape, from one array for each of SUMS partitions."""
+    """The sum over all rows of of(stats, labels), an array of fixed shape: one of each partition, added up by SUMS tasks."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -111,7 +111,14 @@ def _summed(rows: DataFrame, of) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    found = rows.coalesce(SUMS).mapInArrow(each, "total binary").collect()
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for one in (np.frombuffer(v.as_py(), np.float64) for b in batches for v in b.column(0)):
+            total = one.copy() if total is None else np.add(total, one, out=total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    found = rows.mapInArrow(each, "total binary").repartition(SUMS, F.xxhash64("total")).mapInArrow(added, "total binary").collect()
     return sum(np.frombuffer(r["total"], np.float64) for r in found) if found else None
 
 
@@ -177,10 +184,11 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Null and empty texts are scored by their statistics like others. Null labels are left out; repeated label rows count
     each. Without labels every score is 0.5. Repeated rows get equal scores; an empty table gives no rows.
     """
-    stats = staged(measured(docs, id_col, text_col))
-    known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("label")).filter("label IS NOT NULL")
-    train = staged(stats.filter(~F.col("held_out")).join(known, F.col("id") == F.col("label_id")).select("stats", "label"))
-    model = Model(train)
+    with scratch(docs.sparkSession) as keep:
+        stats = staged(measured(docs, id_col, text_col))
+        known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("label")).filter("label IS NOT NULL")
+        model = Model(staged(stats.filter(~F.col("held_out")).join(known, F.col("id") == F.col("label_id")).select("stats", "label")))
+        keep(stats)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -18,12 +18,15 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
-from .common import distinct_name, staged
+from .common import distinct_name, scratch, staged
 
+#: A unit's least words. With 1 every repeated line or sentence goes, as short as it may be.
 MIN_WORDS = 20
 _SENTENCE = re.compile(r"[.!?]+[ \t]+(?=\S)|[。！？]+[ \t]*(?=\S)")
 #: Characters that are words of their own: Han, kana, and the scripts of Thai, Lao, Burmese and Khmer.
@@ -101,7 +104,10 @@ def _occurrences(keyed: DataFrame, unit: str, min_words: int) -> DataFrame:
 
 
 def repeated_spans(keyed: DataFrame, unit: str, min_words: int) -> DataFrame:
-    """(no_id, id, print, spans): the spans of units that occur earlier; keyed: no_id, id, print, text."""
+    """(no_id, id, print, spans): what units that occur earlier cover; keyed: no_id, id, print, text.
+
+    Spans that touch or overlap are joined by windows over a document's sorted spans, in linear time.
+    """
     found = staged(_occurrences(keyed, unit, min_words))
     rank = F.struct("no_id", "id", "print", "start")
     groups = found.groupBy("d1", "d2").agg(F.min(F.struct(rank.alias("rank"), F.col("end").alias("end"))).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -109,26 +115,24 @@ def repeated_spans(keyed: DataFrame, unit: str, min_words: int) -> DataFrame:
     met = found.join(groups, (F.col("d1") == F.col("g1")) & (F.col("d2") == F.col("g2"))).filter(rank > F.col("first.rank"))
     same = F.struct("no_id", "id", "print").eqNullSafe(F.struct("first.rank.no_id", "first.rank.id", "first.rank.print"))
     begin = F.when(same, F.greatest("start", "first.end")).otherwise(F.col("start"))
-    return met.select("no_id", "id", "print", begin.alias("start"), "end").filter("start < end").groupBy("no_id", "id", "print").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    document = ["no_id", "id", "print"]
+    spans = met.select(*document, begin.alias("start"), "end").filter("start < end")
+    by = Window.partitionBy(*document).orderBy("start", "end")
+    apart = F.col("start") > F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    island = F.sum(F.col("apart").cast("bigint")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = spans.withColumn("apart", apart).withColumn("island", island).groupBy(*document, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return joined.groupBy(*document).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def merged(spans: Column) -> Column:
-    """Sorted spans with those that touch or overlap joined."""
-    first = F.transform(F.slice(spans, 1, 1), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return F.aggregate(
-        F.slice(spans, 2, F.greatest(F.size(spans) - 1, F.lit(0))),
-        F.struct(F.slice(first, 1, 0).alias("done"), F.element_at(first, 1).alias("last")),
-        lambda a, s: F.when(s["start"] <= a["last"]["end"], F.struct(a["done"].alias("done"), F.struct(a["last"]["start"].alias("start"), F.greatest(a["last"]["end"], s["end"]).alias("end")).alias("last")))
-        .otherwise(F.struct(F.concat(a["done"], F.array(a["last"])).alias("done"), F.struct(s["start"].alias("start"), s["end"].alias("end")).alias("last"))),
-        lambda a: F.concat(a["done"], F.array(a["last"])),
-    )
+@pandas_udf(T.StringType())
+def _kept(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else "".join(t[a:b] for a, b in zip([0, *e], [*s, len(t)])) for t, s, e in zip(text, begins, ends)], dtype=object)
 
 
 def kept(text: Column, spans: Column) -> Column:
-    """What is left of text outside the spans."""
-    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(spans, lambda s: s["end"]))
-    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(text).cast("bigint")))
-    return F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(text, a.cast("int") + 1, (b - a).cast("int"))), "")
+    """What is left of text outside the spans; null without spans, whose texts don't leave the JVM."""
+    part = lambda end: F.transform(spans, lambda s: s[end])
+    return _kept(F.when(spans.isNotNull(), text), part("start"), part("end"))
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS, spans_col: str = "removed_spans") -> DataFrame:
@@ -144,10 +148,12 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = distinct_name(df, spans_col)
     names = {c: distinct_name(df, f"key_{c}") for c in ("no_id", "id", "print")}
     key = {"no_id": F.col(id_col).isNull(), "id": F.col(id_col), "print": F.xxhash64(text)}
-    spans = repeated_spans(df.select(*[v.alias(k) for k, v in key.items()], text.alias("text")), unit, min_words)
-    spans = staged(spans.select(*[F.col(k).alias(f"{v}_") for k, v in names.items()], merged(F.col("spans")).alias("found_spans")))
+    with scratch(df.sparkSession) as keep:
+        spans = repeated_spans(df.select(*[v.alias(k) for k, v in key.items()], text.alias("text")), unit, min_words)
+        spans = staged(spans.select(*[F.col(k).alias(f"{v}_") for k, v in names.items()], F.col("spans").alias("found_spans")))
+        keep(spans)
     met = df.withColumns({names[k]: v for k, v in key.items()})
     met = met.join(spans, (met[names["no_id"]] == spans[f"{names['no_id']}_"]) & met[names["id"]].eqNullSafe(spans[f"{names['id']}_"]) & (met[names["print"]] == spans[f"{names['print']}_"]), "left")
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
-    cut = F.when(F.col("found_spans").isNull(), text).otherwise(kept(text, F.col("found_spans")))
+    cut = F.coalesce(kept(text, F.col("found_spans")), text)
     return met.select(*[cut.alias(c) if c == text_col else met[c] for c in df.columns], F.coalesce("found_spans", none).alias(out))

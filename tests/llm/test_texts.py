@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import math
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -349,6 +350,21 @@ def test_passages_across_short_lines_and_their_ends_are_found(spark):
     assert out[5] == "Before. Then two stops." and out[7] == "乙\n"
 
 
+def test_many_spans_of_one_document(spark):
+    line = lambda k: " ".join(f"w{k}x{j}" for j in range(21))
+    many = "\n".join(f"{line(k)}\nown {k}" for k in range(3000))
+    rows = [(1, "\n".join(f"{line(k)}\nother{k}" for k in range(3000))), (2, many)]
+    out = {r["doc_id"]: r for r in substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out[1]["text"] == rows[0][1] and out[2]["text"] == "\n".join(f"\nown {k}" for k in range(3000))
+    assert len(out[2]["removed_spans"]) == 3000
+
+
+def test_every_repeated_line_goes_without_a_floor(spark):
+    rows = [(1, "a\nb c\nd"), (2, "x\nb c\na"), (3, "")]
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), min_words=1).collect()}
+    assert out == {1: "a\nb c\nd", 2: "x\n\n", 3: ""}
+
+
 def test_units_cover_every_shared_run():
     rng = np.random.default_rng(4)
     for _ in range(200):
@@ -430,6 +446,85 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([a > b for a in good for b in bad]) >= 0.95 and np.mean([y == p for y, _, p in held]) >= 0.93
 
 
+def plain_statistics(text):
+    """The statistics in plain words, character by character."""
+    text = text or ""
+    raw = text.encode()
+    n, words, lines = max(len(raw), 1), text.split(), [x for x in text.split("\n") if x.strip()]
+    m = max(len(words), 1)
+    some = ".,;:'\"()-"
+    kinds = [lambda c: c >= 128, lambda c: 97 <= c <= 122, lambda c: 65 <= c <= 90, lambda c: 48 <= c <= 57, lambda c: c in b" \t", lambda c: c in b"\r\n", lambda c: chr(c) in some, lambda c: c in b"!?"]
+    kinds.append(lambda c: c < 128 and not chr(c).isalnum() and not chr(c).isspace() and chr(c) not in some + "!?")
+    freq = Counter(raw)
+    return [
+        *[sum(k * bool(f(c)) for c, k in freq.items()) / n for f in kinds],
+        -sum(k / n * math.log2(k / n) for k in freq.values()),
+        *[math.log1p(len(x)) for x in (raw, words, lines)],
+        len(raw) / m if words else 0,
+        math.sqrt(len(set(words)) / m),
+        len(set(words)) / math.sqrt(m),
+        max(Counter(words).values(), default=0) / m,
+        math.sqrt(sum(a == b for a, b in zip(words, words[1:])) / m),
+        sum(not w[-1].isalnum() for w in words) / m,
+        len(set(lines)) / max(len(lines), 1),
+        math.log1p(len(words) / max(len(lines), 1)),
+        sum(w.isupper() for w in words) / m,
+        sum(not any(c.isalnum() for c in w) for w in words if len(w) < 4) / m,
+    ]
+
+
+def test_quality_matches_brute_force(spark):
+    held = texts(spark)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    ids = sorted(held)
+    x = np.array([plain_statistics(held[d]) for d in ids])
+    fold = np.array([zlib.crc32(str(d).encode()) % 5 == 0 for d in ids])
+    use = np.array([d in labels for d in ids]) & ~fold
+    y = np.array([labels.get(d, 0) for d in ids], float)
+    mean, std = x[use].mean(0), x[use].std(0)
+    # the cosines, drawn as the operator draws them: the kernel's spectrum is a normal distribution
+    rng = np.random.default_rng(11)
+    w, b = rng.normal(0, 1 / math.sqrt(x.shape[1]), (x.shape[1], quality.WIDTH)), rng.uniform(0, 2 * math.pi, quality.WIDTH)
+    z = np.clip((x - mean) / np.where(std > 1e-9, std, 1), -6, 6)
+    phi = np.concatenate((np.cos(z @ w + b) * math.sqrt(2 / quality.WIDTH), np.ones((len(x), 1))), 1)
+    n = use.sum()
+    # ridge regression as least squares of an extended system
+    root = np.sqrt(np.concatenate((np.full(quality.WIDTH, quality.RIDGE * n + 1e-9), [1e-9])))
+    weights = np.linalg.lstsq(np.concatenate((phi[use], np.diag(root))), np.concatenate((y[use], np.zeros(len(root)))), rcond=None)[0]
+    raw = np.clip(phi @ weights, -0.5, 1.5)
+    # the best non-decreasing means of bins, by their definition: max over starts of min over ends
+    at = np.clip(((raw + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    bins = sorted(set(at[use]))
+    sums = [y[use & (at == k)].sum() + y[use].mean() * 1e-3 for k in bins]
+    counts = [(use & (at == k)).sum() + 1e-3 for k in bins]
+    means = [max(min(sum(sums[i : j + 1]) / sum(counts[i : j + 1]) for j in range(k, len(bins))) for i in range(k + 1)) for k in range(len(bins))]
+    score = 0.999 * np.interp((raw + 0.5) / 2 * quality.BINS - 0.5, bins, means) + 0.001 * (raw + 0.5) / 2
+    found = {r["doc_id"]: r for r in queries.op10_fourier_quality(spark, DATA).collect()}
+    apart = np.array([abs(found[d]["score"] - s) for d, s in zip(ids, score)])
+    assert found.keys() == held.keys() and (apart < 1e-5).mean() > 0.99  # a raw score at the edge of a bin may fall to either side
+    assert np.mean([found[d]["predicted"] == (s >= 0.3) for d, s in zip(ids, score)]) > 0.995
+    assert [found[d]["held_out"] for d in ids] == fold.tolist()
+
+
+def test_fourier_features_approximate_the_kernel():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, quality.STATISTICS))
+    phi = quality.Fourier(np.zeros(quality.STATISTICS), np.ones(quality.STATISTICS), width=20_000)(x)[:, :-1]
+    apart = np.square(x[:, None] - x[None]).sum(2)
+    assert np.abs(phi @ phi.T - np.exp(-apart / (2 * quality.STATISTICS))).max() < 0.04
+
+
+def test_sums_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(rng.normal(size=quality.STATISTICS).tolist(), float(k % 2)) for k in range(500)]
+    df = spark.createDataFrame(rows, "stats array<double>, label double")
+    of = lambda x, y: np.concatenate((x.T @ y, [len(x)]))
+    expected = of(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+    for n in (1, 7, 60):
+        assert np.allclose(quality._summed(df.repartition(n), of), expected)
+    assert quality._summed(df.limit(0), of) is None
+
+
 def test_isotonic_pools_falling_neighbours():
     assert quality.isotonic(np.array([1.0, 0, 2, 3]), np.array([2.0, 2, 2, 3])).tolist() == [0.25, 0.25, 1.0, 1.0]
     rng = np.random.default_rng(1)

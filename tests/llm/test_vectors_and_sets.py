@@ -341,6 +341,26 @@ def test_branch_and_bound_with_ties_and_large_values(size):
         assert ids[places].tolist() == ids[best].tolist() and scores.tolist() == s[best].tolist()
 
 
+def test_blocks_hold_bytes_not_rows(spark, monkeypatch):
+    from docloom.llm import blocks
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(-8, 8, (300, 500)) / 16
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(blocks, "BYTES", 1 << 17)  # 32 vectors
+    monkeypatch.setattr(blocks, "QUERY_BYTES", 1 << 14)
+    seen = [len(np.frombuffer(ids, np.int64)) for _, ids, _, _ in blocks._packed(iter(df.select("vec_id", "embedding").toArrow().to_batches()), None, blocks.MOST, 1 << 17)]
+    assert max(seen) == 32 and sum(seen) == 300
+    found = defaultdict(list)
+    for r in sorted(topk.top_k(df).collect(), key=lambda r: r["rank"]):
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    c = np.floor(x * 256).astype(int)
+    for q in range(0, 300, 50):
+        s = c @ c[q]
+        rest = np.array([k for k in range(300) if k != q])
+        assert found[q] == [(k, s[k]) for k in rest[np.lexsort((rest, -s[rest]))[:5]]]
+
+
 def test_top_k_odd_cases(spark):
     df = spark.createDataFrame(ODD_VECTORS, "vec_id bigint, embedding array<double>").withColumn("score", F.lit("x"))
     rows = topk.top_k(df, k=3).collect()
@@ -475,7 +495,12 @@ def test_packing_odd_cases(spark, tokenizer):
 # --- neighbours ------------------------------------------------------------------------------------------------------
 
 
-def test_neighbours_recall(spark):
+@pytest.mark.parametrize("rows_of_block", [65536, 150])
+def test_neighbours_recall(spark, monkeypatch, rows_of_block):
+    from docloom.llm import blocks
+
+    monkeypatch.setattr(blocks, "MOST", rows_of_block)
+    monkeypatch.setattr(blocks, "LEAST", min(blocks.LEAST, rows_of_block))
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
