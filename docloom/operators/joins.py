@@ -8,8 +8,11 @@ from .splits import running_total
 
 
 def paired(pred: DataFrame, gold: DataFrame, by: str) -> DataFrame:
-    """Predictions and truths of equal sample ids."""
-    return pred.join(gold, by)
+    """Predictions and truths of equal sample ids; a sample that one side lacks raises an error when it is read."""
+    met = pred.withColumn("left_", F.lit(True)).join(gold.withColumn("right_", F.lit(True)), by, "full_outer")
+    both = F.col("left_").isNotNull() & F.col("right_").isNotNull()
+    lone = F.raise_error(F.concat(F.lit("a sample without its counterpart: "), F.coalesce(F.col(by).cast("string"), F.lit("null")))).cast("boolean")
+    return met.filter(F.when(both, F.lit(True)).otherwise(lone)).drop("left_", "right_")
 
 
 def remaining(df: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
@@ -43,6 +46,24 @@ def gathered(ids: DataFrame, vectors: DataFrame, id_col: str) -> DataFrame:
     return ids.join(vectors, ids["old_id"] == vectors[id_col]).select("new_id", *[c for c in vectors.columns if c != id_col])
 
 
+def pruned_weights(new: DataFrame, old: DataFrame, tables: dict[str, DataFrame], id_col: str, update=None) -> dict[str, DataFrame]:
+    """Weight tables (embedding, output head) of a model under a smaller vocabulary.
+
+    new, old: (token, id). update(ids, tables) is the model's own rule, with ids as (new_id, old_id); without one every
+    table is gathered, as models without tied weights need it.
+    """
+    ids = vocabulary_map(new, old)
+    if update is not None:
+        return update(ids, tables)
+    return {name: gathered(ids, table, id_col) for name, table in tables.items()}
+
+
+def tied(ids: DataFrame, tables: dict[str, DataFrame], source: str = "embedding", id_col: str = "id") -> dict[str, DataFrame]:
+    """The update rule of a model whose tables are all the embedding."""
+    one = gathered(ids, tables[source], id_col)
+    return dict.fromkeys(tables, one)
+
+
 def sibling(path: Column, folder: str, to: str, suffix: str) -> Column:
     """The path of the file of the same name in a sibling folder, with another suffix."""
     return F.concat(F.regexp_replace(F.replace(path, F.lit(f"/{folder}/"), F.lit(f"/{to}/")), r"\.[^./]*$", ""), F.lit(suffix))

@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.functions import PandasUDFType
 
 from ..functions import codec, sequences as seq
+from .splits import numbered
 
 
 def target(truth: Column, eos: str = "</s>", sort: bool = True) -> Column:
@@ -89,13 +90,11 @@ def as_list(images: Column, depth: int) -> Column:
 
 def collated(rows: DataFrame, order: str, ids: str, size: int, pad: int, parts: str | None = None) -> DataFrame:
     """Rows with their batch number (by order, within parts) and ids, mask and positions left-padded to the batch's longest."""
-    w = Window.partitionBy(F.col(parts) if parts else F.lit(0)).orderBy(order)
-    keys = [F.col(parts)] if parts else []
-    numbered = rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
-    longest = F.max(F.size(ids)).over(Window.partitionBy(*keys, "batch"))
-    numbered = numbered.withColumn("longest_", longest)
+    keys = [parts] if parts else []
+    placed = numbered(rows, [order], keys, "batch").withColumn("batch", F.floor(F.col("batch") / size))
+    placed = placed.withColumn("longest_", F.max(F.size(ids)).over(Window.partitionBy(*keys, "batch")))
     n, x = F.col("longest_"), F.col(ids)
-    return numbered.select(*rows.columns, "batch", seq.left_padded(x, n, pad).alias("input_ids"), seq.attention_mask(x, n).alias("attention_mask"), seq.position_ids(x, n).alias("position_ids")).drop(*([] if ids != "input_ids" else [ids]))
+    return placed.select(*rows.columns, "batch", seq.left_padded(x, n, pad).alias("input_ids"), seq.attention_mask(x, n).alias("attention_mask"), seq.position_ids(x, n).alias("position_ids")).drop(*([] if ids != "input_ids" else [ids]))
 
 
 def multimodal_inputs(prompt: Column, answer: Column, pads: Column, bos: int, pad: int, eos: int) -> Column:

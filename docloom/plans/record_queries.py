@@ -90,10 +90,10 @@ def json_loose_v1(spark, sf):
     return _flat(spark, sf).select("o_orderkey", codec.loose_v1(F.col("doc")).alias("loose"))
 
 
-@query("json_unloose_v1")
+@query("json_unloose_v1", """SELECT o_orderkey, '{"key": "' || o_orderkey || '", "status": "' || o_orderstatus || '", "priority": "' || o_orderpriority || '"}' AS doc FROM orders""")
 def json_unloose_v1(spark, sf):
     back = codec.over_json(codec.unloose, parse=False, dump=True)
-    return json_loose_v1(spark, sf).select("o_orderkey", back(F.regexp_replace("loose", r"[{}]", "")).alias("doc"))
+    return json_loose_v1(spark, sf).select("o_orderkey", back(F.col("loose")).alias("doc"))
 
 
 _FIELDS = "map<string,string>"
@@ -142,17 +142,47 @@ def normalised_json(spark, sf):
     return _flat(spark, sf).select("o_orderkey", f(F.col("doc")).alias("doc"))
 
 
-@query("wrapped_truth", """SELECT item_id, '{"text_sequence":"' || text || '"}' AS truth FROM benchmark WHERE NOT regexp_matches(text, '["\\\\\\x00-\\x1f/]')""")
+@query("wrapped_truth", "SELECT item_id, CAST(json_object('text_sequence', text) AS VARCHAR) AS truth FROM benchmark")
 def wrapped_truth(spark, sf):
-    return table(spark, sf, "benchmark").filter(~F.col("text").rlike(r'["\\\x00-\x1f/]')).select("item_id", records.wrapped_truth(F.col("text")).alias("truth"))
-
-
-@query("wrapped_truth_all")
-def wrapped_truth_all(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", records.wrapped_truth(F.col("text")).alias("truth"))
 
 
-@query("field_f1")
+_COUNT = lambda c, t: f"(length({t}) - length(replace({t}, {c}, '')))"
+#: Greedy matching step by step: the state of a sample is the gold rows that are taken; a predicted row takes the free
+#: one that is most alike, the last of equals, and marks the first gold row of its value.
+_FIELD_F1_SQL = f"""
+WITH RECURSIVE l AS (SELECT o_orderkey AS o, l_linenumber AS n, o_orderstatus AS st, part, flag FROM ({_LINES_SQL})),
+gold AS (SELECT o, part, flag, row_number() OVER (PARTITION BY o ORDER BY n, part, flag) AS k FROM l),
+edited AS (SELECT o, n, CASE WHEN (o + n) % 5 = 0 THEN part || '0' ELSE part END AS part, flag FROM l WHERE o % 11 <> 0 AND (o + n) % 7 <> 0),
+pred AS (SELECT o, part, flag, row_number() OVER (PARTITION BY o ORDER BY n, part, flag) AS i FROM edited),
+there AS (SELECT DISTINCT o FROM pred),
+mine AS (SELECT o, i, part, flag FROM pred UNION ALL SELECT o, k, NULL, NULL FROM gold WHERE o NOT IN (SELECT o FROM there)),
+texts AS (SELECT m.o, m.i, g.k, min(g.k) OVER (PARTITION BY m.o, m.i, g.part, g.flag) AS mark, coalesce(m.part, '') || '-' || coalesce(m.flag, '') AS a, g.part || '-' || g.flag AS b,
+  CAST(coalesce(m.part = g.part, false) AS INTEGER) AS part_right, CAST(coalesce(m.flag = g.flag, false) AS INTEGER) AS flag_right FROM mine m JOIN gold g ON m.o = g.o),
+pairs AS (SELECT *, 2.0::DOUBLE * coalesce(list_sum(list_transform(list_distinct(string_split(a, '')), lambda c: least({_COUNT('c', 'a')}, {_COUNT('c', 'b')}))), 0) / (length(a) + length(b)) AS alike FROM texts),
+steps AS (
+  SELECT o, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS STRUCT(s DOUBLE, k BIGINT, mark BIGINT, p INTEGER, f INTEGER)) AS best FROM (SELECT DISTINCT o FROM mine)
+  UNION ALL
+  SELECT o, i + 1, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.mark) END, b FROM (
+    SELECT s.o, s.i, s.used, max({{'s': p.alike, 'k': p.k, 'mark': p.mark, 'p': p.part_right, 'f': p.flag_right}}) FILTER (NOT list_contains(s.used, p.k)) AS b
+    FROM steps s JOIN pairs p ON p.o = s.o AND p.i = s.i + 1 GROUP BY s.o, s.i, s.used)
+),
+done AS (SELECT o, arg_max(used, i) AS used FROM steps GROUP BY o),
+left_over AS (SELECT count(*) AS n FROM gold JOIN done USING (o) WHERE NOT list_contains(used, k)),
+lists AS (SELECT sum(best.p) AS p, sum(best.f) AS f, count(*) AS predicted, count(best) + (SELECT n FROM left_over) AS gt FROM steps WHERE i > 0),
+heads AS (SELECT count(*) AS n, count(*) FILTER (o IN (SELECT o FROM there)) AS predicted, count(*) FILTER (o IN (SELECT o FROM there) AND (o % 3 <> 0 OR st = 'X')) AS status FROM (SELECT DISTINCT o, st FROM l)),
+counts AS (
+  SELECT 'key' AS field, 0 AS field_order, predicted AS right_num, predicted AS pred_num, n AS gt_num FROM heads
+  UNION ALL SELECT 'status', 1, status, predicted, n FROM heads UNION ALL SELECT 'priority', 2, predicted, predicted, n FROM heads
+  UNION ALL SELECT 'lines-part', 3, p, predicted, gt FROM lists UNION ALL SELECT 'lines-flag', 4, f, predicted, gt FROM lists),
+sums AS (SELECT *, round(right_num / (pred_num + 1e-6::DOUBLE), 4) AS precision, round(right_num / (gt_num + 1e-6::DOUBLE), 4) AS recall FROM counts),
+total AS (SELECT CAST(sum(right_num) AS BIGINT) AS r, CAST(sum(pred_num) AS BIGINT) AS p, CAST(sum(gt_num) AS BIGINT) AS g FROM counts)
+SELECT field, CAST(field_order AS INTEGER) AS field_order, CAST(right_num AS BIGINT) AS right_num, CAST(pred_num AS BIGINT) AS pred_num, CAST(gt_num AS BIGINT) AS gt_num, precision, recall,
+  round(2 * precision * recall / (precision + recall + 1e-6::DOUBLE), 4) AS f1 FROM sums
+UNION ALL SELECT 'total', 2147483647, r, p, g, round(CAST(r AS DOUBLE) / p, 4), round(CAST(r AS DOUBLE) / g, 4), round(2 * (CAST(r AS DOUBLE) / p) * (CAST(r AS DOUBLE) / g) / (CAST(r AS DOUBLE) / p + CAST(r AS DOUBLE) / g), 4) FROM total"""
+
+
+@query("field_f1", _FIELD_F1_SQL)
 def field_f1(spark, sf):
     gold = _documents(spark, sf).withColumnRenamed("doc", "gold")
     pred = _documents(spark, sf, edited=True).select("o_orderkey", F.col("doc").alias("pred"))
@@ -178,9 +208,10 @@ def flat_field_f1(spark, sf):
     return field_metric.scores(counts)
 
 
-@query("sample_pairs", "SELECT count(*) AS n FROM documents d JOIN labels l USING (doc_id)")
+@query("sample_pairs", "SELECT doc_id, lang, n_chars FROM documents")
 def sample_pairs(spark, sf):
-    return joins.paired(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    d = table(spark, sf, "documents")
+    return joins.paired(d.select("doc_id", "lang"), d.select("doc_id", "n_chars"), "doc_id")
 
 
 @query("field_union", "SELECT count(*) AS n, count(d.doc_id) AS left_n, count(l.doc_id) AS right_n FROM documents d FULL OUTER JOIN (SELECT doc_id * 2 AS doc_id FROM labels) l ON d.doc_id = l.doc_id")
@@ -325,11 +356,14 @@ def frame_index(spark, sf):
     return e.select("event_id", F.col("i").cast("bigint").alias("i"), "frame")
 
 
-@query("slice_grid", f"""
+_SLICE_SQL = f"""
 WITH s AS (SELECT p_partkey, w, h, CAST(least(ceil(w * h / 200704.0::DOUBLE), 9) AS INTEGER) AS m FROM ({_SIZE_SQL})),
 g AS (SELECT a.x AS i, b.x AS j FROM range(1, 10) a(x), range(1, 10) b(x) WHERE a.x * b.x BETWEEN 2 AND 9),
 r AS (SELECT p_partkey, i, j, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(ln(w / CAST(h AS DOUBLE)) - ln(i / CAST(j AS DOUBLE))), i * j, i) AS n FROM s, g WHERE m > 1 AND abs(i * j - m) <= 1)
-SELECT s.p_partkey, CAST(i AS INTEGER) AS across, CAST(j AS INTEGER) AS down FROM s LEFT JOIN r ON s.p_partkey = r.p_partkey AND n = 1""")
+SELECT s.p_partkey, CAST(i AS INTEGER) AS across, CAST(j AS INTEGER) AS down FROM s LEFT JOIN r ON s.p_partkey = r.p_partkey AND n = 1"""
+
+
+@query("slice_grid", _SLICE_SQL)
 def slice_grid(spark, sf):
     return _sizes(spark, sf).select("p_partkey", vi.slice_grid(F.col("w"), F.col("h")).alias("g")).select("p_partkey", "g.across", "g.down")
 
@@ -343,7 +377,11 @@ def best_resize(spark, sf):
     return _sizes(spark, sf).select("p_partkey", vi.best_resize(F.col("w"), F.col("h")).alias("s")).select("p_partkey", "s.w", "s.h")
 
 
-@query("refined_sizes")
+@query("refined_sizes", f"""
+WITH g AS (SELECT s.p_partkey, s.w, s.h, x.across, x.down FROM ({_SIZE_SQL}) s JOIN ({_SLICE_SQL}) x USING (p_partkey) WHERE x.across IS NOT NULL),
+a AS (SELECT *, greatest(round_even(w / CAST(across AS DOUBLE), 0) * across, across) / across AS cw, greatest(round_even(h / CAST(down AS DOUBLE), 0) * down, down) / down AS ch FROM g),
+b AS (SELECT *, floor(448 / sqrt(cw / ch)) AS h2, floor(floor(448 / sqrt(cw / ch)) * (cw / ch)) AS w2 FROM a)
+SELECT p_partkey, CAST(greatest(round_even(w2 / 14.0::DOUBLE, 0) * 14, 14) * across AS INTEGER) AS w, CAST(greatest(round_even(h2 / 14.0::DOUBLE, 0) * 14, 14) * down AS INTEGER) AS h FROM b""")
 def refined_sizes(spark, sf):
     rows = _sizes(spark, sf).withColumn("g", vi.slice_grid(F.col("w"), F.col("h"))).filter("g IS NOT NULL")
     return rows.select("p_partkey", vi.refined_size(F.col("w"), F.col("h"), F.col("g")).alias("s")).select("p_partkey", "s.w", "s.h")
@@ -364,14 +402,8 @@ def pixel_boxes(spark, sf):
 
 @query("pixel_shuffle", """
 SELECT p_partkey, n, CAST(r // 2 AS INTEGER) AS h, CAST(x // 2 AS INTEGER) AS w, CAST((r % 2 * 2 + x % 2) * 3 + n % 3 AS INTEGER) AS c
-FROM (SELECT p_partkey, n, n // 3 % 8 AS x, n // 24 AS r FROM (SELECT p_partkey, unnest(range(48)) AS n FROM part WHERE p_size = 1))""")
+FROM (SELECT p_partkey, n, n // 3 % 8 AS x, n // 24 AS r FROM (SELECT p_partkey, unnest(range(48)) AS n FROM part))""")
 def pixel_shuffle(spark, sf):
-    rows = table(spark, sf, "part").filter("p_size = 1").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("n"))
-    return rows.select("p_partkey", F.col("n").cast("bigint").alias("n"), vi.shuffled_index(F.col("n"), F.lit(8), F.lit(3)).alias("p")).select("p_partkey", "n", "p.h", "p.w", "p.c")
-
-
-@query("pixel_shuffle_all")
-def pixel_shuffle_all(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("n"))
     return rows.select("p_partkey", F.col("n").cast("bigint").alias("n"), vi.shuffled_index(F.col("n"), F.lit(8), F.lit(3)).alias("p")).select("p_partkey", "n", "p.h", "p.w", "p.c")
 
@@ -449,11 +481,13 @@ def box_overlaps(spark, sf):
 
 
 @query("char_spans", f"""
-SELECT l_orderkey, l_linenumber, round(x, 6) AS first_left, round(x + w, 6) AS last_right FROM ({_BOX_SQL})""")
+SELECT l_orderkey, l_linenumber, round(x + w / 8, 6) AS first_left, round(x + w * 3 / 8, 6) AS first_right, round(x + w * 3 / 8, 6) AS mid_left, round(x + w * 5 / 8, 6) AS mid_right,
+  round(x + w * 3 / 4, 6) AS last_left, round(x + w, 6) AS last_right FROM ({_BOX_SQL})""")
 def char_spans(spark, sf):
     x, w = F.col("x").cast("double"), F.col("w").cast("double")
-    s = bx.char_spans(F.col("points"), F.array(x + w / 4, x + w * 3 / 4))
-    return _line_boxes(spark, sf).select("l_orderkey", "l_linenumber", F.round(s[0]["left"], 6).alias("first_left"), F.round(s[1]["right"], 6).alias("last_right"))
+    s = bx.char_spans(F.col("points"), F.array(x + w / 4, x + w / 2, x + w * 7 / 8))
+    spans = [F.round(s[k][side], 6).alias(f"{name}_{side}") for k, name in enumerate(("first", "mid", "last")) for side in ("left", "right")]
+    return _line_boxes(spark, sf).select("l_orderkey", "l_linenumber", *spans)
 
 
 @query("ocr_rows")
@@ -468,10 +502,15 @@ def ocr_box_count(spark, sf):
     return pages.page_rows(_pages(spark, sf)).select("l_orderkey", F.size(F.flatten("page_rows")).cast("bigint").alias("boxes"))
 
 
-@query("reading_order", f"SELECT l_orderkey, count(*) AS n FROM ({_BOX_SQL}) WHERE l_linenumber % 2 = 1 GROUP BY l_orderkey")
+@query("reading_order", f"""
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY line, l_linenumber, text, score, x) - 1 AS at, l_linenumber, text
+FROM (SELECT *, l_linenumber // 3 AS line FROM ({_BOX_SQL})) WHERE l_linenumber % 2 = 1""")
 def reading_order(spark, sf):
-    rows = F.array(F.transform("boxes", lambda b: F.struct(F.when(b["l_linenumber"] % 2 == 1, b["text"]).otherwise(F.lit("")).alias("text"))))
-    return _pages(spark, sf).select("l_orderkey", F.size(bx.reading_order(rows)).cast("bigint").alias("n")).filter("n > 0")
+    row = lambda k: F.filter("boxes", lambda b: F.floor(b["l_linenumber"] / 3) == k)
+    shown = lambda b: F.struct(F.when(b["l_linenumber"] % 2 == 1, b["text"]).otherwise(F.lit("")).alias("text"), b["l_linenumber"].alias("l_linenumber"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.transform(row(k), shown))
+    found = _pages(spark, sf).select("l_orderkey", F.posexplode(bx.reading_order(rows)).alias("at", "b"))
+    return found.select("l_orderkey", F.col("at").cast("bigint").alias("at"), "b.l_linenumber", "b.text")
 
 
 @query("pruned_boxes", f"SELECT l_orderkey, l_linenumber, CAST(x AS DOUBLE) AS x1, CAST(x + w AS DOUBLE) AS x2 FROM ({_BOX_SQL})")
@@ -482,12 +521,15 @@ def pruned_boxes(spark, sf):
 
 
 @query("scene_lines", """
-SELECT CAST(l_orderkey AS VARCHAR) AS file_id, count(*) FILTER (l_returnflag <> 'R') AS boxes FROM lineitem GROUP BY l_orderkey""")
+SELECT CAST(l_orderkey AS VARCHAR) AS file_id, count(*) FILTER (l_returnflag <> 'R') AS boxes,
+  coalesce(string_agg(l_partkey || '/' || l_returnflag, ',' ORDER BY l_linenumber, l_partkey, l_returnflag) FILTER (l_returnflag <> 'R'), '') AS texts FROM lineitem GROUP BY l_orderkey""")
 def scene_lines(spark, sf):
     li = table(spark, sf, "lineitem")
-    nums = [F.lit(str(k)) for k in range(8)]
+    nums = [F.col("l_partkey").cast("string"), *[F.lit(str(k)) for k in range(1, 8)]]
     line = F.concat_ws(",", *nums, F.when(F.col("l_returnflag") == "R", "###").otherwise(F.col("l_returnflag")), F.lit("more"))
-    return readers.scene_boxes(li.select(F.col("l_orderkey").cast("string").alias("file_id"), line.alias("line"))).select("file_id", F.size("boxes").cast("bigint").alias("boxes"))
+    rows = li.select(F.col("l_orderkey").cast("string").alias("file_id"), F.struct("l_linenumber", "l_partkey", "l_returnflag").alias("line_no"), line.alias("line"))
+    said = F.transform("boxes", lambda b: F.concat(b["points"][0][0].cast("bigint").cast("string"), F.lit("/"), b["transcription"]))
+    return readers.scene_boxes(rows).select("file_id", F.size("boxes").cast("bigint").alias("boxes"), F.array_join(said, ",").alias("texts"))
 
 
 # --- extras: plain relational and event queries on the tables at hand -------------------------------------------------

@@ -80,7 +80,7 @@ def val_topup(spark, sf):
 # --- vocabularies ----------------------------------------------------------------------------------------------------
 
 _WORDS_SQL = "SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_split_to_array({t}, '\\s+')) AS word FROM {f}) WHERE word <> '' GROUP BY word"
-_SYMBOLS_SQL = f"SELECT word, freq, list_append(regexp_extract_all(word, '(?s).'), '</w>') AS s FROM ({_WORDS_SQL.format(t='text', f='benchmark')})"
+_SYMBOLS_SQL = f"SELECT word, freq, list_append(regexp_extract_all(word, '(?s).'), '</w>') AS s FROM ({_WORDS_SQL.format(t='text', f='documents')})"
 _PAIRS_SQL = f"""SELECT s[i] AS "left", s[i + 1] AS "right", CAST(sum(freq) AS BIGINT) AS freq
 FROM (SELECT s, freq, unnest(range(1, len(s))) AS i FROM ({_SYMBOLS_SQL})) GROUP BY 1, 2"""
 
@@ -90,62 +90,45 @@ def word_freq(spark, sf):
     return vocab.word_counts(table(spark, sf, "documents"), "text")
 
 
-def _bench_symbols(spark, sf):
-    return vocab.symbols(vocab.word_counts(table(spark, sf, "benchmark"), "text"))
+def _symbols(spark, sf):
+    return vocab.symbols(word_freq(spark, sf))
 
 
 @query("spelled_words", f"SELECT array_to_string(s, ' ') AS spelled, freq FROM ({_SYMBOLS_SQL})")
 def spelled_words(spark, sf):
-    return vocab.word_counts(table(spark, sf, "benchmark"), "text").select(tx.spelled(F.col("word")).alias("spelled"), "freq")
+    return word_freq(spark, sf).select(tx.spelled(F.col("word")).alias("spelled"), "freq")
 
 
 @query("pair_freq", _PAIRS_SQL)
 def pair_freq(spark, sf):
-    return vocab.pair_counts(_bench_symbols(spark, sf))
+    return vocab.pair_counts(_symbols(spark, sf))
 
 
 @query("token_freq", f"SELECT token, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT unnest(s) AS token, freq FROM ({_SYMBOLS_SQL})) GROUP BY token")
 def token_freq(spark, sf):
-    return vocab.token_counts(_bench_symbols(spark, sf))
+    return vocab.token_counts(_symbols(spark, sf))
 
 
 @query("top_pair", f'SELECT * FROM ({_PAIRS_SQL}) ORDER BY freq DESC, "left", "right" LIMIT 1')
 def top_pair(spark, sf):
-    return vocab.most_frequent_pair(_bench_symbols(spark, sf))
-
-
-def _corpus_symbols(spark, sf):
-    return vocab.symbols(word_freq(spark, sf))
-
-
-_DOC_SYMBOLS_SQL = f"SELECT word, freq, list_append(regexp_extract_all(word, '(?s).'), '</w>') AS s FROM ({_WORDS_SQL.format(t='text', f='documents')})"
-_DOC_PAIRS_SQL = f"""SELECT s[i] AS "left", s[i + 1] AS "right", CAST(sum(freq) AS BIGINT) AS freq
-FROM (SELECT s, freq, unnest(range(1, len(s))) AS i FROM ({_DOC_SYMBOLS_SQL})) GROUP BY 1, 2"""
-
-
-@query("doc_spelled_words", f"SELECT array_to_string(s, ' ') AS spelled, freq FROM ({_DOC_SYMBOLS_SQL})")
-def doc_spelled_words(spark, sf):
-    return word_freq(spark, sf).select(tx.spelled(F.col("word")).alias("spelled"), "freq")
-
-
-@query("doc_pair_freq", _DOC_PAIRS_SQL)
-def doc_pair_freq(spark, sf):
-    return vocab.pair_counts(_corpus_symbols(spark, sf))
-
-
-@query("doc_token_freq", f"SELECT token, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT unnest(s) AS token, freq FROM ({_DOC_SYMBOLS_SQL})) GROUP BY token")
-def doc_token_freq(spark, sf):
-    return vocab.token_counts(_corpus_symbols(spark, sf))
+    return vocab.most_frequent_pair(_symbols(spark, sf))
 
 
-@query("doc_top_pair", f'SELECT * FROM ({_DOC_PAIRS_SQL}) ORDER BY freq DESC, "left", "right" LIMIT 1')
-def doc_top_pair(spark, sf):
-    return vocab.most_frequent_pair(_corpus_symbols(spark, sf))
+def _merges_sql(n: int) -> str:
+    """n merges as a chain of tables: words as texts of symbols, each between the characters 2 and 3, so that replacing
+    two neighbours goes from left to right without overlaps."""
+    chain = [f"w0 AS (SELECT chr(2) || array_to_string(s, chr(3) || chr(2)) || chr(3) AS t, freq FROM ({_SYMBOLS_SQL}))"]
+    for k in range(n):
+        parts = f"SELECT string_split(t[2:-2], chr(3) || chr(2)) AS s, freq FROM w{k}"
+        pairs = f'SELECT s[i] AS "left", s[i + 1] AS "right", CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT s, freq, unnest(range(1, len(s))) AS i FROM ({parts})) GROUP BY 1, 2'
+        chain.append(f'm{k} AS MATERIALIZED (SELECT * FROM ({pairs}) ORDER BY freq DESC, "left", "right" LIMIT 1)')
+        chain.append(f"w{k + 1} AS MATERIALIZED (SELECT replace(t, chr(2) || m.left || chr(3) || chr(2) || m.right || chr(3), chr(2) || m.left || m.right || chr(3)) AS t, w.freq FROM w{k} w, m{k} m)")
+    return f"WITH {', '.join(chain)} " + " UNION ALL ".join(f'SELECT {k} AS merge_no, "left", "right", freq FROM m{k}' for k in range(n))
 
 
-@query("bpe_5_merges")
+@query("bpe_5_merges", _merges_sql(5))
 def bpe_5_merges(spark, sf):
-    found = vocab.trained_merges(_corpus_symbols(spark, sf), 5)
+    found = vocab.trained_merges(_symbols(spark, sf), 5)
     return spark.createDataFrame([(k, *m) for k, m in enumerate(found)], 'merge_no int, left string, right string, freq bigint')
 
 
@@ -169,26 +152,18 @@ old AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS id FROM w), new AS
 SELECT new.id AS new_id, old.id AS old_id FROM new JOIN old USING (word)""")
 def vocab_map(spark, sf):
     w = vocab.word_counts(table(spark, sf, "benchmark"), "text")
-    number = lambda *by: (F.row_number().over(Window.orderBy(*by)) - 1).cast("bigint").alias("id")
-    old = w.select(F.col("word").alias("token"), number("word"))
-    new = w.filter("freq > 1").select(F.col("word").alias("token"), number(F.desc("freq"), "word"))
+    old = splits.numbered(w, ["word"], out="id").select(F.col("word").alias("token"), "id")
+    new = splits.numbered(w.filter("freq > 1").withColumn("rare", -F.col("freq")), ["rare", "word"], out="id").select(F.col("word").alias("token"), "id")
     return joins.vocabulary_map(new, old)
 
 
 @query("embedding_gather", """
-SELECT new_id, CAST(embedding[1] AS DOUBLE) AS first, len(embedding) AS dims FROM (
-  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS new_id, embedding FROM embeddings WHERE label % 2 = 0)""")
+SELECT row_number() OVER (ORDER BY vec_id DESC) - 1 AS new_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last, len(embedding) AS dims FROM embeddings""")
 def embedding_gather(spark, sf):
     e = table(spark, sf, "embeddings")
-    ids = e.filter("label % 2 = 0").select((F.row_number().over(Window.orderBy("vec_id")) - 1).cast("bigint").alias("new_id"), F.col("vec_id").alias("old_id"))
-    return joins.gathered(ids, e.select("vec_id", "embedding"), "vec_id").select("new_id", F.col("embedding")[0].cast("double").alias("first"), F.size("embedding").cast("bigint").alias("dims"))
-
-
-@query("embedding_gather_all")
-def embedding_gather_all(spark, sf):
-    e = table(spark, sf, "embeddings")
-    ids = e.select((F.row_number().over(Window.orderBy(F.desc("vec_id"))) - 1).cast("bigint").alias("new_id"), F.col("vec_id").alias("old_id"))
-    return joins.gathered(ids, e.select("vec_id", "embedding"), "vec_id").select("new_id", F.col("embedding")[0].cast("double").alias("first"), F.size("embedding").cast("bigint").alias("dims"))
+    ids = splits.numbered(e.select(F.col("vec_id").alias("old_id"), (-F.col("vec_id")).alias("back")), ["back"], out="new_id").select("new_id", "old_id")
+    v = F.col("embedding")
+    return joins.gathered(ids, e.select("vec_id", "embedding"), "vec_id").select("new_id", v[0].cast("double").alias("first"), F.element_at(v, -1).cast("double").alias("last"), F.size(v).cast("bigint").alias("dims"))
 
 
 @query("char_classes", f"""
@@ -200,17 +175,18 @@ def char_classes(spark, sf):
 
 @query("keep_reject", f"""
 SELECT CASE WHEN regexp_full_match(replace(word, '▁', ''), '[\\x{{4e00}}-\\x{{9fa5}}a-zA-Z]+') THEN 'keep' ELSE 'reject' END AS list, word
-FROM ({_WORDS_SQL.format(t='text', f='benchmark')})""")
+FROM ({_WORDS_SQL.format(t='text', f='documents')})""")
 def keep_reject(spark, sf):
-    w = vocab.word_counts(table(spark, sf, "benchmark"), "text")
-    keep, reject = records.quarantined(w, ~tx.chinese_or_letters(tx.piece(F.col("word"))))
+    keep, reject = records.quarantined(word_freq(spark, sf), ~tx.chinese_or_letters(tx.piece(F.col("word"))))
     return keep.select(F.lit("keep").alias("list"), "word").unionByName(reject.select(F.lit("reject").alias("list"), "word"))
 
 
-@query("extended_valid", f"SELECT word FROM ({_WORDS_SQL.format(t='text', f='benchmark')}) WHERE regexp_full_match(word, '[\\x{{4e00}}-\\x{{9fa5}}a-zA-Z0-9.,!?;:]+')")
+_EXTENDED_SQL = tx.EXTENDED.replace("'", "''")
+
+
+@query("extended_valid", f"SELECT word, regexp_matches(word, '{_EXTENDED_SQL}') AS valid FROM ({_WORDS_SQL.format(t='text', f='documents')})")
 def extended_valid(spark, sf):
-    w = vocab.word_counts(table(spark, sf, "benchmark"), "text")
-    return w.filter(tx.extended_valid(F.col("word")) & F.col("word").rlike(rf"^[{tx.CHINESE}a-zA-Z0-9.,!?;:]+$")).select("word")
+    return word_freq(spark, sf).select("word", tx.extended_valid(F.col("word")).alias("valid"))
 
 
 @query("added_renumber", """
@@ -405,8 +381,28 @@ def chat_pairs(spark, sf):
 @query("glm_template", f"""
 SELECT conv_id, '[gMASK]<sop>' || string_agg('<|' || role || '|>' || chr(10) || text, '' ORDER BY turn) || '<|assistant|>' AS prompt FROM conversations WHERE text <> '' GROUP BY conv_id""")
 def glm_template(spark, sf):
-    items = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), F.lit("").alias("metadata"), m["text"].alias("content")))
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(items.alias("items")).select("conv_id", prompt.glm_template(F.col("items")).alias("prompt"))
+    return _items(spark, sf).select("conv_id", prompt.glm_template(F.col("items")).alias("prompt"))
+
+
+def _items(spark, sf):
+    """(conv_id, items): the turns as struct(role, metadata, content, image), an image at the first user turn of every third conversation."""
+    items = F.transform(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))),
+        lambda m: F.struct(m["role"].alias("role"), F.lit("").alias("metadata"), m["text"].alias("content"), ((m["turn"] == F.get(F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.col("turn")))), F.lit(0))) & (F.col("conv_id") % 3 == 0)).alias("image")),
+    )
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(items.alias("items"))
+
+
+_FIRST_TOOLS = '[{"type": "python"}, {"type": "function", "function": {"name": "find", "parameters": {"query": "文本"}}}]'
+_TOOLS_SQL = "<|system|>" + "\n" + prompt.glm_tools([{"type": "python"}, {"type": "function", "function": {"name": "find", "parameters": {"query": "文本"}}}])
+
+
+@query("glm_tool_template", f"""
+SELECT conv_id, '[gMASK]<sop>{_TOOLS_SQL}' || string_agg('<|' || role || '|>' || chr(10) || CASE WHEN conv_id % 3 = 0 AND turn = first THEN '{prompt.GLM_IMAGE}' ELSE '' END || text, '' ORDER BY turn) || '<|assistant|>' AS prompt
+FROM (SELECT *, min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS first FROM conversations) GROUP BY conv_id""")
+def glm_tool_template(spark, sf):
+    tools = F.transform("items", lambda m, i: F.when(i == 0, F.lit(_FIRST_TOOLS)))
+    return _items(spark, sf).select("conv_id", prompt.glm_template(F.col("items"), tools=tools, image=True).alias("prompt"))
 
 
 _PAST = "WITH t AS (SELECT *, ((n - 1) // 2) * 2 AS q FROM (" + _TURNS_SQL + "))"
@@ -434,16 +430,19 @@ def internlm_inputs(spark, sf):
 
 
 @query("minicpm_inputs", f"""
-SELECT conv_id, string_agg(CASE WHEN i % 2 = 0 THEN '<用户>' ELSE '<AI>' END || CASE WHEN i = 0 THEN '<image><unk></image>' || chr(10) ELSE '' END || text, '' ORDER BY i) || '<AI>' AS prompt FROM ({_TURNS_SQL}) GROUP BY conv_id""")
+SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '<用户>' ELSE '<AI>' END || CASE WHEN i = 0 THEN '<image><unk></image>' || chr(10) ELSE '' END || text, '' ORDER BY i) || '<AI>' AS prompt FROM ({_TURNS_SQL}) GROUP BY conv_id""")
 def minicpm_inputs(spark, sf):
-    return _messages(spark, sf).filter(F.size("messages") > 0).select("conv_id", prompt.minicpm_inputs(F.col("messages"), "<image><unk></image>").alias("prompt"))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    c = table(spark, sf, "conversations").filter("role <> 'system'").groupBy("conv_id").agg(items.alias("items"))
+    return c.select("conv_id", prompt.minicpm_inputs(F.col("items"), "<image><unk></image>").alias("prompt"))
 
 
 @query("image_tokens", """
-SELECT conv_id, turn, length('<img>' || repeat('<IMG_CONTEXT>', CAST(256 * (turn % 3 + 1) AS INTEGER)) || '</img>' || chr(10) || text) AS chars,
-       md5('<img>' || repeat('<IMG_CONTEXT>', CAST(256 * (turn % 3 + 1) AS INTEGER)) || '</img>' || chr(10) || text) AS digest FROM conversations WHERE NOT contains(text, '<image>')""")
+SELECT conv_id, turn, length(p) AS chars, md5(p) AS digest FROM (
+  SELECT conv_id, turn, t[:strpos(t, '<image>') - 1] || '<img>' || repeat('<IMG_CONTEXT>', CAST(256 * (turn % 3 + 1) AS INTEGER)) || '</img>' || t[strpos(t, '<image>') + 7:] AS p
+  FROM (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN text || '<image> and <image>' WHEN contains(text, '<image>') THEN text ELSE '<image>' || chr(10) || text END AS t FROM conversations))""")
 def image_tokens(spark, sf):
-    c = table(spark, sf, "conversations").filter(~F.contains("text", F.lit("<image>")))
+    c = table(spark, sf, "conversations").withColumn("text", F.when(F.col("turn") % 4 == 1, F.concat("text", F.lit("<image> and <image>"))).otherwise(F.col("text")))
     p = prompt.image_tokens(prompt.with_image(F.col("text")), F.array((F.col("turn") % 3 + 1).cast("int")))
     return c.select("conv_id", "turn", F.char_length(p).cast("bigint").alias("chars"), F.md5(p).alias("digest"))
 
@@ -594,7 +593,9 @@ def spliced_tokens(spark, sf):
     return rows.select("conv_id", "turn", _text(seq.spliced(F.col("ids"), F.lit(2), 3, features)).alias("ids"), _text(seq.spliced_positions(F.size("ids"), F.lit(2), 3, F.lit(4))).alias("positions"))
 
 
-@query("filled_placeholders")
+@query("filled_placeholders", """
+WITH b AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS n FROM benchmark), f AS (SELECT p_partkey - 1 AS k, '[' || p_size || ']' AS fill FROM part)
+SELECT item_id, coalesce(l.fill, '<|image_pad|>') || text || coalesce(r.fill, '<|image_pad|>') AS filled FROM b LEFT JOIN f l ON l.k = 2 * n LEFT JOIN f r ON r.k = 2 * n + 1""")
 def filled_placeholders(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("<|image_pad|>"), F.col("text"), F.lit("<|image_pad|>")).alias("text"))
     grids = table(spark, sf, "part").select((F.col("p_partkey") - 1).alias("k"), F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit("]")).alias("fill"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import pickle
 import tarfile
 from collections.abc import Iterator
@@ -11,7 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import suffix
+from .files import opened
 
+#: Bytes of samples that a task holds.
+HELD = 1 << 24
 BOX = "struct<transcription:string,points:array<array<double>>,score:double,difficult:string>"
 
 
@@ -111,22 +115,35 @@ def pickled_dicts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def web_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, key, json, jpg) of tar shards: members of one key are one sample. A shard is a task and is held as a whole."""
+    """(shard, key, json, jpg) of tar shards: neighbouring members of one key are one sample.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for shard, data in zip(b.column(0).to_pylist(), b.column(1)):
-                held: dict[str, dict[str, bytes]] = {}
-                with tarfile.open(fileobj=io.BytesIO(data.as_py())) as tar:
-                    for member in tar:
-                        if member.isfile():
-                            key, _, kind = member.name.rpartition("/")[2].partition(".")
-                            held.setdefault(key, {})[kind] = tar.extractfile(member).read()
-                rows = [(shard, k, v["json"].decode("utf-8", "replace") if "json" in v else None, v.get("jpg")) for k, v in held.items()]
-                cols = list(zip(*rows)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.binary()))], ["shard", "key", "json", "jpg"])
+    A shard is read as a stream by one task, which holds a sample and a batch of HELD bytes. Spark lists the shards.
+    """
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(each, "shard string, key string, json string, jpg binary")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.string(), pa.string(), pa.string(), pa.binary())
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["shard", "key", "json", "jpg"])
+
+        size = 0
+        for shard in (x for b in batches for x in b.column(0).to_pylist()):
+            system, at = opened(shard)
+            with system.open_input_stream(at, compression=None) as data, tarfile.open(fileobj=data, mode="r|*") as tar:
+                members = ((m.name.rpartition("/")[2].partition("."), tar.extractfile(m).read()) for m in tar if m.isfile())
+                for key, own in itertools.groupby(members, lambda x: x[0][0]):
+                    held = {name[2]: content for name, content in own}
+                    rows.append((shard, key, held["json"].decode("utf-8", "replace") if "json" in held else None, held.get("jpg")))
+                    size += sum(map(len, held.values()))
+                    if size >= HELD:
+                        yield out()
+                        rows, size = [], 0
+        if rows:
+            yield out()
+
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    return listed.repartition(max(1, listed.count()), "path").mapInArrow(each, "shard string, key string, json string, jpg binary")
 
 
 def files(spark: SparkSession, root: str, suffixes: list[str] | None = None) -> DataFrame:
@@ -142,14 +159,22 @@ def discovered(listing: DataFrame, path: str = "path") -> DataFrame:
     return listing.filter((F.element_at(parts, -1) == "Label.txt") & usage.isin("train", "validation", "test")).withColumns({"usage": usage, "type": kind})
 
 
-def scene_boxes(lines: DataFrame, file_id: str = "file_id", line: str = "line") -> DataFrame:
-    """(file_id, boxes) from lines of eight numbers and a text; ignore marks go, the score is 0.99, what follows a further
-    comma is lost; a file without boxes has an empty array."""
+def scene_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, line_no, line) of the lines of scene text files, which are read whole, one for each image."""
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "")
+    rows = spark.read.text(path, wholetext=True).select(name.alias("file_id"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    return rows.filter(F.btrim("line") != "")
+
+
+def scene_boxes(lines: DataFrame, file_id: str = "file_id", line: str = "line", order: str = "line_no") -> DataFrame:
+    """(file_id, boxes) from lines of eight numbers and a text, in the order of their numbers; ignore marks go, the score
+    is 0.99, what follows a further comma is lost; a file without boxes has an empty array."""
     p = F.split(F.col(line), ",")
     points = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.array(F.try_element_at(p, k * 2 + 1).try_cast("double"), F.try_element_at(p, k * 2 + 2).try_cast("double")))
     box = F.struct(F.try_element_at(p, F.lit(9)).alias("transcription"), points.alias("points"), F.lit(0.99).alias("score"), F.lit("false").alias("difficult"))
     good = (F.size(p) >= 9) & (F.try_element_at(p, F.lit(9)) != "###")
-    return lines.groupBy(file_id).agg(F.collect_list(F.when(good, box)).alias("boxes"))
+    held = F.array_sort(F.collect_list(F.when(good, F.struct(F.col(order).alias("at"), box.alias("box")))))
+    return lines.groupBy(file_id).agg(F.transform(held, lambda x: x["box"]).alias("boxes"))
 
 
 def processed(spark: SparkSession, path: str) -> DataFrame:
@@ -177,23 +202,31 @@ def rank_vocab(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.col("value") != "").select(F.unbase64(p[0]).alias("token"), p[1].cast("bigint").alias("rank"))
 
 
+def decoded_image(data: bytes, chw: bool = False, bgr: bool = False, size: tuple[int, int] | None = None, angle: float | None = None) -> tuple[int, int, bytes] | None:
+    """(width, height, pixels) of an image file as RGB bytes, resized, then turned by angle; None if it cannot be read."""
+    import numpy as np
+    from PIL import Image
+
+    try:
+        image = Image.open(io.BytesIO(data)).convert("RGB")
+    except (OSError, ValueError, Image.DecompressionBombError):
+        return None
+    image = image.resize(size) if size else image
+    image = image.rotate(angle, expand=True) if angle else image
+    x = np.asarray(image)
+    x = x[:, :, ::-1] if bgr else x
+    return image.width, image.height, (x.transpose(2, 0, 1) if chw else x).tobytes()
+
+
 def images(spark: SparkSession, path: str, chw: bool = False, bgr: bool = False, size: tuple[int, int] | None = None) -> DataFrame:
-    """(path, width, height, pixels): decoded RGB bytes; needs an imaging library on the workers."""
+    """(path, width, height, pixels): decoded RGB bytes, nulls for a broken image; needs an imaging library on the workers."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        from PIL import Image
-
         for b in batches:
-            rows = []
-            for at, data in zip(b.column(0).to_pylist(), b.column(1)):
-                image = Image.open(io.BytesIO(data.as_py())).convert("RGB")
-                image = image.resize(size) if size else image
-                x = np.asarray(image)
-                x = x[:, :, ::-1] if bgr else x
-                x = x.transpose(2, 0, 1) if chw else x
-                rows.append((at, image.width, image.height, x.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "width", "height", "pixels"])
+            for k in range(0, b.num_rows, 16):
+                part = b.slice(k, 16)
+                found = [decoded_image(data.as_py(), chw, bgr, size) or (None, None, None) for data in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]], ["path", "width", "height", "pixels"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(each, "path string, width bigint, height bigint, pixels binary")
 

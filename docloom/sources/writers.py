@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .files import opened
+
 USAGES = ("train", "validation", "test")
+#: Rows of a table that json_text takes.
+MOST = 100_000
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -14,9 +20,31 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
-def json_text(df: DataFrame, indent: int = 2) -> str:
-    """A small table as one pretty JSON array."""
-    return json.dumps([json.loads(x) for x in df.toJSON().collect()], ensure_ascii=False, indent=indent)
+def json_text(df: DataFrame, indent: int = 2, most: int = MOST) -> str:
+    """A table of at most `most` rows as one pretty JSON array; a larger one raises an error (json_array writes it)."""
+    rows = df.limit(most + 1).toJSON().collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows")
+    return json.dumps([json.loads(x) for x in rows], ensure_ascii=False, indent=indent)
+
+
+def json_array(df: DataFrame, path: str) -> None:
+    """A table of any size as one JSON array in one file below path, an object a line.
+
+    One file needs one task; it passes rows through and holds a batch of them.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for b in batches:
+            lines = [f"{',' if k else lead}{x}" for k, x in enumerate(b.column(0).drop_null().to_pylist())]
+            lead = "," if lines else lead
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], ["value"])
+
+    objects = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    none = df.sparkSession.range(1).select(F.lit(None).cast("string").alias("value"))  # the task runs for an empty table too
+    objects.unionByName(none).repartition(1).mapInArrow(each, "value string").write.text(path)
 
 
 def csv(df: DataFrame, path: str) -> None:
@@ -57,12 +85,23 @@ def bucketed_files(df: DataFrame, bucket: str, key: str, content: str, suffix: s
     return df.filter(F.octet_length(content) > 0).select(F.concat_ws("/", F.col(bucket), F.concat(F.col(key), F.lit(suffix))).alias("path"), F.col(content).alias("content"))
 
 
-def export_files(planned: DataFrame, root: str) -> None:
-    """Writes planned (path, content) rows below root through Hadoop's file systems, on the executors' behalf by the
-    driver one partition at a time; for exports small enough to pass through it."""
-    jvm, conf = planned.sparkSession.sparkContext._jvm, planned.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for r in planned.toLocalIterator():
-        at = jvm.org.apache.hadoop.fs.Path(f"{root}/{r['path']}")
-        out = at.getFileSystem(conf).create(at, True)
-        out.write(bytearray(r["content"]))
-        out.close()
+def export_files(planned: DataFrame, root: str) -> int:
+    """Writes planned (path, content) rows below root, each by the task that holds it; the number of files written.
+
+    A task that runs again writes the same files again. Only counts come to the driver.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = opened(root)
+        made: set[str] = set()
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                folder = f"{top}/{path}".rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{top}/{path}") as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return planned.select("path", "content").mapInArrow(each, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import codec, prompt, sequences as seq, text as tx, vision as vi
-from docloom.operators import field_metric, pages, splits, vocab
+from docloom.operators import field_metric, joins, pages, splits, vocab
 
 GOLD = {
     "材料类型": "电子发票", "票据代码": "50068122", "票据号码": "8250626222", "校验码": "edfdf4", "交款人": "冯xx", "开票日期": "2023年03月16日",
@@ -230,3 +230,51 @@ def test_prompts(spark):
         prompt.register(t)
     prompt.register(prompt.template("phi3-chat"), override=True)
     assert [tuple(x) for x in one(spark, prompt.openai_messages(messages("a", None), F.lit(None).cast("string")))] == [("system", ""), ("user", "a")]
+
+
+def test_pairs_need_both_sides(spark):
+    a, b = (spark.createDataFrame([(k, c) for k in ids], f"id int, {c} string") for ids, c in (((1, 2), "p"), ((1, 2, 3), "g")))
+    assert joins.paired(a, b.filter("id < 3"), "id").orderBy("id").collect()[1].asDict() == {"id": 2, "p": "p", "g": "g"}
+    for one, two in ((a, b), (b, a)):
+        with pytest.raises(Exception, match="without its counterpart: 3"):
+            joins.paired(one, two, "id").collect()
+
+
+def test_glm_and_minicpm_templates_check_roles(spark):
+    schema = "items array<struct<role:string,metadata:string,content:string,image:boolean>>"
+    turn = lambda role, content, image=False: (role, "", content, image)
+
+    def glm(*turns, tools=None, **how):
+        df = spark.createDataFrame([(list(turns),)], schema)
+        told = None if tools is None else F.array(*[F.lit(t) for t in tools])
+        return df.select(prompt.glm_template(F.col("items"), tools=told, **how)).collect()[0][0]
+
+    assert glm(turn("user", "q"), turn("assistant", ""), turn("observation", "o")) == "[gMASK]<sop><|user|>\nq<|observation|>\no<|assistant|>"
+    assert glm(turn("user", "q", True), image=True, special=False, generate=False) == f"<|user|>\n{prompt.GLM_IMAGE}q"
+    told = glm(turn("user", "q"), tools=['[{"type": "python"}, {"type": "function", "function": {"name": "f", "x": "文"}}]'], generate=False)
+    assert told.startswith(f"[gMASK]<sop><|system|>\n{prompt.GLM_SYSTEM}\n\n## python\n\n") and told.endswith('\n\n## f\n\n{\n    "name": "f",\n    "x": "文"\n}\n' + prompt.GLM_CALL + "<|user|>\nq")
+    for bad in (dict(turns=[turn("tool", "x")]), dict(turns=[turn("user", "a", True), turn("user", "b", True)], image=True), dict(turns=[turn("user", "a")], tools=['[{"type": "unknown"}]'])):
+        with pytest.raises(Exception):
+            glm(*bad.pop("turns"), **bad)
+
+    def minicpm(*turns):
+        return spark.createDataFrame([(list(turns),)], "items array<struct<role:string,content:string>>").select(prompt.minicpm_inputs(F.col("items"), "I")).collect()[0][0]
+
+    assert minicpm(("user", "a"), ("user", "b"), ("assistant", "c")) == "<用户>I\na<用户>b<AI>c<AI>"
+    for bad in ([("assistant", "a")], [("user", "a"), ("system", "b")]):
+        with pytest.raises(Exception):
+            minicpm(*bad)
+
+
+def test_pruned_weights(spark):
+    old = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "token string, id bigint")
+    new = spark.createDataFrame([("c", 0), ("a", 1)], "token string, id bigint")
+    weights = lambda f: spark.createDataFrame([(k, [f * k]) for k in range(3)], "id bigint, row array<double>")
+    tables = {"embedding": weights(1.0), "head": weights(10.0)}
+    read = lambda df: [r["row"] for r in df.orderBy("new_id").collect()]
+    plain = joins.pruned_weights(new, old, tables, "id")
+    assert read(plain["embedding"]) == [[2.0], [0.0]] and read(plain["head"]) == [[20.0], [0.0]]
+    tied = joins.pruned_weights(new, old, tables, "id", joins.tied)
+    assert read(tied["head"]) == [[2.0], [0.0]]
+    with pytest.raises(Exception, match="not in the old vocabulary"):
+        read(joins.pruned_weights(new.selectExpr("'x' AS token", "id"), old, tables, "id")["head"])

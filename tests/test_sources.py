@@ -82,11 +82,53 @@ def test_web_dataset_and_export(spark, tmp_path):
     assert open(f"{tmp_path}/out/00000/a.jpg", "rb").read() == b"JPG"
 
 
-def test_scene_boxes(spark):
-    lines = spark.createDataFrame([("f", "0,0,1,0,1,1,0,1,a,b"), ("f", "0,0,1,0,1,1,0,1,###"), ("g", "bad")], "file_id string, line string")
-    found = {r["file_id"]: r["boxes"] for r in readers.scene_boxes(lines).collect()}
-    assert found["g"] == [] and len(found["f"]) == 1
-    assert found["f"][0]["transcription"] == "a" and found["f"][0]["points"][2] == [1.0, 1.0] and found["f"][0]["score"] == 0.99
+def test_scene_boxes(spark, tmp_path):
+    write(f"{tmp_path}/f.txt", "\r\n".join(f"{k},0,1,0,1,1,0,1,{t}" for k, t in enumerate(("a,b", "###", "c", "d", "e"))))
+    write(f"{tmp_path}/g.txt", "bad\n")
+    lines = readers.scene_lines(spark, f"{tmp_path}/*.txt")
+    found = {r["file_id"]: r["boxes"] for r in readers.scene_boxes(lines.repartition(8)).collect()}
+    assert found["g"] == [] and [b["transcription"] for b in found["f"]] == ["a", "c", "d", "e"]
+    assert [b["points"][0][0] for b in found["f"]] == [0.0, 2.0, 3.0, 4.0] and found["f"][0]["points"][2] == [1.0, 1.0] and found["f"][0]["score"] == 0.99
+
+
+def test_shards_are_read_as_streams(spark, tmp_path, monkeypatch):
+    for shard in range(3):
+        with tarfile.open(f"{tmp_path}/{shard}.tar", "w") as tar:
+            for k in range(20):
+                for kind, data in (("json", b"{}"), ("jpg", bytes(1000))):
+                    if kind == "json" or k % 4:
+                        info = tarfile.TarInfo(f"d/{k:03}.{kind}")
+                        info.size = len(data)
+                        tar.addfile(info, io.BytesIO(data))
+    rows = readers.web_dataset(spark, f"file://{tmp_path}/*.tar").collect()
+    assert sorted((r["shard"][-5], r["key"], len(r["jpg"] or b"")) for r in rows) == [(str(s), f"{k:03}", 1000 if k % 4 else 0) for s in range(3) for k in range(20)]
+
+
+def test_exports_are_written_by_tasks(spark, tmp_path):
+    planned = spark.range(200).select(F.format_string("%05d/%s.jpg", F.col("id") % 7, F.col("id")).alias("path"), F.encode(F.col("id").cast("string"), "utf-8").alias("content")).repartition(5)
+    assert writers.export_files(planned, f"file:{tmp_path}/out") == 200
+    assert open(f"{tmp_path}/out/00003/10.jpg").read() == "10" and len(list(tmp_path.glob("out/*/*.jpg"))) == 200
+    assert writers.export_files(planned.limit(0), f"{tmp_path}/none") == 0
+
+
+def test_json_arrays(spark, tmp_path):
+    rows = spark.range(500).select("id", F.when(F.col("id") % 2 == 0, F.lit("票")).alias("t"))
+    writers.json_array(rows, f"{tmp_path}/a")
+    (file,) = tmp_path.glob("a/part-*")
+    assert sorted(json.loads(file.read_text()), key=lambda r: r["id"])[:2] == [{"id": 0, "t": "票"}, {"id": 1, "t": None}]
+    writers.json_array(rows.limit(0), f"{tmp_path}/b")
+    assert json.loads("".join(f.read_text() for f in tmp_path.glob("b/part-*"))) == []
+    with pytest.raises(ValueError):
+        writers.json_text(rows, most=499)
+
+
+def test_images_with_a_broken_one(spark, tmp_path):
+    Image = pytest.importorskip("PIL.Image")
+    Image.new("RGB", (4, 3), (1, 2, 3)).save(f"{tmp_path}/a.png")
+    write(f"{tmp_path}/b.png", "no image")
+    found = {r["path"][-5:]: r for r in readers.images(spark, f"{tmp_path}/*.png", bgr=True).collect()}
+    assert (found["a.png"]["width"], found["a.png"]["height"], bytes(found["a.png"]["pixels"])[:3]) == (4, 3, b"\3\2\1") and found["b.png"]["pixels"] is None
+    assert readers.decoded_image(open(f"{tmp_path}/a.png", "rb").read(), angle=90)[:2] == (3, 4)
 
 
 def test_vocab_files(spark, tmp_path):

@@ -46,3 +46,9 @@ def test_inference_loads_a_model_for_each_task(spark):
     assert sorted(r["response"] for r in training.predicted(df, model, ["query"]).collect()) == ["Q1", "Q2"]
     assert training.record(df, "query", "q1").count() == 1
     assert spark.range(1).select(training.as_list(F.array(F.array(F.lit(1)), F.array(F.lit(2))), 2).alias("x")).collect()[0]["x"] == [1, 2]
+
+
+def test_batches_of_a_whole_table(spark):
+    df = spark.range(1000).select("id", F.array_repeat(F.lit(1), (F.col("id") % 5).cast("int")).alias("ids")).repartition(7)
+    rows = training.collated(df, "id", "ids", 16, 0).collect()
+    assert all(r["batch"] == r["id"] // 16 and len(r["input_ids"]) == 4 for r in rows) and len(rows) == 1000

@@ -8,21 +8,21 @@ from docloom.plans import record_queries, registry, text_queries  # noqa: F401
 
 def test_wrapped_truth_of_all_texts(spark, sf):
     texts = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    rows = registry.QUERIES["wrapped_truth_all"](spark, sf).collect()
+    rows = registry.QUERIES["wrapped_truth"](spark, sf).collect()
     assert len(rows) == len(texts) and {r["item_id"]: json.loads(r["truth"]) for r in rows} == {k: {"text_sequence": t} for k, t in texts.items()}
 
 
 def test_pixel_shuffle_of_all_parts(spark, sf):
     keys = [r["p_partkey"] for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
-    rows = registry.QUERIES["pixel_shuffle_all"](spark, sf).collect()
+    rows = registry.QUERIES["pixel_shuffle"](spark, sf).collect()
     place = lambda n: (n // 48, n // 6 % 4, n // 24 % 2 * 6 + n // 3 % 2 * 3 + n % 3)
     assert sorted((r["p_partkey"], r["n"], r["h"], r["w"], r["c"]) for r in rows) == sorted((k, n, *place(n)) for k in keys for n in range(48))
 
 
 def test_embedding_gather_of_all_rows(spark, sf):
     held = sorted(((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()), reverse=True)
-    rows = {r["new_id"]: (r["first"], r["dims"]) for r in registry.QUERIES["embedding_gather_all"](spark, sf).collect()}
-    assert rows == {k: (float(v[0]), len(v)) for k, (_, v) in enumerate(held)}
+    rows = {r["new_id"]: (r["first"], r["last"], r["dims"]) for r in registry.QUERIES["embedding_gather"](spark, sf).collect()}
+    assert rows == {k: (float(v[0]), float(v[-1]), len(v)) for k, (_, v) in enumerate(held)}
 
 
 def test_merges_are_those_of_documents(spark, sf):
