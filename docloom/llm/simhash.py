@@ -21,11 +21,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from . import meeting
 from .common import lean_worker, scratch, staged
 
 SEED = 42
 PIVOTS = 16
-#: Rows of a bucket compared as one group; larger buckets are dealt out as pairs of chunks of this size.
+#: Rows of a bucket compared as one group; larger buckets are dealt out in chunks of this size.
 CHUNK = 4096
 #: Shingles and pairs held in memory at once.
 SHINGLES, PAIRS = 1 << 18, 1 << 17
@@ -236,21 +237,9 @@ def links(rows: DataFrame, distance: int, words: int = 1) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that span every component of the links inside buckets.
 
     rows: mask_no, key and fp, distinct (mask_no and key name the bucket), and pivots if the references are global.
-    A bucket of over CHUNK rows is dealt out: each of its m chunks meets each other chunk in a group of its own, so no
-    task holds more than two chunks and no pair is missed. Chunks follow from a hash of the fingerprint.
+    Buckets of over CHUNK rows are dealt out (meeting.spanning); no pair is missed.
     """
-    own = [c for c in ("fp", "pivots") if c in rows.columns]
-    heavy = staged(rows.groupBy("mask_no", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK))
-    part = F.lit(0).cast("bigint").alias("part")
-    if heavy.isEmpty():
-        rows = rows.select("mask_no", "key", part, *own)
-    else:
-        m = F.ceil(F.col("n") / CHUNK).cast("bigint")
-        chunk = F.pmod(F.xxhash64("fp"), F.col("m"))
-        met = F.when(F.col("m").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1), lambda other: F.least(chunk, other) * F.col("m") + F.greatest(chunk, other)))
-        rows = rows.join(heavy.select("mask_no", "key", m.alias("m")), ["mask_no", "key"], "left").select("mask_no", "key", F.explode(met).alias("part"), *own)
-    dealt = rows.repartition("mask_no", "key", "part").sortWithinPartitions("mask_no", "key", "part")
-    return dealt.mapInArrow(_linked(words, distance), "a binary, b binary").distinct()
+    return meeting.spanning(rows, ["mask_no", "key"], "fp", F.lit(1), CHUNK, CHUNK, _linked(words, distance), components)
 
 
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@
    ``DISTANCE``, 4.5 standard deviations above the mean of the worst sets at 0.8. This is ``simhash.links``: a spanning
    forest of what is left. Its components hold candidates only, few documents of a corpus.
 4. The sets of those alone are made from their texts again; all pairs of a component that its fingerprints leave are
-   compared exactly, in pairs of chunks if it is large. A link counts also if its two nodes shared no key.
+   compared exactly, in chunks if it is large (see meeting). A link counts also if its two nodes shared no key.
 5. The verified links are contracted.
 """
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from . import meeting
 from .common import lean_worker, scratch, staged
 from .simhash import _fps, _hashes, components, links, majority
 
@@ -30,8 +31,8 @@ from .simhash import _fps, _hashes, components, links, majority
 WORDS, DISTANCE = 4, 76
 #: Values in a key, and keys.
 ROWS, KEYS = 5, 20
-#: Nodes and hashes of a chunk; a candidate component beyond either is dealt out as pairs of chunks.
-CHUNK, HASHES = 2048, 1 << 20
+#: Nodes and hashes of a chunk; a candidate component beyond either is dealt out in chunks.
+CHUNK, HASHES = 1024, 1 << 19
 #: Values of the mixed orders held at once.
 HELD = 1 << 17
 
@@ -170,15 +171,7 @@ def _linked(bound: float):
 
 def exact_links(sets: DataFrame, bound: float) -> DataFrame:
     """Edges (a, b) that span every component of the links inside the roots of sets (root, node, hashes)."""
-    size = F.octet_length("hashes") / 8
-    m = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("total") / HASHES)).cast("bigint")
-    large = staged(sets.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("total")).select("root", m.alias("m")).filter("m > 1"))
-    chunk = F.pmod(F.xxhash64("node"), F.col("m"))
-    zero = F.lit(0).cast("bigint")
-    part = F.when(F.col("m").isNull(), F.array(zero)).otherwise(F.transform(F.sequence(zero, F.coalesce("m", F.lit(1).cast("bigint")) - 1), lambda other: F.least(chunk, other) * F.col("m") + F.greatest(chunk, other)))
-    dealt = sets.join(large, "root", "left").select("root", F.explode(part).alias("part"), "node", "hashes")
-    dealt = dealt.repartition("root", "part").sortWithinPartitions("root", "part", "node")
-    return dealt.mapInArrow(_linked(bound), "a binary, b binary").distinct()
+    return meeting.spanning(sets, ["root"], "node", F.octet_length("hashes") / 8, CHUNK, HASHES, _linked(bound), components)
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bound: float = 0.8) -> DataFrame:

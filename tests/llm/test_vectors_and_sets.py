@@ -87,6 +87,39 @@ def test_links_of_crowded_buckets(spark, monkeypatch, chunk, finish):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+@pytest.mark.parametrize("kind", ["near copies", "two groups and strays", "strays"])
+def test_large_groups_move_few_rows(spark, monkeypatch, kind):
+    """Links of a large bucket are whole; near copies move a few times each, not once for each chunk of the group."""
+    from docloom.llm import meeting
+
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rng = np.random.default_rng(17)
+    near = lambda centre, n: [centre ^ sum(1 << int(b) for b in rng.choice(40, rng.integers(0, 3), replace=False)) for _ in range(n)]
+    strays = [int(x) << 41 | 0x5555555555 for x in rng.integers(0, 1 << 22, 40)]
+    fps = {"near copies": near(0, 900), "two groups and strays": near(0, 500) + near(0x5555555555, 60) + strays[:12], "strays": strays}[kind]
+    fps = sorted({f for f in fps if f < 1 << 63})
+    rows = spark.createDataFrame([(0, 7, bytearray(np.uint64(f).tobytes())) for f in fps], "mask_no int, key bigint, fp binary")
+    moved, plain = [], meeting.dealt
+
+    def counted(rows, by, node, rest, parts, find):
+        moved.append(rows.select(F.sum(F.size(parts))).collect()[0][0] or 0)
+        return plain(rows, by, node, rest, parts, find)
+
+    monkeypatch.setattr(meeting, "dealt", counted)
+    edges = simhash.links(rows, 4)
+    found = {bytes(r["node"]): bytes(r["root"]) for r in simhash.components(edges).collect()}
+    mine, theirs = defaultdict(set), defaultdict(set)
+    for f, r in zip(fps, brute_components(fps, 4)):
+        key = np.uint64(f).tobytes()
+        mine[found.get(key, key)].add(key)
+        theirs[r].add(key)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+    n, chunks = len(fps), -(-len(fps) // 16)
+    if kind != "strays":
+        assert sum(moved) < n * chunks / 2, moved
+    assert kind != "near copies" or moved[2] == 0 and sum(moved) < 3 * n, moved
+
+
 def test_pivots_lose_no_pair():
     rng = np.random.default_rng(5)
     fps = np.array(near_copies(300, rng), np.uint64).reshape(-1, 1)
@@ -175,7 +208,7 @@ def test_pipeline_links_exactly_the_similar_texts(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     kept = [k for k, r in enumerate(brute_groups(texts)) if k == r]
     assert 150 < len(kept) < 320
-    for chunk in (similar.CHUNK, 2):
+    for chunk in (similar.CHUNK, 3):
         monkeypatch.setattr(similar, "CHUNK", chunk)
         found = {r["doc_id"] for r in cp.drop_near_duplicates(spark, df, DATA).collect()}
         assert found == set(kept)
