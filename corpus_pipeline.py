@@ -54,8 +54,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def file_order(docs: DataFrame) -> list[Column]:
-    """The order of rows in the files that docs was read from; by id if it was not read from files."""
-    order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    """The order of rows in the files that docs was read from, by the files' numbers; by id if it was not read from files."""
+    name = F.col("_metadata.file_name")
+    number = F.regexp_extract(name, r"^part-(\d{1,18})(?!\d)", 1).try_cast("bigint")  # beyond 99999 names don't sort by it
+    order = [number, name, F.col("_metadata.row_index")]
     try:
         docs.select(*order)
     except AnalysisException:

@@ -629,6 +629,21 @@ def test_pipeline_stages(spark, tmp_path, encoder):
     assert [tokens[d] for d in some] == (encoder.ids(pa.array([rows["mixing"][d]["text"] for d in some]))[1] + 1).tolist()
 
 
+def test_pipeline_reads_files_by_their_numbers(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    names = ["part-00002-a.parquet", "part-99999-a.parquet", "part-100000-a.parquet", "part-1000000-a.parquet"]
+    for k, name in enumerate(names):
+        spark.range(2).selectExpr(f"cast({k} * 10 + id as bigint) AS doc_id", "'t' AS text").coalesce(1).write.parquet(f"{tmp_path}/{k}")
+        (file,) = (tmp_path / str(k)).glob("part-*.parquet")
+        (tmp_path / "all").mkdir(exist_ok=True)
+        file.rename(tmp_path / "all" / name)
+    docs = spark.read.parquet(f"{tmp_path}/all")
+    assert [r["doc_id"] for r in docs.orderBy(*cp.file_order(docs)).collect()] == [0, 1, 10, 11, 20, 21, 30, 31]
+    made = spark.createDataFrame([(1, "t")], "doc_id bigint, text string")
+    assert made.select(*cp.file_order(made)).columns == ["doc_id"]
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
     import corpus_pipeline as cp
 
