@@ -26,17 +26,26 @@ def ship(spark: SparkSession) -> None:
     setattr(context, _SHIPPED, True)
 
 
-def shared_checkpoint(df):
-    """df with its lineage cut in the folder that driver and executors share (spark.checkpoint.dir).
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    A local session without the setting gets a temporary folder; a cluster has to name one.
+    It is ``spark.checkpoint.dir`` where the session sets it. Only a local master may go without: it gets a temporary
+    folder of its own, since there all executors are this process.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="docloom-")
-        context.setCheckpointDir(folder)
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="docloom-")
+    context.setCheckpointDir(configured)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_checkpoint(df):
+    """df with its lineage cut in the folder that driver and executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
