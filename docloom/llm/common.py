@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +13,8 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.session import shared_dir
+
 
 #: The option's number in glibc's malloc.h.
 _M_MMAP_THRESHOLD = -3
@@ -25,25 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` where the session sets it. Only a local master may go without: it gets a
-    temporary folder of its own, since there all executors are this process.
-    """
-    context = spark.sparkContext
-    held = context._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="docloom-")
-    context.setCheckpointDir(configured)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
