@@ -11,14 +11,17 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
 def likeness(a: str, b: str) -> float:
     """2 * shared characters / all characters; 1 for two empty texts."""
-    total = len(a) + len(b)
-    return 2 * sum((Counter(a) & Counter(b)).values()) / total if total else 1.0
+    return _alike(Counter(a), len(a), Counter(b), len(b))
+
+
+def _alike(a: Counter, n: int, b: Counter, m: int) -> float:
+    return 2 * sum(min(k, b[c]) for c, k in a.items()) / (n + m) if n + m else 1.0
 
 
 def _dicts(v: Any) -> bool:
@@ -44,10 +47,20 @@ def field_counts(pred: dict[str, Any], gold: dict[str, Any]) -> dict[str, list[i
 
     def rows(name: str, mine: list[dict], theirs: list[dict]) -> None:
         used: set[int] = set()
+        known: dict[tuple, list[tuple[Counter, int]]] = {}  # gold rows over the keys of a predicted one: characters and length
+
+        def over(keys: tuple) -> list[tuple[Counter, int]]:
+            texts = ("-".join(_text(x.get(c)) for c in keys) for x in theirs)
+            return [(Counter(t), len(t)) for t in texts]
+
         for row in mine:
             own = "-".join(_text(v) for v in row.values())
+            keys = tuple(row)
+            if keys not in known:
+                known[keys] = over(keys)
             free = [k for k in range(len(theirs)) if k not in used]
-            score = {k: likeness(own, "-".join(_text(theirs[k].get(c)) for c in row)) for k in free}
+            chars, n = Counter(own), len(own)
+            score = {k: _alike(chars, n, *known[keys][k]) for k in free}
             best = max(free, key=lambda k: (score[k], k), default=None)
             match = theirs[best] if best is not None and theirs[best] else None
             if match is not None:
@@ -81,22 +94,30 @@ def field_counts(pred: dict[str, Any], gold: dict[str, Any]) -> dict[str, list[i
 _COUNTS = "field string, field_order int, right_num bigint, pred_num bigint, gt_num bigint"
 
 
-def sample_counts(samples: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
-    """A row for each field of each sample. Documents are JSON objects; null or unreadable ones count as empty."""
+def _read(text: Any) -> dict[str, Any]:
+    try:
+        value = json.loads(text)
+    except (TypeError, ValueError):
+        return {}
+    return value if isinstance(value, dict) else {}
+
 
-    def read(text: Any) -> dict[str, Any]:
-        try:
-            value = json.loads(text)
-        except (TypeError, ValueError):
-            return {}
-        return value if isinstance(value, dict) else {}
+def summed_counts(samples: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
+    """A row for each field of each batch of samples: sums, and the field's least place. Documents are JSON objects; null
+    or unreadable ones count as empty."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(f, k, *n) for p, g in zip(b["pred"], b["gold"]) for k, (f, n) in enumerate(field_counts(read(p), read(g)).items())]
-            yield pd.DataFrame(rows, columns=["field", "field_order", "right_num", "pred_num", "gt_num"])
+            sums: dict[str, list[int]] = {}
+            for p, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for k, (name, n) in enumerate(field_counts(_read(p), _read(g)).items()):
+                    held = sums.setdefault(name, [k, 0, 0, 0])
+                    held[:] = min(held[0], k), held[1] + n[0], held[2] + n[1], held[3] + n[2]
+            columns = [pa.array(list(sums), pa.string()), pa.array([v[0] for v in sums.values()], pa.int32())]
+            columns += [pa.array([v[c] for v in sums.values()], pa.int64()) for c in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays(columns, ["field", "field_order", "right_num", "pred_num", "gt_num"])
 
-    return samples.select(F.col(pred).alias("pred"), F.col(gold).alias("gold")).mapInPandas(each, _COUNTS)
+    return samples.select(F.col(pred).alias("pred"), F.col(gold).alias("gold")).mapInArrow(each, _COUNTS)
 
 
 def flat_counts(samples: DataFrame, by: str, pred: str, gold: str) -> DataFrame:
@@ -130,7 +151,7 @@ def scores(counts: DataFrame) -> DataFrame:
 
 def field_f1(samples: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
     """The scores of samples with JSON documents."""
-    return scores(sample_counts(samples, pred, gold))
+    return scores(summed_counts(samples, pred, gold))
 
 
 def flattened(value: dict[str, Any], path: str = "") -> list[tuple[str, Any]]:

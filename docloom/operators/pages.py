@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: How far a box may be off its row (pixels without a height, else shares of it), and how much overlap in
@@ -102,16 +103,36 @@ def text_rows(boxes: list[tuple[str, list[list[float]]]], fixed: bool = False) -
     return [[b.place for b in row] for row in rows_at(first if abs(first) > abs(second) else second)]
 
 
+def _boxes(held: pa.ListArray) -> Iterator[list[tuple[str, list[list[float]]]]]:
+    """The (text, points) boxes of each page, from flat arrays where every box has four points of two numbers."""
+    flat = held.flatten()
+    texts, points = flat.field("text").to_pylist(), flat.field("points")
+    inner = points.flatten()
+    values = inner.flatten()
+    if len(inner) == 4 * len(flat) and len(values) == 8 * len(flat) and not (points.null_count or inner.null_count or values.null_count):
+        corners = values.to_numpy().reshape(-1, 4, 2).tolist()
+    else:
+        corners = points.to_pylist()
+    end = 0
+    for n in pc.fill_null(pc.list_value_length(held), 0).to_pylist():
+        yield list(zip(texts[end : end + n], corners[end : end + n]))
+        end += n
+
+
 def page_rows(pages: DataFrame, boxes: str = "boxes", fixed: bool = False) -> DataFrame:
-    """pages with page_rows: array of arrays of places (from 0) in boxes (array of struct with text and points)."""
+    """pages with page_rows: array of arrays of places (from 0) in boxes (array of struct with text and points).
+
+    A page without boxes, or null ones, is one empty row.
+    """
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.assign(page_rows=[text_rows([(x["text"], [list(p) for p in x["points"]]) for x in page], fixed) for page in b[boxes]])
+            rows = pa.array([text_rows(page, fixed) for page in _boxes(b.column(boxes))], pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*b.columns, rows], [*b.schema.names, "page_rows"])
 
     from pyspark.sql import types as T
 
-    return pages.mapInPandas(each, T.StructType([*pages.schema.fields, T.StructField("page_rows", T.ArrayType(T.ArrayType(T.IntegerType())))]))
+    return pages.mapInArrow(each, T.StructType([*pages.schema.fields, T.StructField("page_rows", T.ArrayType(T.ArrayType(T.IntegerType())))]))
 
 
 def shelves(sizes: list[tuple[int, int]], canvas: tuple[int, int], seed: int = 0, gaps: tuple[int, int] = (2, 5)) -> list[tuple[int, int, int, int]]:
