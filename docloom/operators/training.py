@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 from collections.abc import Callable, Iterator
@@ -16,37 +17,67 @@ from pyspark.sql.pandas.functions import PandasUDFType
 from ..functions import codec, sequences as seq
 from .splits import numbered
 
+#: Fixed value: how rank vocabularies part texts.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
 
 def target(truth: Column, eos: str = "</s>", sort: bool = True) -> Column:
     """Ground truth (JSON text of any depth) as tag tokens and an end mark."""
     return F.concat(codec.over_json(lambda v: codec.tags(v, sort))(truth), F.lit(eos))
 
 
-def encoded(text: Column, path: str, most: int | None = None) -> Column:
-    """Token ids by a tokenizer file, cut to `most`; the file is read once a worker task."""
+class Codec:
+    """Text to ids and back by a vocabulary file: tokenizer.json, a sentencepiece .model, or lines of ranks (.tiktoken).
 
-    @pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
+    Rank files hold no special tokens: `special` names them with their ids, `pattern` parts texts before merging.
+    """
+
+    def __init__(self, path: str, pattern: str = PATTERN, special: dict[str, int] | None = None):
+        if path.endswith(".json"):
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(path)
+            self.encode = lambda texts: [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
+            self.decode = own.decode_batch
+        elif path.endswith(".model"):
+            import sentencepiece
+
+            pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = lambda texts: pieces.encode(texts, num_threads=1)
+            self.decode = pieces.decode
+        elif path.endswith(".tiktoken"):
+            import tiktoken
+
+            with open(path, "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
+            merges = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
+            self.encode = lambda texts: [merges.encode(t, allowed_special="all", disallowed_special=()) for t in texts]
+            self.decode = lambda rows: [merges.decode(row, errors="replace") for row in rows]
+        else:
+            raise ValueError(f"not a vocabulary file: {path}")
+
+
+def encoded(text: Column, path: str, most: int | None = None, special: dict[str, int] | None = None) -> Column:
+    """Token ids by a vocabulary file (see Codec), cut to `most`; the file is read once a worker task."""
 
-        own = Tokenizer.from_file(path)
+    @pandas_udf(T.ArrayType(T.IntegerType()))
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Codec(path, special=special)
         for texts in batches:
-            found = own.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
-            yield pd.Series([x.ids[:most] for x in found])
+            yield pd.Series([x[:most] for x in own.encode(texts.fillna("").tolist())], dtype=object)
 
     return ids(text)
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """The text of token ids."""
+def decoded(ids: Column, path: str, special: dict[str, int] | None = None) -> Column:
+    """The text of token ids; null stays null."""
 
-    @pandas_udf("string")
+    @pandas_udf(T.StringType())
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_file(path)
+        own = Codec(path, special=special)
         for rows in batches:
-            yield pd.Series(own.decode_batch([list(map(int, r)) for r in rows]))
+            found = iter(own.decode([list(map(int, r)) for r in rows if r is not None]))
+            yield pd.Series([None if r is None else next(found) for r in rows], dtype=object)
 
     return text(ids)
 
@@ -119,6 +150,25 @@ def predicted(rows: DataFrame, make_model: Callable[[], Callable[[list[dict[str,
     return rows.withColumn(out, pandas_udf(answers, "string", PandasUDFType.SCALAR_ITER)(F.to_json(F.struct(*columns))))
 
 
-def record(rows: DataFrame, key: str, value: object) -> DataFrame:
-    """The rows of one key; partition and column pruning make this a read of the file parts that may hold it."""
-    return rows.filter(F.col(key) == F.lit(value))
+def record(rows: DataFrame, key: str, value: object, encode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The rows of one key, encoded if asked; partition and column pruning make this a read of the file parts that may
+    hold it, and nothing else is encoded."""
+    found = rows.filter(F.col(key) == F.lit(value))
+    return encode(found) if encode else found
+
+
+def items(rows: DataFrame, path: str, length: int = 768, pad: int = 1, image: str | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+    """Training records as a model takes them: target and labels, and width, height and pixels of the image file's bytes
+    in column `image`, turned by the record's angle."""
+    out = preprocessed(rows, path, length, pad)
+    if image is None:
+        return out
+
+    @pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("pixels", T.BinaryType())]))
+    def pixels(data: pd.Series, angle: pd.Series) -> pd.DataFrame:
+        from ..sources.readers import decoded_image
+
+        found = [None if d is None else decoded_image(bytes(d), size=size, angle=None if pd.isna(a) else a) for d, a in zip(data, angle)]
+        return pd.DataFrame([f or (None, None, None) for f in found], columns=["width", "height", "pixels"])
+
+    return out.withColumn("image_", pixels(image, rotation(F.col("angle")))).select(*[c for c in out.columns if c != image], "image_.*")

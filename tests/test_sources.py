@@ -122,6 +122,20 @@ def test_json_arrays(spark, tmp_path):
         writers.json_text(rows, most=499)
 
 
+def test_metric_workbook(spark, tmp_path):
+    import xml.etree.ElementTree as xml
+    import zipfile
+
+    rows = [("a<b", 2, 1, 0.5), ("total", 9, 3, None), ("first", 1, 2, 1.0)]
+    writers.metric_xlsx(spark.createDataFrame(rows, "field string, field_order int, right_num bigint, f1 double"), f"file://{tmp_path}/m.xlsx")
+    with zipfile.ZipFile(f"{tmp_path}/m.xlsx") as book:
+        assert all(xml.fromstring(book.read(n)) is not None for n in book.namelist())
+        sheet = xml.fromstring(book.read("xl/worksheets/sheet1.xml"))
+    assert [["".join(c.itertext()) for c in row] for row in sheet[0]] == [["field", "right_num", "f1"], ["first", "2", "1.0"], ["a<b", "1", "0.5"], ["total", "3", ""]]
+    with pytest.raises(ValueError):
+        writers.metric_xlsx(spark.createDataFrame(rows, "field string, field_order int, right_num bigint, f1 double"), f"{tmp_path}/n.xlsx", most=2)
+
+
 def test_images_with_a_broken_one(spark, tmp_path):
     Image = pytest.importorskip("PIL.Image")
     Image.new("RGB", (4, 3), (1, 2, 3)).save(f"{tmp_path}/a.png")

@@ -52,3 +52,21 @@ def test_batches_of_a_whole_table(spark):
     df = spark.range(1000).select("id", F.array_repeat(F.lit(1), (F.col("id") % 5).cast("int")).alias("ids")).repartition(7)
     rows = training.collated(df, "id", "ids", 16, 0).collect()
     assert all(r["batch"] == r["id"] // 16 and len(r["input_ids"]) == 4 for r in rows) and len(rows) == 1000
+
+
+@pytest.mark.parametrize("name,special", [("byte_bpe_50k.json", None), ("byte_bpe_multi_50k.tiktoken", {"<|end|>": 50256}), ("piece_bpe_32k.model", None)])
+def test_vocabulary_files(spark, name, special):
+    path = pytest.importorskip("public_tokenizers").path(name)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(("Hello, tokens!", "zwei Wörter", "", None))], "k int, t string")
+    rows = df.withColumn("ids", training.encoded(F.col("t"), path, special=special)).withColumn("back", training.decoded(F.col("ids"), path, special=special)).orderBy("k").collect()
+    assert [r["back"] for r in rows] == ["Hello, tokens!", "zwei Wörter", "", ""] and len(rows[0]["ids"]) > 2 and rows[3]["ids"] == []
+    if special:
+        assert df.select(training.encoded(F.lit("a<|end|>"), path, special=special).alias("ids")).collect()[0]["ids"][-1] == 50256
+    with pytest.raises(ValueError):
+        training.Codec("vocab.txt")
+
+
+def test_one_item_is_encoded(spark):
+    df = spark.createDataFrame([("1", '{"a": "x"}', 90.0), ("2", '{"a": "y"}', 0.0)], "id string, ground_truth string, angle double")
+    found = training.record(df, "id", "2", lambda rows: training.items(rows, tokenizer(), length=16, pad=0)).collect()
+    assert len(found) == 1 and found[0]["target"] == "<s_a>y</s_a></s>" and len(found[0]["labels"]) == 16
