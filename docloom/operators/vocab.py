@@ -47,10 +47,12 @@ def trained_merges(vocab: DataFrame, merges: int, order: str | None = None) -> l
     """(left, right, freq) of each merge, most frequent pair first.
 
     Ties go to the pair that stands first in the words' order (column `order`), else to the smaller pair. One row comes
-    to the driver for each merge; the vocabulary is checkpointed every few merges, as its plan grows with them.
+    to the driver for each merge. The vocabulary is checkpointed first, as each merge reads it, and every few merges, as
+    its plan grows with them; only words that hold both symbols are gone through.
     """
     from ..plans.session import shared_checkpoint
 
+    vocab = shared_checkpoint(vocab)
     out: list[tuple[str, str, int]] = []
     for k in range(merges):
         if order is None:
@@ -65,7 +67,8 @@ def trained_merges(vocab: DataFrame, merges: int, order: str | None = None) -> l
             break
         left, right, freq = best[0]["left"], best[0]["right"], best[0]["freq"]
         out.append((left, right, freq))
-        vocab = vocab.withColumn("symbols", merged(F.col("symbols"), F.lit(left), F.lit(right)))
+        held = F.array_contains("symbols", left) & F.array_contains("symbols", right)
+        vocab = vocab.withColumn("symbols", F.when(held, merged(F.col("symbols"), F.lit(left), F.lit(right))).otherwise(F.col("symbols")))
         if k % 8 == 7:
             vocab = shared_checkpoint(vocab)
     return out

@@ -485,9 +485,9 @@ SELECT l_orderkey, l_linenumber, round(x + w / 8, 6) AS first_left, round(x + w
   round(x + w * 3 / 4, 6) AS last_left, round(x + w, 6) AS last_right FROM ({_BOX_SQL})""")
 def char_spans(spark, sf):
     x, w = F.col("x").cast("double"), F.col("w").cast("double")
-    s = bx.char_spans(F.col("points"), F.array(x + w / 4, x + w / 2, x + w * 7 / 8))
-    spans = [F.round(s[k][side], 6).alias(f"{name}_{side}") for k, name in enumerate(("first", "mid", "last")) for side in ("left", "right")]
-    return _line_boxes(spark, sf).select("l_orderkey", "l_linenumber", *spans)
+    rows = _line_boxes(spark, sf).withColumn("s", bx.char_spans(F.col("points"), F.array(x + w / 4, x + w / 2, x + w * 7 / 8)))
+    spans = [F.round(F.col("s")[k][side], 6).alias(f"{name}_{side}") for k, name in enumerate(("first", "mid", "last")) for side in ("left", "right")]
+    return rows.select("l_orderkey", "l_linenumber", *spans)
 
 
 @query("ocr_rows")
