@@ -1,7 +1,7 @@
 """Links inside groups of any size.
 
-A task compares all rows of a small group, or of two chunks of a large one. Components are all that is asked for, so a
-large group is not met in all pairs of its chunks at once:
+A task compares all rows of a small group, or of two chunks of a larger one. Up to ``CHUNKS`` chunks are met in all pairs,
+which moves a row as often at most. Components are all that is asked for, so beyond that a group is met in steps:
 
 1. Each chunk is compared within itself. Rows that hang together get one label.
 2. One row of each label meets those of the others, in pairs of chunks.
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import scratch, staged
 
+#: Chunks of a group that are met in all pairs at once.
+CHUNKS = 8
 Finder = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -57,26 +59,31 @@ def spanning(rows: DataFrame, by: list[str], node: str, load: Column, chunk_rows
     rest = [c for c in rows.columns if c not in (*by, node)]
     with scratch(rows.sparkSession) as keep:
         sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(load).alias("load"))
-        heavy = staged(sizes.select(*by, _chunks(F.col("n"), F.col("load"), chunk_rows, chunk_load).alias("m"), "n").filter("m > 1"))
-        if heavy.isEmpty():
-            found = staged(dealt(rows, by, node, rest, F.array(_long(0)), find).distinct())
-            keep(found)
-            return found
+        several = staged(sizes.select(*by, _chunks(F.col("n"), F.col("load"), chunk_rows, chunk_load).alias("m"), "n").filter("m > 1"))
         chunk = F.pmod(F.xxhash64(node), F.col("m"))
-        first = staged(dealt(rows.join(heavy, by, "left"), by, node, rest, F.array(F.coalesce(chunk, _long(0))), find).distinct())
+        pairs = _upto(F.col("m"), lambda j: _pair(chunk, j, F.col("m")))
+        parts = F.when(F.col("m").isNull(), F.array(_long(0))).when(F.col("m") <= CHUNKS, pairs).otherwise(F.array(chunk))
+        if several.isEmpty():
+            first = staged(dealt(rows, by, node, rest, F.array(_long(0)), find).distinct())
+        else:
+            first = staged(dealt(rows.join(several, by, "left"), by, node, rest, parts, find).distinct())
+        heavy = several.filter(F.col("m") > CHUNKS)
+        if heavy.isEmpty():
+            keep(first)
+            return first
 
         def labelled(edges: DataFrame) -> DataFrame:
             """Rows of large groups with their label."""
-            of = components(edges).select(F.col("node").alias("node_"), "root")
+            of = components(edges).select(F.col("node").alias("node_"), F.col("root").alias("root_"))
             own = rows.join(heavy.select(*by, "n"), by).withColumn("load_", load)
-            return staged(own.join(of, F.col(node) == F.col("node_"), "left").select(*by, "n", node, *rest, "load_", F.coalesce("root", node).alias("label")))
+            return staged(own.join(of, F.col(node) == F.col("node_"), "left").select(*by, "n", node, *rest, "load_", F.coalesce("root_", node).alias("label")))
 
         large = labelled(first)
         one = large.groupBy(*by, "label").agg(F.min(node).alias(node))
         told = staged(large.join(one.select(*by, node), [*by, node]).select(*by, node, *rest, "load_"))
         m = told.groupBy(*by).agg(F.count(F.lit(1)).alias("labels"), _chunks(F.count(F.lit(1)), F.sum("load_"), chunk_rows, chunk_load).alias("m"))
         counts = staged(m)
-        second = staged(dealt(told.join(counts, by), by, node, rest, _upto(F.col("m"), lambda j: _pair(chunk, j, F.col("m"))), find).distinct())
+        second = staged(dealt(told.join(counts, by), by, node, rest, pairs, find).distinct())
 
         large = labelled(first.union(second))
         labels = large.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("load_").alias("load"), F.max("n").alias("n"))

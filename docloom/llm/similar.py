@@ -5,7 +5,7 @@
 2. Nodes meet in buckets. Keys of fingerprint bits would have to be many and wide at this bound (0.8 of the shingles are
    0.85 of the bits: 635 keys of 30 bits find 0.99 of the pairs), so a key is the least values of the set under ROWS
    mixed orders: of KEYS keys a pair of similarity s shares one with probability 1 - (1 - s ** ROWS) ** KEYS, which is
-   0.9996 at 0.8 and more above, at any number of nodes.
+   0.99998 at 0.8 and more above, at any number of nodes.
 3. In a bucket the pivot table discards pairs (references from the bucket) and the fingerprints verify the others at
    ``DISTANCE``, 4.5 standard deviations above the mean of the worst sets at 0.8. This is ``simhash.links``: a spanning
    forest of what is left. Its components hold candidates only, few documents of a corpus.
@@ -30,7 +30,7 @@ from .simhash import _fps, _hashes, components, links, majority
 #: Words of a fingerprint, and the bits in which two of them may differ.
 WORDS, DISTANCE = 4, 76
 #: Values in a key, and keys.
-ROWS, KEYS = 5, 20
+ROWS, KEYS = 5, 28
 #: Nodes and hashes of a chunk; a candidate component beyond either is dealt out in chunks.
 CHUNK, HASHES = 1024, 1 << 19
 #: Values of the mixed orders held at once.

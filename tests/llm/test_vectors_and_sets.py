@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from docloom.llm import ann, mixing, packing, queries, simhash, similar, topk
+from docloom.llm import ann, meeting, mixing, packing, queries, simhash, similar, topk
 from docloom.llm.packing import Encoder
 
 from .data import SCHEMA, empty, odd, odd_rows
@@ -73,6 +73,7 @@ def near_copies(n, rng):
 def test_links_of_crowded_buckets(spark, monkeypatch, chunk, finish):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
     monkeypatch.setattr(simhash, "FINISH", finish)
+    monkeypatch.setattr(meeting, "CHUNKS", 1)
     fps = near_copies(400, np.random.default_rng(chunk))
     nodes = spark.createDataFrame([(bytearray(np.uint64(f).tobytes()),) for f in fps], "fp binary")
     edges = simhash.links(simhash.bucketed(nodes, simhash.key_masks(4, len(fps))), 4)
@@ -87,12 +88,29 @@ def test_links_of_crowded_buckets(spark, monkeypatch, chunk, finish):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+@pytest.mark.parametrize("chunk,chunks", [(4, 8), (4, 1), (20, 8)])
+def test_exact_links_of_large_components(spark, monkeypatch, chunk, chunks):
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    monkeypatch.setattr(meeting, "CHUNKS", chunks)
+    rng = np.random.default_rng(chunk)
+    texts = []
+    for k in range(4):  # chains and heaps of texts around 0.8, in one candidate component each
+        base = [f"w{k}x{j}" for j in range(60)]
+        for _ in range(25):
+            own = list(base)
+            for at in rng.choice(60, int(rng.integers(0, 3)), replace=False):
+                own[at] = f"v{rng.integers(0, 10**6)}"
+            texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["id"]: r["component"] for r in similar.similar_groups(df).collect()}
+    assert [found[k] for k in range(len(texts))] == brute_groups(texts)
+
+
 @pytest.mark.parametrize("kind", ["near copies", "two groups and strays", "strays"])
 def test_large_groups_move_few_rows(spark, monkeypatch, kind):
     """Links of a large bucket are whole; near copies move a few times each, not once for each chunk of the group."""
-    from docloom.llm import meeting
-
     monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(meeting, "CHUNKS", 2)
     rng = np.random.default_rng(17)
     near = lambda centre, n: [centre ^ sum(1 << int(b) for b in rng.choice(40, rng.integers(0, 3), replace=False)) for _ in range(n)]
     strays = [int(x) << 41 | 0x5555555555 for x in rng.integers(0, 1 << 22, 40)]
@@ -208,7 +226,7 @@ def test_pipeline_links_exactly_the_similar_texts(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     kept = [k for k, r in enumerate(brute_groups(texts)) if k == r]
     assert 150 < len(kept) < 320
-    for chunk in (similar.CHUNK, 3):
+    for chunk in (similar.CHUNK, 2):
         monkeypatch.setattr(similar, "CHUNK", chunk)
         found = {r["doc_id"] for r in cp.drop_near_duplicates(spark, df, DATA).collect()}
         assert found == set(kept)
