@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.staging import staged
+
 #: Fixed values: (train, validation, test) shares of label files, by whether "book" is in the path.
 BOOK, OTHER = (0.95, 0.025, 0.025), (0.90, 0.05, 0.05)
 
@@ -13,38 +15,38 @@ def hash_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     """df dealt out by ranges of keys and sorted, with its partition (pid_) and place in it (at_), held fast."""
-    from ..plans.session import shared_checkpoint
-
-    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return shared_checkpoint(dealt.select("*", F.spark_partition_id().alias("pid_"), (F.monotonically_increasing_id() % (1 << 33)).alias("at_")))
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return staged(ranged.select("*", F.spark_partition_id().alias("pid_"), (F.monotonically_increasing_id() % (1 << 33)).alias("at_")))
 
 
-def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, out: str = "number") -> DataFrame:
-    """df with each row's number, from 0, in order, within by.
+def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, out: str = "number", total: str | None = None) -> DataFrame:
+    """df with each row's number, from 0, in order, within by; total: a further column with the rows of the row's group.
 
     A global or a large group's order is not one sorted task: rows are dealt out by range, and the counts of the ranges
     before a row's own are added to its place.
     """
     by = by or []
-    dealt = _dealt(df, [*by, *order])
-    parts = dealt.groupBy("pid_", *by).agg(F.min("at_").alias("first_"), F.count(F.lit(1)).alias("n_"))
-    before = F.sum("n_").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("pid_")) - F.col("n_")
-    starts = parts.select(F.col("pid_").alias("p_"), *[F.col(c).alias(f"{c}_k") for c in by], (before - F.col("first_")).alias("shift_"))
+    ranged = dealt(df, [*by, *order])
+    parts = ranged.groupBy("pid_", *by).agg(F.min("at_").alias("first_"), F.count(F.lit(1)).alias("n_"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    before = F.sum("n_").over(group.orderBy("pid_")) - F.col("n_")
+    starts = parts.select(F.col("pid_").alias("p_"), *[F.col(c).alias(f"{c}_k") for c in by], (before - F.col("first_")).alias("shift_"), F.sum("n_").over(group).alias("total_"))
     same = F.col("pid_") == F.col("p_")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}_k"))
-    return dealt.join(starts, same).select(*df.columns, (F.col("at_") + F.col("shift_")).alias(out))
+    extra = [F.col("total_").alias(total)] if total else []
+    return ranged.join(staged(starts), same).select(*df.columns, (F.col("at_") + F.col("shift_")).alias(out), *extra)
 
 
 def running_total(df: DataFrame, order: list[str], value: str, out: str = "total") -> DataFrame:
     """df with the sum of value over the rows before each row, in order, by the same dealing out."""
-    dealt = _dealt(df, order)
+    ranged = dealt(df, order)
     here = F.sum(value).over(Window.partitionBy("pid_").orderBy("at_").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value)
-    parts = dealt.groupBy("pid_").agg(F.sum(value).alias("n_"))
+    parts = ranged.groupBy("pid_").agg(F.sum(value).alias("n_"))
     starts = parts.select(F.col("pid_").alias("p_"), (F.sum("n_").over(Window.orderBy("pid_")) - F.col("n_")).alias("start_"))
-    return dealt.withColumn("here_", here).join(starts, F.col("pid_") == F.col("p_")).select(*df.columns, (F.col("here_") + F.col("start_")).alias(out))
+    return ranged.withColumn("here_", here).join(staged(starts), F.col("pid_") == F.col("p_")).select(*df.columns, (F.col("here_") + F.col("start_")).alias(out))
 
 
 def split(df: DataFrame, group: str, key: str, seed: int = 42, out: str = "usage") -> DataFrame:

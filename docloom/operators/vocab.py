@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import characters, words
+from ..plans.staging import staged
 
 END = "</w>"
 
@@ -50,9 +51,7 @@ def trained_merges(vocab: DataFrame, merges: int, order: str | None = None) -> l
     to the driver for each merge. The vocabulary is checkpointed first, as each merge reads it, and every few merges, as
     its plan grows with them; only words that hold both symbols are gone through.
     """
-    from ..plans.session import shared_checkpoint
-
-    vocab = shared_checkpoint(vocab)
+    vocab = staged(vocab)
     out: list[tuple[str, str, int]] = []
     for k in range(merges):
         if order is None:
@@ -70,7 +69,7 @@ def trained_merges(vocab: DataFrame, merges: int, order: str | None = None) -> l
         held = F.array_contains("symbols", left) & F.array_contains("symbols", right)
         vocab = vocab.withColumn("symbols", F.when(held, merged(F.col("symbols"), F.lit(left), F.lit(right))).otherwise(F.col("symbols")))
         if k % 8 == 7:
-            vocab = shared_checkpoint(vocab)
+            vocab = staged(vocab)
     return out
 
 

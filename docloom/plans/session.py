@@ -43,9 +43,3 @@ def shared_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="docloom-")
     context.setCheckpointDir(configured)
     return context._jsc.sc().getCheckpointDir().get()
-
-
-def shared_checkpoint(df):
-    """df with its lineage cut in the folder that driver and executors share."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
