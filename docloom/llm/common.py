@@ -2,85 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import os
-import threading
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.session import shared_dir
+from ..plans.staging import distinct_name, scratch, staged
+
+__all__ = ["distinct_name", "lean_worker", "scratch", "staged", "table"]
 
 
 #: The option's number in glibc's malloc.h.
 _M_MMAP_THRESHOLD = -3
 
-_own = threading.local()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is gone at exit; the folder is the cluster's to clean
-        return
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage.
-
-    Unlike a checkpoint of rows the copy is columnar, compressed and has statistics; it outlives lost executors.
-    """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"staged-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    for held in _scopes():
-        held.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
-def _scopes() -> list[list[str]]:
-    """The open scopes of this thread, the paths staged in each."""
-    if not hasattr(_own, "scopes"):
-        _own.scopes = []
-    return _own.scopes
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
-    """A scope whose staged tables are deleted at its end, but for those given to what it yields."""
-    held: list[str] = []
-    kept: set[str] = set()
-    _scopes().append(held)
-    try:
-        yield lambda *tables: kept.update(t.staged_path for t in tables)
-    finally:
-        _scopes().pop()
-        for path in held:
-            if path not in kept:
-                _forget(spark, path)
-
-
-def distinct_name(df: DataFrame, wanted: str) -> str:
-    """wanted, with underscores added until df has no such column (names are compared without case)."""
-    held = {c.lower() for c in df.columns}
-    while wanted.lower() in held:
-        wanted += "_"
-    return wanted
-
-
 def lean_worker() -> None:
     """Makes a Python worker give freed memory back at once; workers live on and share an executor's memory with its JVM.
 
