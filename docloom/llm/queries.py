@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and their SQL.
+"""The registered queries of the thirteen operators and their SQL.
 
 Each applies its operator with production parameters to a whole table.
 """
@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, line_dedup, mixing, packing, quality, simhash, substring_dedup, topk, toxicity, warc
+from . import alignment, ann, line_dedup, merkle, mixing, packing, pivots, quality, simhash, substring_dedup, topk, toxicity, warc
 from .common import table
 
 
@@ -77,6 +77,29 @@ def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
 
 
+def op11_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every vector: links at a cosine of 0.98 or more under one label."""
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), bound=0.98)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' ids in every document, and how the corpus counts them."""
+    import public_tokenizers
+
+    a, b, ranks = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
+    return alignment.aligned(table(spark, sf_dir, "documents"), a, b, ranks=ranks).withColumnRenamed("id", "doc_id")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for every document, folded from its leaf, or from one of a text without line feeds where crc32(doc_id) is even."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    own = ["doc_id", "source", "lang", "n_chars"]
+    leaf = merkle.leaf_of(*own, "text")
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, merkle.leaf_of(*own, F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
+    return merkle.manifest(docs, "source", "doc_id", leaf, tampered).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ordinal_toxicity": op1_ordinal_toxicity,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -88,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_preserving_packing": op8_order_preserving_packing,
     "op9_anisotropic_ann": op9_anisotropic_ann,
     "op10_fourier_quality": op10_fourier_quality,
+    "op11_pivot_near_dedup": op11_pivot_near_dedup,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _TOPK_SQL = """
@@ -156,7 +182,51 @@ SELECT d.doc_id, d.source, p.j AS block, p.release, p.deadline, p.slot, CAST(p.f
 FROM d JOIN plan p ON d.source IS NOT DISTINCT FROM p.key AND d.r // p.br = p.j
 """
 
+_CRC = """(SELECT xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)), CAST(4294967295 AS BIGINT)))"""
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || {value} END"
+
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, coalesce('=' || source, '') AS key, sha256({" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+         CASE WHEN {_CRC} % 2 = 0 THEN sha256({" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')")))}) END AS tampered
+  FROM documents
+), d AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM l
+), t AS (
+  SELECT key, 0 AS lvl, i, n, leaf AS h FROM d
+  UNION ALL
+  SELECT key, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY key, lvl, i // 3, n
+), r AS (
+  SELECT key, h, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS lvl, i, n, h FROM r
+  UNION ALL
+  SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 3, n
+), s AS (
+  SELECT key, lvl, i, n, string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+         string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after
+  FROM (SELECT 'in' || key AS key, lvl, i, n, h FROM t UNION ALL SELECT 'over', lvl, i, n, h FROM u)
+  WINDOW w AS (PARTITION BY key, lvl, i // 3 ORDER BY i)
+), f AS (
+  SELECT d.doc_id, d.leaf, d.key, 'in' || d.key AS at, 0 AS lvl, d.i, coalesce(d.tampered, d.leaf) AS acc, '' AS proof FROM d
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.key,
+         CASE WHEN s.n > 1 THEN f.at ELSE 'over' END, CASE WHEN s.n > 1 THEN f.lvl + 1 ELSE 0 END, CASE WHEN s.n > 1 THEN f.i // 3 ELSE r.i END,
+         CASE WHEN s.n > 1 THEN sha256(coalesce(s.before, '') || f.acc || coalesce(s.after, '')) ELSE f.acc END,
+         CASE WHEN s.n > 1 THEN f.proof || coalesce(s.before, '') || coalesce(s.after, '') ELSE f.proof END
+  FROM f JOIN s ON f.at = s.key AND f.lvl = s.lvl AND f.i = s.i JOIN r ON f.key = r.key WHERE s.n > 1 OR f.at <> 'over'
+)
+SELECT f.doc_id, f.leaf, r.h AS subroot, u.h AS root, sha256(f.proof) AS proof_sha256, f.acc AS folded_root, f.acc = u.h AS verified
+FROM f JOIN s ON f.at = 'over' AND s.key = 'over' AND s.lvl = f.lvl AND s.i = f.i AND s.n = 1 JOIN r ON f.key = r.key JOIN u ON u.n = 1
+"""
+
 ORACLES: dict[str, str] = {
+    "op13_merkle_manifest": _MERKLE_SQL,
     "op4_site_line_dedup": _SITE_LINES_SQL,
     "op6_pfair_mixing": _MIXING_SQL,
     "op7_exact_topk": _TOPK_SQL,
