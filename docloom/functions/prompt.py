@@ -7,12 +7,11 @@
 from __future__ import annotations
 
 import dataclasses
-import json
 import re
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from . import codec
 
 
 @dataclasses.dataclass(frozen=True)
@@ -204,19 +203,20 @@ GLM_TOOLS = {
 }
 
 
-def glm_tools(tools: list[dict]) -> str:
-    """The system message that tells of tools: functions with their description, others by their type."""
-    parts = [GLM_SYSTEM]
-    for tool in tools:
-        kind = tool["type"]
-        if kind == "function":
-            own = tool["function"]
-            parts.append(f"## {own['name']}\n\n{json.dumps(own, ensure_ascii=False, indent=4)}\n{GLM_CALL}")
-        elif kind in GLM_TOOLS:
-            parts.append(f"## {kind}\n\n{GLM_TOOLS[kind]}")
-        else:
-            raise NotImplementedError(f"Unknown tool type {kind}")
-    return "\n\n".join(parts)
+def glm_tools(tools: Column) -> Column:
+    """The system message that tells of tools (JSON text of a list of them); null for null or an empty list.
+
+    A tool of the type function is told by its name and definition, the types of GLM_TOOLS by their text.
+    """
+    listed = F.from_json(tools, "array<struct<type:string,function:string>>")
+    told = F.create_map(*[F.lit(x) for kind, text in GLM_TOOLS.items() for x in (kind, f"## {kind}\n\n{text}")])
+
+    def section(tool: Column) -> Column:
+        own = F.concat(F.lit("## "), F.get_json_object(tool["function"], "$.name"), F.lit("\n\n"), codec.indented(tool["function"]), F.lit("\n" + GLM_CALL))
+        unknown = F.raise_error(F.concat(F.lit("no such kind of tool: "), F.coalesce(tool["type"], F.lit("null")))).cast("string")
+        return F.when(tool["type"] == "function", own).otherwise(F.coalesce(F.try_element_at(told, tool["type"]), unknown))
+
+    return F.when(F.size(listed) > 0, F.array_join(F.concat(F.array(F.lit(GLM_SYSTEM)), F.transform(listed, section)), "\n\n"))
 
 
 def glm_template(items: Column, generate: bool = True, special: bool = True, tools: Column | None = None, image: bool = False) -> Column:
@@ -239,16 +239,7 @@ def glm_template(items: Column, generate: bool = True, special: bool = True, too
 
 def glm_tool_messages(tools: Column) -> Column:
     """For each JSON text of tools the system message that tells of them; null stays null, and so do no tools."""
-
-    @pandas_udf(T.ArrayType(T.StringType()))
-    def messages(rows: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            found = json.loads(text) if text else None
-            return f"<|system|>\n{glm_tools(found)}" if found else None
-
-        return pd.Series([None if row is None else [one(x) for x in row] for row in rows], dtype=object)
-
-    return messages(tools)
+    return F.transform(tools, lambda t: F.concat(F.lit("<|system|>\n"), glm_tools(t)))
 
 
 def image_tokens(prompt: Column, tiles: Column, tokens: int = 256, start: str = "<img>", context: str = "<IMG_CONTEXT>", end: str = "</img>") -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from . import scan
 
 #: Upper bounds of the length bins.
 BINS = (1000, 2560)
@@ -37,9 +39,9 @@ def with_total(df: DataFrame, by: str, value: str, count: str | None = None) ->
 
 
 def running_mean(df: DataFrame, value: str, by: str, order: list[str], out: str = "mean_loss") -> DataFrame:
-    """Running sum over a smoothed running count, in order within each by."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.sum(value).over(w) / (F.count(F.lit(1)).over(w) + 0.001))
+    """Running sum over a smoothed running count, in order within each by; groups may be of any size."""
+    rows = scan.scanned(scan.ordered(df, [by], order), [by], [scan.Total("sum_", "sum", F.col(value)), scan.Total("n_", "count", F.lit(1))])
+    return scan.closed(rows.withColumn(out, F.col("sum_") / (F.col("n_") + 0.001)).drop("sum_", "n_"))
 
 
 def correction_scores(df: DataFrame, errors: Column, length: Column) -> DataFrame:
@@ -55,12 +57,11 @@ def size_ratio(part: Column, whole: Column, places: int = 4) -> Column:
 
 def best_so_far(df: DataFrame, value: str, by: str, order: list[str], patience: int = 3) -> DataFrame:
     """Each step with the best before it, whether it is better, its streak of steps that are not, and stopped: whether a
-    streak has reached patience by then."""
-    w = Window.partitionBy(by).orderBy(*order)
-    before = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    steps = df.withColumn("best_before", before).withColumn("improved", F.col("best_before").isNull() | (F.col(value) > F.col("best_before")))
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = steps.withColumn("run_", F.sum(F.col("improved").cast("int")).over(upto))
-    inside = Window.partitionBy(by, "run_").orderBy(*order)
-    steps = steps.withColumn("streak", F.row_number().over(inside) - 1)
-    return steps.withColumn("stopped", F.max((F.col("streak") >= patience).cast("int")).over(upto) == 1).drop("run_")
+    streak has reached patience by then. Groups may be of any size; a null is no improvement."""
+    best, n = F.col("best_before"), F.col("n_")
+    rows = scan.scanned(scan.ordered(df, [by], order), [by], [scan.Total("best_before", "max", F.col(value), before=True), scan.Total("n_", "count", F.lit(1))])
+    rows = rows.withColumn("improved", best.isNull() | F.coalesce(F.col(value) > best, F.lit(False)))
+    rows = scan.scanned(rows, [by], [scan.Total("reset_", "max", F.when(F.col("improved"), n))])
+    rows = rows.withColumn("streak", (n - F.col("reset_")).cast("int")).withColumn("late_", (F.col("streak") >= patience).cast("int"))
+    rows = scan.scanned(rows, [by], [scan.Total("stop_", "max", F.col("late_"))])
+    return scan.closed(rows.withColumn("stopped", F.col("stop_") == 1).drop("n_", "reset_", "late_", "stop_"))

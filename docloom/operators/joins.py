@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .splits import running_total
 
@@ -84,15 +88,73 @@ def placeholders_filled(prompts: DataFrame, grids: DataFrame, by: str, text: str
     return met.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("at", said.alias("said")))).alias("all_")).select(by, F.array_join(F.transform("all_", lambda x: x["said"]), "").alias("filled"))
 
 
-def overlapping(boxes: DataFrame, by: str, key: str, cell: int = 64) -> DataFrame:
-    """(by, left_key, right_key) of boxes x1, y1, x2, y2 of one page that meet, left_key < right_key.
+#: Boxes of a strip, about; and boxes and pairs that are swept together.
+STRIP, SWEPT, TRIED = 4096, 1 << 16, 1 << 20
+
 
-    Boxes meet in grid cells, so pairs are made only of boxes that share a cell; a pair counts in its first common cell.
+def _sweep(group: np.ndarray, first: np.ndarray, box: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the boxes of a group that meet, rows sorted by group and x1; box: x1, y1, x2, y2.
+
+    A line moves along x: a box meets those that begin before it ends, which stand next to it in that order. Of them the
+    ones whose y ranges meet are kept, in the strip that first holds both. first: the strip that a box begins in.
+    """
+    n = len(group)
+    values, rank = np.unique(np.concatenate((box[:, 0], box[:, 2])), return_inverse=True)
+    start, end = group * len(values) + rank[:n], group * len(values) + rank[n:]
+    todo = np.searchsorted(start, end, side="right") - np.arange(n) - 1
+    total, at = np.cumsum(todo), 0
+    while at < n:
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + TRIED, side="right")))
+        i = np.repeat(np.arange(at, upto), todo[at:upto])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(todo[at:upto]) - todo[at:upto], todo[at:upto])
+        meet = (box[i, 1] <= box[j, 3]) & (box[j, 1] <= box[i, 3]) & (first[i] | first[j])
+        if meet.any():
+            yield i[meet], j[meet]
+        at = upto
+
+
+def overlapping(boxes: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, left_key, right_key) of boxes x1, y1, x2, y2 of one page that meet or touch, left_key < right_key.
+
+    A plane sweep over each page; a page of more than STRIP boxes is parted by height into strips, each a task's work of
+    its own, and a box stands in all strips that it reaches. A pair counts in the strip that holds the upper edge of its
+    common part. Boxes with nulls, and boxes whose x2 or y2 lies before x1 or y1, meet nothing.
     """
-    whole = lambda c: F.floor(F.col(c) / cell).cast("int")
-    tiled = boxes.select(by, key, "x1", "y1", "x2", "y2", F.explode(F.sequence(whole("x1"), whole("x2"))).alias("cx")).select("*", F.explode(F.sequence(whole("y1"), whole("y2"))).alias("cy"))
-    a, b = tiled.alias("a"), tiled.alias("b")
-    meet = (F.col("a.x1") <= F.col("b.x2")) & (F.col("b.x1") <= F.col("a.x2")) & (F.col("a.y1") <= F.col("b.y2")) & (F.col("b.y1") <= F.col("a.y2"))
-    first = (F.col("a.cx") == F.greatest(F.floor(F.col("a.x1") / cell), F.floor(F.col("b.x1") / cell))) & (F.col("a.cy") == F.greatest(F.floor(F.col("a.y1") / cell), F.floor(F.col("b.y1") / cell)))
-    on = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
-    return a.join(b, on & meet & first).select(F.col(f"a.{by}").alias(by), F.col(f"a.{key}").alias("left_key"), F.col(f"b.{key}").alias("right_key"))
+    edges = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    rows = boxes.select(by, key, *edges).filter("x1 <= x2 AND y1 <= y2")
+    pages = rows.groupBy(by).agg(F.min("y1").alias("top_"), F.max("y1").alias("low_"), F.ceil(F.count(F.lit(1)) / STRIP).alias("strips_"))
+    met = rows.join(pages.withColumnRenamed(by, "page_"), F.col(by).eqNullSafe(F.col("page_")))
+    strip = lambda y: F.when(F.col("low_") > F.col("top_"), F.least(F.col("strips_") - 1, F.floor((y - F.col("top_")) / (F.col("low_") - F.col("top_")) * F.col("strips_")))).otherwise(F.lit(0)).cast("int")
+    met = met.withColumn("from_", strip(F.col("y1"))).withColumn("strip_", F.explode(F.sequence("from_", strip(F.least("y2", "low_")))))
+    met = met.withColumn("first_", F.col("from_") == F.col("strip_")).select(by, key, "strip_", "first_", "x1", "y1", "x2", "y2")
+    dealt = met.repartition(by, "strip_").sortWithinPartitions(by, "strip_", "x1")
+    schema = T.StructType([dealt.schema[by], T.StructField("a", dealt.schema[key].dataType), T.StructField("b", dealt.schema[key].dataType)])
+
+    def swept(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        page, strips = t[by].combine_chunks().dictionary_encode("encode").indices.to_numpy(), t["strip_"].to_numpy()
+        group = np.concatenate(([0], np.cumsum((page[1:] != page[:-1]) | (strips[1:] != strips[:-1]))))
+        box = np.stack([t[c].to_numpy() for c in ("x1", "y1", "x2", "y2")], 1)
+        pages, keys = t[by].combine_chunks(), t[key].combine_chunks()
+        for i, j in _sweep(group, t["first_"].to_numpy(), box):
+            i, j = pa.array(i), pa.array(j)
+            yield pa.RecordBatch.from_arrays([pages.take(i), keys.take(i), keys.take(j)], [by, "a", "b"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            rest = pa.concat_tables([rest, t]) if rest is not None else t
+            if rest.num_rows < SWEPT:
+                continue
+            last = [rest[c][-1].as_py() for c in (by, "strip_")]
+            cut = rest.num_rows
+            while cut and [rest[c][cut - 1].as_py() for c in (by, "strip_")] == last:
+                cut -= 1
+            if cut:
+                yield from swept(rest.slice(0, cut))
+                rest = rest.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from swept(rest)
+
+    found = dealt.mapInArrow(each, schema).filter("a <> b")
+    return found.select(by, F.least("a", "b").alias("left_key"), F.greatest("a", "b").alias("right_key"))

@@ -15,12 +15,9 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.functions import PandasUDFType
 
 from ..functions import codec, sequences as seq
+from ..functions.text import PRE_TOKEN
 from .splits import numbered
 
-#: Fixed value: how rank vocabularies part texts.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-
-
 def target(truth: Column, eos: str = "</s>", sort: bool = True) -> Column:
     """Ground truth (JSON text of any depth) as tag tokens and an end mark."""
     return F.concat(codec.over_json(lambda v: codec.tags(v, sort))(truth), F.lit(eos))
@@ -32,7 +29,7 @@ class Codec:
     Rank files hold no special tokens: `special` names them with their ids, `pattern` parts texts before merging.
     """
 
-    def __init__(self, path: str, pattern: str = PATTERN, special: dict[str, int] | None = None):
+    def __init__(self, path: str, pattern: str = PRE_TOKEN, special: dict[str, int] | None = None):
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -57,24 +54,24 @@ class Codec:
             raise ValueError(f"not a vocabulary file: {path}")
 
 
-def encoded(text: Column, path: str, most: int | None = None, special: dict[str, int] | None = None) -> Column:
+def encoded(text: Column, path: str, most: int | None = None, special: dict[str, int] | None = None, pattern: str = PRE_TOKEN) -> Column:
     """Token ids by a vocabulary file (see Codec), cut to `most`; the file is read once a worker task."""
 
     @pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Codec(path, special=special)
+        own = Codec(path, pattern, special)
         for texts in batches:
             yield pd.Series([x[:most] for x in own.encode(texts.fillna("").tolist())], dtype=object)
 
     return ids(text)
 
 
-def decoded(ids: Column, path: str, special: dict[str, int] | None = None) -> Column:
+def decoded(ids: Column, path: str, special: dict[str, int] | None = None, pattern: str = PRE_TOKEN) -> Column:
     """The text of token ids; null stays null."""
 
     @pandas_udf(T.StringType())
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Codec(path, special=special)
+        own = Codec(path, pattern, special)
         for rows in batches:
             found = iter(own.decode([list(map(int, r)) for r in rows if r is not None]))
             yield pd.Series([None if r is None else next(found) for r in rows], dtype=object)

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import characters, words
-from ..plans.staging import staged
-
-END = "</w>"
+from . import bpe
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
@@ -17,7 +15,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
 def symbols(counts: DataFrame) -> DataFrame:
     """(word, symbols, freq): words as characters and an end mark."""
-    return counts.select("word", F.concat(characters(F.col("word")), F.array(F.lit(END))).alias("symbols"), "freq")
+    return counts.select("word", F.concat(characters(F.col("word")), F.array(F.lit(bpe.END))).alias("symbols"), "freq")
 
 
 def pair_counts(vocab: DataFrame) -> DataFrame:
@@ -32,45 +30,14 @@ def token_counts(vocab: DataFrame) -> DataFrame:
     return vocab.select(F.explode("symbols").alias("token"), "freq").groupBy("token").agg(F.sum("freq").alias("freq"))
 
 
-def merged(symbols_col: Column, left: Column, right: Column) -> Column:
-    """Symbols with each (left, right) joined, from left to right and without overlaps."""
-    empty = F.array().cast("array<string>")
-
-    def step(acc: Column, x: Column) -> Column:
-        joins = (F.size(acc["out"]) > 0) & ~acc["fresh"] & (F.element_at(acc["out"], -1) == left) & (x == right)
-        out = F.when(joins, F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.concat(left, right)))).otherwise(F.concat(acc["out"], F.array(x)))
-        return F.struct(out.alias("out"), F.coalesce(joins, F.lit(False)).alias("fresh"))
-
-    return F.aggregate(symbols_col, F.struct(empty.alias("out"), F.lit(False).alias("fresh")), step, lambda a: a["out"])
-
-
-def trained_merges(vocab: DataFrame, merges: int, order: str | None = None) -> list[tuple[str, str, int]]:
-    """(left, right, freq) of each merge, most frequent pair first.
-
-    Ties go to the pair that stands first in the words' order (column `order`), else to the smaller pair. One row comes
-    to the driver for each merge. The vocabulary is checkpointed first, as each merge reads it, and every few merges, as
-    its plan grows with them; only words that hold both symbols are gone through.
-    """
-    vocab = staged(vocab)
-    out: list[tuple[str, str, int]] = []
-    for k in range(merges):
-        if order is None:
-            best = pair_counts(vocab).orderBy(F.desc("freq"), "left", "right").limit(1).collect()
-        else:
-            s = F.col("symbols")
-            n = F.greatest(F.size(s) - 1, F.lit(0))
-            pairs = F.transform(F.arrays_zip(F.slice(s, F.lit(1), n).alias("left"), F.slice(s, F.lit(2), n).alias("right")), lambda p, i: F.struct(p["left"].alias("left"), p["right"].alias("right"), i.alias("at")))
-            each = vocab.select(order, "freq", F.explode(pairs).alias("p"))
-            best = each.groupBy("p.left", "p.right").agg(F.sum("freq").alias("freq"), F.min(F.struct(order, "p.at")).alias("first")).orderBy(F.desc("freq"), "first").limit(1).collect()
-        if not best:
-            break
-        left, right, freq = best[0]["left"], best[0]["right"], best[0]["freq"]
-        out.append((left, right, freq))
-        held = F.array_contains("symbols", left) & F.array_contains("symbols", right)
-        vocab = vocab.withColumn("symbols", F.when(held, merged(F.col("symbols"), F.lit(left), F.lit(right))).otherwise(F.col("symbols")))
-        if k % 8 == 7:
-            vocab = staged(vocab)
-    return out
+def merges(vocab: DataFrame, n: int, order: str | None = None) -> DataFrame:
+    """(merge_no, left, right, freq) of the first n merges (see bpe.learned)."""
+    return bpe.learned(vocab, n, order)[0]
+
+
+def trained_merges(vocab: DataFrame, n: int, order: str | None = None) -> list[tuple[str, str, int]]:
+    """(left, right, freq) of each merge, in order."""
+    return [(r["left"], r["right"], r["freq"]) for r in merges(vocab, n, order).orderBy("merge_no").collect()]
 
 
 def most_frequent_pair(vocab: DataFrame) -> DataFrame:

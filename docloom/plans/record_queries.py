@@ -472,12 +472,18 @@ def cross_rates(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", F.round(rate, 8).alias("rate"))
 
 
+#: What is added around a box, so that a share of the boxes meets those beside and below them.
+_AROUND = (25, 7)
+
+
 @query("box_overlaps", f"""
-WITH b AS ({_BOX_SQL}) SELECT a.l_orderkey, a.l_linenumber AS left_key, c.l_linenumber AS right_key FROM b a JOIN b c ON a.l_orderkey = c.l_orderkey AND a.l_linenumber < c.l_linenumber
-WHERE a.x <= c.x + c.w AND c.x <= a.x + a.w AND a.y <= c.y + 20 + c.tilt AND c.y <= a.y + 20 + a.tilt""")
+WITH b AS (SELECT l_orderkey, l_linenumber, x - {_AROUND[0]} AS x1, y - {_AROUND[1]} AS y1, x + w + {_AROUND[0]} AS x2, y + 20 + tilt + {_AROUND[1]} AS y2 FROM ({_BOX_SQL}))
+SELECT a.l_orderkey, a.l_linenumber AS left_key, c.l_linenumber AS right_key FROM b a JOIN b c ON a.l_orderkey = c.l_orderkey AND a.l_linenumber < c.l_linenumber
+WHERE a.x1 <= c.x2 AND c.x1 <= a.x2 AND a.y1 <= c.y2 AND c.y1 <= a.y2""")
 def box_overlaps(spark, sf):
-    b = _line_boxes(spark, sf).select("l_orderkey", "l_linenumber", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + 20 + F.col("tilt")).alias("y2"))
-    return joins.overlapping(b, "l_orderkey", "l_linenumber", cell=256)
+    x, y, w, (dx, dy) = F.col("x"), F.col("y"), F.col("w"), _AROUND
+    b = _line_boxes(spark, sf).select("l_orderkey", "l_linenumber", (x - dx).alias("x1"), (y - dy).alias("y1"), (x + w + dx).alias("x2"), (y + 20 + F.col("tilt") + dy).alias("y2"))
+    return joins.overlapping(b, "l_orderkey", "l_linenumber")
 
 
 @query("char_spans", f"""

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from .session import shared_dir
 
@@ -43,6 +44,25 @@ def staged(df: DataFrame, compression: str | None = None) -> DataFrame:
     return out
 
 
+class Log:
+    """A staged table that grows: what is added stands in one folder, which is read as one table."""
+
+    def __init__(self, spark: SparkSession, schema: StructType):
+        self.spark, self.schema = spark, schema
+        self.staged_path = os.path.join(shared_dir(spark), f"log-{uuid.uuid4().hex}")
+        self.parts = 0
+        atexit.register(forget, spark, self.staged_path)
+        for held in _scopes():
+            held.append(self.staged_path)
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.staged_path)
+        self.parts += 1
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.staged_path)
+
+
 def _scopes() -> list[list[str]]:
     """The open scopes of this thread, the paths staged in each."""
     if not hasattr(_own, "scopes"):

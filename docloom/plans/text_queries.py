@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window, functions as F
 
 from ..functions import prompt, sequences as seq, text as tx
-from ..operators import aggregates, joins, records, splits, vocab
+from ..operators import aggregates, joins, records, splits, tokens, vocab
 from .registry import query, table
 
 # --- documents -------------------------------------------------------------------------------------------------------
@@ -128,8 +130,12 @@ def _merges_sql(n: int) -> str:
 
 @query("bpe_5_merges", _merges_sql(5))
 def bpe_5_merges(spark, sf):
-    found = vocab.trained_merges(_symbols(spark, sf), 5)
-    return spark.createDataFrame([(k, *m) for k, m in enumerate(found)], 'merge_no int, left string, right string, freq bigint')
+    return vocab.merges(_symbols(spark, sf), 5)
+
+
+@query("bpe_50_merges", _merges_sql(50))
+def bpe_50_merges(spark, sf):
+    return vocab.merges(_symbols(spark, sf), 50)
 
 
 @query("unk_words", f"SELECT word, freq FROM ({_WORDS_SQL.format(t='text', f='documents')}) WHERE word NOT IN (SELECT word FROM ({_WORDS_SQL.format(t='text', f='benchmark')}))")
@@ -394,7 +400,7 @@ def _items(spark, sf):
 
 
 _FIRST_TOOLS = '[{"type": "python"}, {"type": "function", "function": {"name": "find", "parameters": {"query": "文本"}}}]'
-_TOOLS_SQL = "<|system|>" + "\n" + prompt.glm_tools([{"type": "python"}, {"type": "function", "function": {"name": "find", "parameters": {"query": "文本"}}}])
+_TOOLS_SQL = "<|system|>\n" + "\n\n".join([prompt.GLM_SYSTEM, "## python\n\n" + prompt.GLM_TOOLS["python"], "## find\n\n" + json.dumps(json.loads(_FIRST_TOOLS)[1]["function"], ensure_ascii=False, indent=4) + "\n" + prompt.GLM_CALL])
 
 
 @query("glm_tool_template", f"""
@@ -500,18 +506,18 @@ def _text(e):
 
 
 @query("label_mask", f"""
-SELECT conv_id, turn, {_J("list_transform(ids, lambda x, i: CASE WHEN i <= pos THEN -100 ELSE x END)")} AS labels
-FROM (SELECT *, list_position(ids, 4) AS pos FROM ({_IDS_SQL})) WHERE pos > 0""")
+SELECT conv_id, turn, CASE WHEN pos > 0 THEN {_J("list_transform(ids, lambda x, i: CASE WHEN i <= pos THEN -100 ELSE x END)")} END AS labels
+FROM (SELECT *, list_position(ids, 4) AS pos FROM ({_IDS_SQL}))""")
 def label_mask(spark, sf):
-    rows = _ids(spark, sf).withColumn("labels", seq.label_mask(F.col("ids"), 4)).filter("labels IS NOT NULL")
+    rows = _ids(spark, sf).withColumn("labels", seq.label_mask(F.col("ids"), 4))
     return rows.select("conv_id", "turn", _text(F.col("labels")).alias("labels"))
 
 
 @query("label_mask_shifted", f"""
-SELECT conv_id, turn, {_J("list_transform(m, lambda x, i: CASE WHEN i < pos THEN -100 ELSE x END)")} AS labels
-FROM (SELECT *, list_position(m, 4) AS pos FROM (SELECT conv_id, turn, ids[2:] AS m FROM ({_IDS_SQL}))) WHERE pos > 0""")
+SELECT conv_id, turn, CASE WHEN pos > 0 THEN {_J("list_transform(m, lambda x, i: CASE WHEN i < pos THEN -100 ELSE x END)")} END AS labels
+FROM (SELECT *, list_position(m, 4) AS pos FROM (SELECT conv_id, turn, ids[2:] AS m FROM ({_IDS_SQL})))""")
 def label_mask_shifted(spark, sf):
-    rows = _ids(spark, sf).withColumn("labels", seq.label_mask_shifted(F.col("ids"), 4)).filter("labels IS NOT NULL")
+    rows = _ids(spark, sf).withColumn("labels", seq.label_mask_shifted(F.col("ids"), 4))
     return rows.select("conv_id", "turn", _text(F.col("labels")).alias("labels"))
 
 
@@ -566,7 +572,7 @@ b AS (SELECT *, CASE WHEN coalesce(inn, false) AND coalesce(lag(inn) OVER (PARTI
 SELECT event_id, CAST(sum(step) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS position_id FROM b""")
 def shared_positions(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), F.col("event_type").isin("view", "click").cast("int").alias("kind"))
-    return seq.shared_positions(e, "user_id", "at", "kind").select("event_id", "position_id")
+    return tokens.shared_positions(e, "user_id", "at", "kind").select("event_id", "position_id")
 
 
 @query("scattered_features", f"""
@@ -575,7 +581,7 @@ SELECT event_id, CASE WHEN kind = 1 AND k <= 2 THEN 'f' || CAST(k AS INTEGER) EL
 def scattered_features(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), F.col("event_type").isin("view", "click").alias("is_view"), F.lit("event").alias("token"))
     features = e.select("user_id").distinct().select("user_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).withColumn("feature", F.concat(F.lit("f"), F.col("k").cast("string")))
-    return seq.scattered(e, "user_id", "at", F.col("is_view"), "token", features, "k", "feature", "filled").select("event_id", F.col("filled").alias("token"))
+    return tokens.scattered(e, "user_id", "at", F.col("is_view"), "token", features, "k", "feature", "filled").select("event_id", F.col("filled").alias("token"))
 
 
 @query("causal_masks", "SELECT p_partkey, list_sum(list_transform(range(p_size), lambda i: i + 1)) AS ones FROM part")

@@ -70,3 +70,23 @@ def test_one_item_is_encoded(spark):
     df = spark.createDataFrame([("1", '{"a": "x"}', 90.0), ("2", '{"a": "y"}', 0.0)], "id string, ground_truth string, angle double")
     found = training.record(df, "id", "2", lambda rows: training.items(rows, tokenizer(), length=16, pad=0)).collect()
     assert len(found) == 1 and found[0]["target"] == "<s_a>y</s_a></s>" and len(found[0]["labels"]) == 16
+
+
+def test_rank_vocabularies_part_texts_by_the_pattern(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from docloom.functions.text import PRE_TOKEN
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    texts = ["12345678 I'LL see\r\n\n  it's 007", "a\n\nb  c\t", ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for pattern in (PRE_TOKEN, public_tokenizers.PATTERN):
+        plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        found = df.select("k", training.encoded(F.col("t"), path, pattern=pattern).alias("ids")).orderBy("k").collect()
+        assert [r["ids"] for r in found] == [plain.encode(t) for t in texts]
+    own = training.encoded(F.lit(texts[0]), path)
+    assert spark.range(1).select(own).first()[0] != plain.encode(texts[0])  # another pattern, other ids
