@@ -42,6 +42,12 @@ _MERGED = f"""aggregate(symbols, struct(CAST(array() AS array<string>) AS out, f
     ELSE struct(concat(acc.out, array(x)) AS out, false AS fresh) END, acc -> acc.out)"""
 
 
+def merged(words: DataFrame, pairs: list[tuple[str, str]], out: str = "new") -> DataFrame:
+    """words (symbols and others) with the symbols after joining each of the pairs, no two of which share a symbol."""
+    names = F.array(*[F.lit(a + _MARK + b) for a, b in pairs])
+    return words.withColumn("names", names).withColumn(out, F.expr(_MERGED)).drop("names")
+
+
 def safe_batch(ranked: list[tuple[str, str, int]], made: set[str], more: bool) -> list[tuple[str, str, int]]:
     """The merges that one pass may do, of the best pairs in order; more: whether there are pairs beyond them."""
     first = ranked[0]
@@ -100,8 +106,8 @@ class _Index:
         base = self.postings.filter(wanted).select("word", "symbols", "freq", "order")
         base = base.dropDuplicates(["word"]) if len(pairs) > 1 else base
         held = F.arrays_overlap(F.expr(f"transform({_pairs('symbols')}, p -> concat(p.left, '{_MARK}', p.right))"), names)
-        found = self.current(base, held).withColumn("names", names)
-        self.changed.add(found.select("word", "freq", "order", F.lit(turn).alias("turn"), F.col("symbols").alias("old"), F.expr(_MERGED).alias("new")))
+        found = merged(self.current(base, held), pairs)
+        self.changed.add(found.select("word", "freq", "order", F.lit(turn).alias("turn"), F.col("symbols").alias("old"), "new"))
 
     def rewritten(self) -> _Index:
         return _Index(self.current(self.words))

@@ -133,31 +133,3 @@ def page_rows(pages: DataFrame, boxes: str = "boxes", fixed: bool = False) -> Da
     from pyspark.sql import types as T
 
     return pages.mapInArrow(each, T.StructType([*pages.schema.fields, T.StructField("page_rows", T.ArrayType(T.ArrayType(T.IntegerType())))]))
-
-
-def shelves(sizes: list[tuple[int, int]], canvas: tuple[int, int], seed: int = 0, gaps: tuple[int, int] = (2, 5)) -> list[tuple[int, int, int, int]]:
-    """(item, canvas number, x, y) of images packed left to right in rows; taller than the canvas: left out."""
-    rng = np.random.default_rng(seed)
-    gap = lambda: int(rng.integers(gaps[0], gaps[1] + 1))
-    out, sheet, x, y, tall = [], 0, 0, 0, 0
-    for k, (w, h) in enumerate(sizes):
-        if h > canvas[1] or w > canvas[0]:
-            continue
-        if x + w > canvas[0]:
-            x, y, tall = 0, y + tall + gap(), 0
-        if y + h > canvas[1]:
-            sheet, x, y, tall = sheet + 1, 0, 0, 0
-        out.append((k, sheet, x, y))
-        x, tall = x + w + gap(), max(tall, h)
-    return out
-
-
-def pushed_labels(boxes: list[tuple[float, float, float, float]], height: float) -> list[tuple[float, float, float, float]]:
-    """Label boxes above their entity boxes, each pushed down until it meets none placed before."""
-    done: list[tuple[float, float, float, float]] = []
-    for x1, y1, x2, _ in boxes:
-        own = [x1, max(0.0, y1 - height), x2, max(0.0, y1 - height) + height]
-        while any(not (own[2] < d[0] or own[0] > d[2] or own[3] < d[1] or own[1] > d[3]) for d in done):
-            own[1], own[3] = own[1] + height, own[3] + height
-        done.append(tuple(own))
-    return done

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import boxes as bx, codec, text as tx, vision as vi
-from ..operators import aggregates, field_metric, joins, pages, records
+from ..operators import aggregates, field_metric, joins, layout, pages, records
 from ..sources import readers
 from ..streaming import incremental
 from .registry import query, table
@@ -486,6 +486,37 @@ def box_overlaps(spark, sf):
     return joins.overlapping(b, "l_orderkey", "l_linenumber")
 
 
+_PART_SIZES = "SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, p_partkey, p_size * 9 + p_partkey % 37 AS w, p_partkey % 11 * 25 + 10 AS h, 2 + p_partkey * 7 % 4 AS gx, 2 + p_partkey * 5 % 4 AS gy FROM part"
+
+
+@query("canvas_packing", f"""
+WITH RECURSIVE i AS ({_PART_SIZES}), s AS (
+  SELECT p_brand, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS p_partkey, CAST(0 AS BIGINT) AS sheet, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, CAST(0 AS BIGINT) AS tall, false AS placed, CAST(0 AS BIGINT) AS px FROM part GROUP BY p_brand
+  UNION ALL
+  SELECT p_brand, k, p_partkey, sheet, CASE WHEN ok THEN x + w + gx ELSE x END, y, CASE WHEN ok THEN greatest(tall, h) ELSE tall END, ok, x FROM (
+    SELECT *, y + h + gy <= 256 AS ok FROM (
+      SELECT p_brand, k, p_partkey, w, h, gx, gy, x, tall, CASE WHEN fresh AND y + h + gy > 256 THEN sheet + 1 ELSE sheet END AS sheet, CASE WHEN fresh AND y + h + gy > 256 THEN 0 ELSE y END AS y FROM (
+        SELECT i.*, s.sheet, s.x + w + gx > 512 AS fresh, CASE WHEN s.x + w + gx > 512 THEN 0 ELSE s.x END AS x,
+               CASE WHEN s.x + w + gx > 512 THEN s.y + s.tall + gy ELSE s.y END AS y, CASE WHEN s.x + w + gx > 512 THEN 0 ELSE s.tall END AS tall
+        FROM s JOIN i ON s.p_brand = i.p_brand AND i.k = s.k + 1)))
+)
+SELECT p_partkey, CASE WHEN placed THEN sheet END AS sheet, CASE WHEN placed THEN px END AS left_x, CASE WHEN placed THEN y END AS top_y FROM s WHERE k > 0""")
+def canvas_packing(spark, sf):
+    k = F.col("p_partkey")
+    sizes = table(spark, sf, "part").select("p_brand", "p_partkey", (F.col("p_size") * 9 + k % 37).cast("int").alias("w"), (k % 11 * 25 + 10).cast("int").alias("h"))
+    placed = layout.on_canvases(sizes, "p_brand", ["p_partkey"], "w", "h", canvas=(512, 256), gap_x=(2 + k * 7 % 4).cast("int"), gap_y=(2 + k * 5 % 4).cast("int"))
+    return placed.select("p_partkey", *[F.col(c).cast("bigint").alias(c) for c in ("sheet", "left_x", "top_y")])
+
+
+@query("label_places")
+def label_places(spark, sf):
+    """Labels of the line items' boxes, drawn close so that they meet; held against plain code in tests."""
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    whole = lambda c: c.cast("int")
+    b = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", whole(n % 3 * 20 + q).alias("x"), whole(n * 7 + q % 9).alias("y"), whole(40 + q).alias("w"), whole(60 + F.col("l_orderkey") % 50).alias("page_h"))
+    return layout.placed_labels(b, "l_orderkey", ["l_linenumber", "x", "y", "w"], "x", "y", "w", "page_h", height=14).select("l_orderkey", "l_linenumber", "label.*")
+
+
 @query("char_spans", f"""
 SELECT l_orderkey, l_linenumber, round(x + w / 8, 6) AS first_left, round(x + w * 3 / 8, 6) AS first_right, round(x + w * 3 / 8, 6) AS mid_left, round(x + w * 5 / 8, 6) AS mid_right,
   round(x + w * 3 / 4, 6) AS last_left, round(x + w, 6) AS last_right FROM ({_BOX_SQL})""")

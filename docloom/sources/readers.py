@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 import io
-import itertools
 import pickle
-import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import suffix
+from . import formats
 from .files import opened
 
-#: Bytes of samples that a task holds.
-HELD = 1 << 24
 BOX = "struct<transcription:string,points:array<array<double>>,score:double,difficult:string>"
 
 
@@ -72,26 +69,11 @@ def dataset(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"not a dataset: {path}")
 
 
-def arrow_files(spark: SparkSession, path: str, schema: str = "id string, image string, angle float, ground_truth string") -> DataFrame:
-    """Rows of Arrow IPC files or streams, a file a task."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    wanted = to_arrow_schema(_parse_datatype_string(schema))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0):
-                raw = data.as_buffer()
-                try:
-                    reader = pa.ipc.open_file(raw)
-                    found = (reader.get_batch(k) for k in range(reader.num_record_batches))
-                except pa.ArrowInvalid:
-                    found = iter(pa.ipc.open_stream(raw))
-                for part in found:
-                    yield pa.RecordBatch.from_arrays([part.column(f.name).cast(f.type) for f in wanted], schema=wanted)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(each, schema)
+def arrow_files(spark: SparkSession, path: str, schema: str | None = "id string, image string, angle float, ground_truth string") -> DataFrame:
+    """Rows of Arrow IPC files or streams, a record batch a task; of files only the columns of schema are read."""
+    formats.register(spark)
+    reader = spark.read.format("arrow_ipc")
+    return (reader.schema(schema) if schema else reader).load(path)
 
 
 class _Plain(pickle.Unpickler):
@@ -115,35 +97,9 @@ def pickled_dicts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def web_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, key, json, jpg) of tar shards: neighbouring members of one key are one sample.
-
-    A shard is read as a stream by one task, which holds a sample and a batch of HELD bytes. Spark lists the shards.
-    """
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.string(), pa.string(), pa.string(), pa.binary())
-        rows: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["shard", "key", "json", "jpg"])
-
-        size = 0
-        for shard in (x for b in batches for x in b.column(0).to_pylist()):
-            system, at = opened(shard)
-            with system.open_input_stream(at, compression=None) as data, tarfile.open(fileobj=data, mode="r|*") as tar:
-                members = ((m.name.rpartition("/")[2].partition("."), tar.extractfile(m).read()) for m in tar if m.isfile())
-                for key, own in itertools.groupby(members, lambda x: x[0][0]):
-                    held = {name[2]: content for name, content in own}
-                    rows.append((shard, key, held["json"].decode("utf-8", "replace") if "json" in held else None, held.get("jpg")))
-                    size += sum(map(len, held.values()))
-                    if size >= HELD:
-                        yield out()
-                        rows, size = [], 0
-        if rows:
-            yield out()
-
-    listed = spark.read.format("binaryFile").load(path).select("path")
-    return listed.repartition(max(1, listed.count()), "path").mapInArrow(each, "shard string, key string, json string, jpg binary")
+    """(shard, key, json, jpg) of tar shards: neighbouring members of one key are one sample; large shards go to several tasks."""
+    formats.register(spark)
+    return spark.read.format("tar_samples").load(path)
 
 
 def files(spark: SparkSession, root: str, suffixes: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import formats
 from .files import opened
 
 USAGES = ("train", "validation", "test")
@@ -91,10 +92,16 @@ def metric_xlsx(metric: DataFrame, path: str, most: int = MOST) -> None:
         out.write(held.getvalue())
 
 
-def by_usage(df: DataFrame, path: str, usage: str = "usage") -> None:
-    """Parquet parted by usage; an unknown usage raises an error."""
-    checked = F.when(F.col(usage).isin(*USAGES), F.col(usage)).otherwise(F.raise_error(F.concat(F.lit("unknown usage: "), F.coalesce(F.col(usage), F.lit("null")))).cast("string"))
-    df.withColumn(usage, checked).write.partitionBy(usage).parquet(path)
+def by_usage(df: DataFrame, path: str, key: str, usage: str = "usage") -> None:
+    """Arrow IPC files below train, validation and test; an unknown usage, or a key that occurs twice, raises an error.
+
+    Nothing is left if a task fails (see formats.ArrowByUsage). readers.arrow_files reads each folder.
+    """
+    twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key).first()
+    if twice is not None:
+        raise ValueError(f"repeated key: {twice[0]}")
+    formats.register(df.sparkSession)
+    df.write.format("arrow_by_usage").option("usage", usage).mode("append").save(path)
 
 
 def labels(df: DataFrame, path: str, file_id: Column, boxes_json: Column) -> None:

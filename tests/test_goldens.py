@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import codec, prompt, sequences as seq, text as tx, vision as vi
-from docloom.operators import field_metric, joins, pages, splits, vocab
+from docloom.operators import bpe, field_metric, joins, pages, splits, vocab
 
 GOLD = {
     "材料类型": "电子发票", "票据代码": "50068122", "票据号码": "8250626222", "校验码": "edfdf4", "交款人": "冯xx", "开票日期": "2023年03月16日",
@@ -122,7 +122,8 @@ def test_merges_golden(spark):
 
 
 def test_merged_symbols_do_not_overlap(spark):
-    assert one(spark, vocab.merged(F.array(*map(F.lit, "aaab")), F.lit("a"), F.lit("a"))) == ["aa", "a", "b"]
+    rows = spark.createDataFrame([(list("aaab"),), (list("bcaabc"),), ([],)], "symbols array<string>")
+    assert [r["new"] for r in bpe.merged(rows, [("a", "a"), ("b", "c")]).collect()] == [["aa", "a", "b"], ["bc", "aa", "bc"], []]
 
 
 def test_split_sizes(spark):
@@ -175,13 +176,6 @@ def test_page_rows():
         pages.text_rows([("a", [[0, 0]])], fixed=True)
 
 
-def test_shelves_and_labels():
-    placed = pages.shelves([(50, 20), (50, 20), (10, 200), (50, 20)], (120, 60), seed=1)
-    assert [p[0] for p in placed] == [0, 1, 3] and placed == pages.shelves([(50, 20), (50, 20), (10, 200), (50, 20)], (120, 60), seed=1)
-    a, b = pages.pushed_labels([(0, 20, 30, 40), (0, 20, 30, 40)], 10)
-    assert a[3] < b[1]
-
-
 @pytest.mark.parametrize("a,b", [("", ""), ("abc", "cab"), ("aab", "abb"), ("票据", "据x"), ("a", "")])
 def test_quick_ratio_is_the_multiset_ratio(spark, a, b):
     assert one(spark, tx.quick_ratio(F.lit(a), F.lit(b))) == pytest.approx(field_metric.likeness(a, b))

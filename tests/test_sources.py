@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import records, splits
-from docloom.sources import readers, writers
+from docloom.sources import formats, readers, writers
 from docloom.streaming import incremental
 
 
@@ -157,10 +157,6 @@ def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("f", "train", None), ("g", "test", "票")], "file string, usage string, text string")
     writers.json_lines(df, f"{tmp_path}/j")
     assert '"text":null' in "".join(r["value"] for r in spark.read.text(f"{tmp_path}/j").collect())
-    writers.by_usage(df, f"{tmp_path}/u")
-    assert sorted(x for x in os.listdir(f"{tmp_path}/u") if x.startswith("usage")) == ["usage=test", "usage=train"]
-    with pytest.raises(Exception, match="unknown usage"):
-        writers.by_usage(df.withColumn("usage", F.lit("dev")), f"{tmp_path}/v")
     writers.states(df, f"{tmp_path}/s", F.col("file"))
     assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/s").collect()) == ["f\t1", "g\t1"]
     writers.labels(df, f"{tmp_path}/l", F.col("file"), F.lit("[]"))
@@ -198,3 +194,48 @@ def test_stream_windows_match_the_batch(spark, sf, tmp_path):
     count = lambda df: sorted((r["start"], r["event_type"], r["n"]) for r in df.collect())
     assert count(spark.table("windows_out")) == count(batch)
     assert incremental.deduplicated(events, "ts", ["user_id"]).count() == events.select("user_id").distinct().count()
+
+
+def test_arrow_files_are_read_by_batch_and_column(spark, tmp_path):
+    t = pa.table({"id": [str(k) for k in range(100)], "wide": ["x" * 50] * 100, "angle": pa.array([0.5] * 100, pa.float32())})
+    for k in range(2):
+        with pa.OSFile(f"{tmp_path}/{k}.arrow", "wb") as f, pa.ipc.new_file(f, t.schema) as w:
+            w.write_table(t, max_chunksize=10)
+    rows = readers.arrow_files(spark, f"{tmp_path}/*.arrow", "angle double, id string, missing int")
+    assert rows.rdd.getNumPartitions() == 20 and rows.columns == ["angle", "id", "missing"]
+    assert sorted(r["id"] for r in rows.collect()) == sorted([str(k) for k in range(100)] * 2) and rows.filter("angle = 0.5 AND missing IS NULL").count() == 200
+    formats.register(spark)
+    whole = spark.read.format("arrow_ipc").option("batches", "4").load(f"file:{tmp_path}")
+    assert whole.columns == ["id", "wide", "angle"] and whole.rdd.getNumPartitions() == 6 and whole.count() == 200
+
+
+def test_large_shards_go_to_several_tasks(spark, tmp_path):
+    with tarfile.open(f"{tmp_path}/0.tar", "w", format=tarfile.GNU_FORMAT) as tar:
+        for k in range(60):
+            for kind, data in (("json", b"{}"), ("jpg", bytes([k]) * 3000)):
+                info = tarfile.TarInfo(f"{'long/' * 30}{k:03}.{kind}")
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+    with tarfile.open(f"{tmp_path}/1.tar", "w:gz") as tar:
+        info = tarfile.TarInfo("z.json")
+        info.size = 2
+        tar.addfile(info, io.BytesIO(b"{}"))
+    formats.register(spark)
+    rows = spark.read.format("tar_samples").option("split", "20000").load(f"{tmp_path}/*.tar")
+    assert rows.rdd.getNumPartitions() > 8
+    found = {r["key"]: r for r in rows.collect()}
+    assert len(found) == 61 == rows.count() and all(bytes(found[f"{k:03}"]["jpg"]) == bytes([k]) * 3000 and found[f"{k:03}"]["json"] == "{}" for k in range(60))
+
+
+def test_arrow_by_usage_is_written_whole_or_not_at_all(spark, tmp_path):
+    df = spark.range(90).select(F.col("id").cast("string").alias("id"), F.element_at(F.array(*map(F.lit, formats.USAGES)), (F.col("id") % 3 + 1).cast("int")).alias("usage"), F.lit("票").alias("text")).repartition(4)
+    writers.by_usage(df, f"{tmp_path}/u", "id")
+    assert sorted(os.listdir(f"{tmp_path}/u")) == ["test", "train", "validation"]
+    for k, usage in enumerate(formats.USAGES):
+        rows = readers.arrow_files(spark, f"{tmp_path}/u/{usage}", schema=None).collect()
+        assert sorted(int(r["id"]) for r in rows) == list(range(k, 90, 3)) and {r["text"] for r in rows} == {"票"}
+    with pytest.raises(ValueError, match="repeated key"):
+        writers.by_usage(df.union(df.limit(1)), f"{tmp_path}/v", "id")
+    with pytest.raises(Exception, match="unknown usage"):
+        writers.by_usage(df.withColumn("usage", F.when(F.col("id") == "77", "dev").otherwise(F.col("usage"))), f"{tmp_path}/w", "id")
+    assert not os.path.exists(f"{tmp_path}/w") or os.listdir(f"{tmp_path}/w") == []
