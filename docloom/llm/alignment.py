@@ -115,6 +115,11 @@ def segments(text: str) -> list[str]:
     return [" " + s for s in text[1:].split(" ")]
 
 
+def width_of(lengths: np.ndarray) -> type:
+    """The type of a side's ids in rows."""
+    return np.uint16 if len(lengths) <= 1 << 16 else np.uint32
+
+
 class _Ragged:
     """Arrays of ids of different lengths in one."""
 
@@ -182,8 +187,8 @@ class Encoded:
         new = set().union(*parts).difference(self.known) if parts else set()
         if new:
             odd = lambda s: len(s) > LONGEST or s[-1].isspace() or s[-1] == "\u180e"
-            alone = sorted(filter(odd, new))
-            together = sorted(new.difference(alone))
+            alone = list(filter(odd, new))
+            together = list(new.difference(alone))
             first = len(self.whole)
             self.known.update(zip(itertools.chain(together, alone), itertools.count(first)))
             kept = np.ones(len(new), bool)
@@ -213,7 +218,7 @@ def _events_type(id_type: T.DataType) -> T.StructType:
 
 
 def events(docs: DataFrame, a: str, b: str, ranks: str | None = None) -> DataFrame:
-    """(doc, origin, id, side, offset, ids) for docs (id, text): the events of both sides, ids as 32-bit numbers.
+    """(doc, origin, id, side, offset, ids) for docs (id, text): the events of both sides, ids of 16 bits (32 if there are more).
 
     doc is a digest of id and text and origin the partition; rows alike in both are told apart by nothing, and need not
     be. A text without tokens gives one row without ids.
@@ -245,7 +250,7 @@ def _rows(ids: pa.Array, texts: list[str | None], encoded: Encoded, origin: int)
     for side, ((flat, counts), lengths) in enumerate(zip(sides, (s.lengths for s in encoded.sides))):
         ends = np.concatenate(([0], np.cumsum(lengths[flat])))
         upto = np.cumsum(counts)
-        small = flat.astype(np.uint32)
+        small = flat.astype(width_of(lengths))
         for k, (lo, hi) in enumerate(zip((upto - counts).tolist(), upto.tolist())):
             for start in range(lo, hi, BLOCK) if hi > lo else ([lo] if side == 0 else []):
                 row.append(k)
@@ -445,7 +450,7 @@ def swept(found: DataFrame, a: str, b: str) -> DataFrame:
             kind = batch.column(2).type
             held = []
             for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                held += machine.feed(*row[:5], np.frombuffer(row[5], np.uint32))
+                held += machine.feed(*row[:5], np.frombuffer(row[5], width_of(machine.lengths[row[3]])))
                 if len(held) >= 512:
                     yield out(held)
                     held = []
