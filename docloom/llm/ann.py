@@ -3,9 +3,11 @@
 Euclidean nearness is a maximum inner product: |q - x|^2 = |q|^2 - 2 (q.x - |x|^2 / 2). The inner product is estimated
 from codes of four bits for each pair of dimensions; |x|^2 / 2 is kept exactly. Codebooks and codes minimise a loss
 that weighs the part of the residual that is parallel to the vector more than the rest, since that part moves the
-scores of the vectors that matter. A scan adds table entries for two codes at a time; its best candidates are ranked
-by exact distances on the original vectors, and then all others that could still be nearer: an estimate is off by at
-most |q| times the length of the candidate's residual, so what is left out cannot be among the k nearest.
+scores of the vectors that matter. A scan adds table entries
+for two codes at a time; its best candidates are ranked by exact distances on the original vectors, and then the others
+that are likely to be nearer than the k-th of those. An estimate is off by the query times the candidate's residual,
+about |q| |r| / sqrt(dimensions); what is left out would have to be off by over ``DEVIATIONS`` times that. Groups of near
+copies, whose estimates are alike, are thus ranked whole. Without deviations the bound is |q| |r| and the search exact.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ ENCODED = 4096
 #: Inner products below this share of |x| do not count as worth finding; it sets the weight of the parallel residual.
 THRESHOLD = 0.2
 #: Candidates of a block that are ranked first for each query; their k-th distance bounds which others are ranked too.
-RERANK = 128
+RERANK = 64
+#: How many times the usual error an estimate may be off before a candidate that it rules out is missed.
+DEVIATIONS = 3.0
 
 
 class Codebooks:
@@ -108,8 +112,15 @@ class Codebooks:
         return (products[:, 1::2, :, None] + products[:, ::2, None, :]).reshape(len(q), -1, 256).astype(np.float32)
 
 
-def search(books: dict[int, Codebooks], k: int, rerank: int):
-    """The search of blocks.nearest; a length without codebooks is searched exactly."""
+def _open(estimate: np.ndarray, off: np.ndarray, slack: float, vectors: np.ndarray, q: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Places whose estimate, off by up to |q| times off, may lie above the k-th best score of the first ones."""
+    square = q @ q
+    cut = (square - np.partition(np.square(vectors[first] - q).sum(1), k - 1)[k - 1]) / 2
+    return np.flatnonzero(estimate + np.sqrt(square) * off >= cut - slack)
+
+
+def search(books: dict[int, Codebooks], k: int, rerank: int, deviations: float | None = DEVIATIONS):
+    """The search of blocks.nearest; a length without codebooks is searched exactly, and so are all without deviations."""
 
     def found(dim: int, ids: np.ndarray, vectors: np.ndarray, code: bytes, q_ids: np.ndarray, q_vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         half = np.square(vectors).sum(1) / 2
@@ -119,27 +130,22 @@ def search(books: dict[int, Codebooks], k: int, rerank: int):
         if scanned:
             off = book.residuals(vectors, codes)
             longest = float((np.sqrt(2 * half) + off).max())
+            off *= 1 if deviations is None else min(1.0, deviations / np.sqrt(dim))
         for at in range(0, len(q_ids), 64):
             tables = book.tables(q_vectors[at : at + 64]) if scanned else None
             for j, own in enumerate(q_ids[at : at + 64]):
-                q = q_vectors[at + j]
+                q, places = q_vectors[at + j], np.arange(len(ids))
                 if scanned:
                     estimate = -half
                     for table, column in zip(tables[j], codes):
                         estimate += table[column]
-                    places = np.argpartition(-estimate, rerank)[: rerank + 1]
-                    near = places[ids[places] != own]
-                    if len(near) < k:
-                        places = np.arange(len(ids))
-                    else:
-                        square = q @ q
-                        cut = (square - np.partition(np.square(vectors[near] - q).sum(1), k - 1)[k - 1]) / 2
-                        length = np.sqrt(square)
+                    first = np.argpartition(-estimate, rerank)[: rerank + 1]
+                    first = first[ids[first] != own]
+                    if len(first) >= k:
+                        length = np.linalg.norm(q)
                         # Tables hold single precision; the slack is far above their rounding.
-                        slack = 1e-6 * (length * longest + square + longest**2)
-                        places = np.flatnonzero(estimate + length * off >= cut - slack)
-                else:
-                    places = np.arange(len(ids))
+                        slack = 1e-6 * (length * longest + length**2 + longest**2)
+                        places = np.union1d(first, _open(estimate, off, slack, vectors, q, first, k))
                 places = places[ids[places] != own]
                 exact = np.sqrt(np.square(vectors[places] - q).sum(1))
                 order = np.lexsort((ids[places], exact))[:k]
@@ -148,11 +154,11 @@ def search(books: dict[int, Codebooks], k: int, rerank: int):
     return found
 
 
-def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100, sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100, sample: int = SAMPLE, rerank: int = RERANK, deviations: float | None = DEVIATIONS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k nearest found, ids differing.
 
     Codebooks are fitted on at most `sample` rows, those of the smallest hashes of their ids; every row is encoded and
-    scanned. score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id.
+    scanned. deviations: see DEVIATIONS; None searches exactly. score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id.
     Rows whose id or vector is null, zero, or with null or non-finite components take no part. Vectors meet vectors of
     their own length. Repeated rows are candidates one by one and one query together. An empty table gives no rows.
     """
@@ -163,4 +169,4 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     by = {dim: flat[np.repeat(dims == dim, dims)].reshape(-1, dim) for dim in np.unique(dims).tolist()}
     books = {dim: Codebooks(v) for dim, v in by.items()}
     encode = lambda x: books[x.shape[1]].packed(x) if x.shape[1] in books else b""
-    return blocks.nearest(rows, rows.filter(F.col("id") % every == 0), search(books, k, rerank), k, "double", lambda s: s.asc(), encode)
+    return blocks.nearest(rows, rows.filter(F.col("id") % every == 0), search(books, k, rerank, deviations), k, "double", lambda s: s.asc(), encode)

@@ -585,13 +585,13 @@ def test_codes_weigh_the_parallel_residual():
 
 
 @pytest.mark.parametrize("spread", [0.0, 1e-3, 1.0])
-def test_search_of_crowded_groups_is_exact(spread):
+def test_search_of_crowded_groups_is_exact_without_deviations(spread):
     rng = np.random.default_rng(6)
     x = np.repeat(rng.normal(size=(10, 32)), 600, 0)
     x = (x + spread * rng.normal(size=x.shape))[rng.permutation(len(x))]
     ids = rng.permutation(len(x))
     book = ann.Codebooks(x[:2000])
-    found = list(ann.search({32: book}, 10, 128)(32, ids, x, book.packed(x), ids[:70], x[:70]))
+    found = list(ann.search({32: book}, 10, 128, None)(32, ids, x, book.packed(x), ids[:70], x[:70]))
     for q, (places, scores) in enumerate(found):
         exact = np.sqrt(np.square(x - x[q]).sum(1))
         order = np.lexsort((ids, exact))
@@ -599,6 +599,34 @@ def test_search_of_crowded_groups_is_exact(spread):
         assert ids[places].tolist() == ids[best].tolist() and np.array_equal(scores, exact[best])
 
 
+def crowded(rng, dim, spread):
+    x = np.repeat(rng.normal(size=(10, dim)), 600, 0)
+    return (x + spread * rng.normal(size=x.shape))[rng.permutation(len(x))]
+
+
+@pytest.mark.parametrize("kind,dim,most", [(0.0, 64, 0.11), (1e-3, 64, 0.11), (0.1, 64, 0.11), (1.0, 64, 0.06), ("table", 64, 0.1), ("plain", 64, 0.06), ("plain", 256, 0.06)])
+def test_search_finds_neighbours_among_few(spark, monkeypatch, kind, dim, most):
+    """Recall and the share of a block that is ranked: groups of 600 rows are ranked whole, a tenth of the rows."""
+    rng, shares = np.random.default_rng(4), []
+    if kind == "table":
+        x = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], np.float64)
+    else:
+        x = rng.normal(size=(6000, dim)) if kind == "plain" else crowded(rng, dim, kind)
+    opened = ann._open
+
+    def counted(*args):
+        found = opened(*args)
+        shares.append(len(np.union1d(args[5], found)) / len(x))
+        return found
+
+    monkeypatch.setattr(ann, "_open", counted)
+    ids, book, hit = rng.permutation(len(x)), ann.Codebooks(x[:2000]), []
+    for q, (places, _) in enumerate(ann.search({dim: book}, 10, ann.RERANK)(dim, ids, x, book.packed(x), ids[:60], x[:60])):
+        order = np.lexsort((ids, np.sqrt(np.square(x - x[q]).sum(1))))
+        hit.append(len(set(order[order != q][:10].tolist()) & set(places.tolist())) / 10)
+    assert np.mean(hit) >= 0.95 and np.mean(shares) <= most
+
+
 def test_neighbours_odd_cases(spark):
     df = spark.createDataFrame([(i * 100 if i in (50,) else i, v) for i, v in ODD_VECTORS if True], "vec_id bigint, embedding array<double>").withColumn("rank", F.lit("x"))
     df = df.withColumn("vec_id", F.when(F.col("vec_id") == 5000, 200).otherwise(F.col("vec_id")))
