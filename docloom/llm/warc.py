@@ -16,6 +16,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -142,8 +143,13 @@ def _headers(lines: str | None) -> list[tuple[str, str]]:
     return [(k.strip(), v.strip()) for k, found, v in (x.partition(":") for x in (lines or "").split("\r\n")) if found]
 
 
+def _value(headers: list[tuple[str, str]], name: str) -> str | None:
+    """The first value of a header; names are compared without case."""
+    return next((v for k, v in headers if k.lower() == name), None)
+
+
 def _charset(headers: list[tuple[str, str]], payload: bytes) -> str:
-    said = next((v for k, v in headers if k.lower() == "content-type"), "") + " " + payload[:1024].decode("latin-1")
+    said = (_value(headers, "content-type") or "") + " " + payload[:1024].decode("latin-1")
     m = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", said, re.I)
     try:
         "".encode(m[1] if m else "utf-8")
@@ -152,9 +158,68 @@ def _charset(headers: list[tuple[str, str]], payload: bytes) -> str:
     return m[1] if m else "utf-8"
 
 
+def _joined(data: bytes) -> bytes:
+    """The body that was sent in chunks; what follows a chunk that is cut off or has no size is left out."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        size = re.fullmatch(rb"\s*([0-9a-fA-F]{1,15})\s*(?:;.*)?", data[at:end], re.S)
+        n = int(size[1], 16) if size else 0
+        if not n:
+            break
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out)
+
+
+def _inflated(data: bytes, kind: str) -> bytes:
+    """An unpacked body, as far as it can be; deflate comes with or without a head. gzip may have several members."""
+    out = []
+    while data:
+        unpack = zlib.decompressobj(31 if kind == "gzip" else 15 if data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0 else -15)
+        try:
+            out += [unpack.decompress(data), unpack.flush()]
+        except zlib.error:
+            break
+        data = unpack.unused_data if kind == "gzip" else b""
+    return b"".join(out)
+
+
+def body(headers: list[tuple[str, str]], payload: bytes) -> bytes | None:
+    """The page that a payload holds: chunks joined, gzip and deflate undone; None for an encoding that isn't known.
+
+    Crawlers often keep headers of what they have undone already: a body that doesn't look encoded is taken as it is.
+    """
+    if "chunked" in (_value(headers, "transfer-encoding") or "").lower() and re.match(rb"\s*[0-9a-fA-F]{1,15}\s*(?:;[^\r\n]*)?\r\n", payload):
+        payload = _joined(payload)
+    for kind in reversed([x.strip().lower().removeprefix("x-") for x in (_value(headers, "content-encoding") or "").split(",")]):
+        if kind == "gzip" and payload[:2] == b"\x1f\x8b" or kind == "deflate" and _inflated(payload, kind):
+            payload = _inflated(payload, kind)
+        elif kind not in ("", "identity", "gzip", "deflate"):
+            return None
+    return payload
+
+
+#: Types of a page that is marked up, and beginnings of those that are text.
+_MARKUP = frozenset(("text/html", "application/xhtml+xml", "application/xml", "text/xml"))
+_TEXT = ("text/", "application/json", "application/javascript")
+
+
+def _kind(headers: list[tuple[str, str]], page: bytes) -> str:
+    """markup, text or other; without a type, what holds no zero byte counts as markup."""
+    said = (_value(headers, "content-type") or "").partition(";")[0].strip().lower()
+    if not said:
+        return "other" if b"\0" in page[:1024] else "markup"
+    return "markup" if said in _MARKUP or said.endswith("+xml") and said != "image/svg+xml" else "text" if said.startswith(_TEXT) else "other"
+
+
 def derive(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Two rows for each response, of type metadata and conversion (see RECORD), after the columns named in keep.
 
+    The metadata record holds all headers of the response, WARC's and HTTP's, in their order, repeated ones included.
+    Chunked, gzip and deflate bodies are undone before they are read; digests are those of the bytes as they came. Markup
+    becomes text, other text types stay as they are; a response of another type, or in an encoding that isn't known, has
+    a metadata record alone, concurrent with none.
+
     Digests that a response lacks are worked out from its bytes; those it has are kept. A null payload counts as empty:
     its conversion is an empty block. Bytes that the page's character set does not cover become U+FFFD. Repeated
     responses give repeated records; an empty table gives no rows; other columns are not read.
@@ -169,25 +234,36 @@ def derive(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     def records(r: dict) -> Iterator[tuple]:
         payload = r["payload"] or b""
-        http = _headers(r["http_headers"])
-        text, title, metas, links = extract(payload.decode(_charset(http, payload), "replace"))
+        http, warc = _headers(r["http_headers"]), _headers(r["warc_headers"])
+        page = body(http, payload)
+        kind = "other" if page is None else _kind(http, page)
+        page = b"" if page is None else page
+        text, title, metas, links = "", None, [], []
+        if kind == "markup":
+            text, title, metas, links = extract(page.decode(_charset(http, page), "replace"))
+        elif kind == "text":
+            text = page.decode(_charset(http, page), "replace")
         source = r["payload_digest"] or digest(payload)
         head = f"HTTP/1.1 {r['http_status']}\r\n{r['http_headers'] or ''}\r\n\r\n".encode()
+        known = [("WARC-Type", "response"), ("WARC-Record-ID", r["record_id"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Date", r["date"])]
         whole = {
             "Envelope": {
-                "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": r["record_id"], "WARC-Target-URI": r["target_uri"], "WARC-Date": r["date"], **dict(_headers(r["warc_headers"]))},
+                "WARC-Header-Metadata": dict(known) | dict(reversed(warc)),
+                "WARC-Headers": warc or known,
                 "Block-Digest": r["block_digest"] or digest(head + payload),
                 "Payload-Metadata": {
                     "Payload-Digest": source,
                     "Payload-Length": len(payload),
+                    "Body-Length": len(page),
                     "HTTP-Response-Metadata": {"Status": r["http_status"], "Headers": http, "HTML-Metadata": {"Title": title, "Metas": metas, "Links": links}},
                 },
             }
         }
-        ids = [urn(r["record_id"] or "", kind) for kind in ("metadata", "conversion")]
-        for k, (kind, content, block) in enumerate((("metadata", "application/json", json.dumps(whole, ensure_ascii=False)), ("conversion", "text/plain", text))):
+        ids = [urn(r["record_id"] or "", name) for name in ("metadata", "conversion")]
+        made = [("metadata", "application/json", json.dumps(whole, ensure_ascii=False)), ("conversion", "text/plain", text)][: 1 if kind == "other" else 2]
+        for k, (name, content, block) in enumerate(made):
             data = block.encode("utf-8", "replace")
-            yield (ids[k], kind, r["record_id"], ids[1 - k], r["target_uri"], r["date"], content, len(data), digest(data), source, len(links), data.decode())
+            yield (ids[k], name, r["record_id"], ids[1 - k] if len(made) == 2 else None, r["target_uri"], r["date"], content, len(data), digest(data), source, len(links), data.decode())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,7 +343,7 @@ class _Records:
         self.parts: list[bytes] = []
         self.missing = 0
 
-    def add(self, stretch: bytes) -> tuple[dict[str, str], bytes] | None:
+    def add(self, stretch: bytes) -> tuple[list[tuple[str, str]], bytes] | None:
         """The record that is complete with this stretch."""
         if self.parts:
             self.parts.append(_MARK + stretch)
@@ -276,18 +352,18 @@ class _Records:
             end = stretch.find(b"\r\n\r\n")
             if end < 0:
                 return None  # what stands before the first mark
-            n = next((v for k, v in _headers(stretch[:end].decode("utf-8", "replace")) if k.lower() == "content-length"), "0")
+            n = _value(_headers(stretch[:end].decode("utf-8", "replace")), "content-length") or "0"
             self.parts, self.missing = [stretch], end + 4 + (int(n) if n.isdigit() else 0) - len(stretch)
         if self.missing > 0:
             return None
         data, self.parts = b"".join(self.parts), []
         top, _, block = data.partition(b"\r\n\r\n")
-        head = dict(_headers(top.decode("utf-8", "replace").partition("\r\n")[2]))
-        n = next((v for k, v in head.items() if k.lower() == "content-length"), "0")
+        head = _headers(top.decode("utf-8", "replace").partition("\r\n")[2])
+        n = _value(head, "content-length") or "0"
         return head, block[: int(n) if n.isdigit() else 0]
 
 
-def parse_warc(stretches: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_warc(stretches: Iterator[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
     """(header, block) of each record, from what stands between the marks of a file, in its order.
 
     A record that the file cuts off is left out.
@@ -308,11 +384,12 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     names = [f.strip().split(" ")[0] for f in RESPONSE.split(",")]
     types = [pa.string()] * 4 + [pa.int32(), pa.string(), pa.binary(), pa.string(), pa.string()]
 
-    def response(head: dict[str, str], block: bytes) -> tuple:
+    def response(head: list[tuple[str, str]], block: bytes) -> tuple:
         top, _, payload = block.partition(b"\r\n\r\n")
         status, _, lines = top.decode("latin-1").partition("\r\n")
         code = re.match(r"HTTP/\S+ (\d+)", status)
-        return (head.get("WARC-Record-ID"), head.get("WARC-Target-URI"), head.get("WARC-Date"), "\r\n".join(f"{k}: {v}" for k, v in head.items()), int(code[1]) if code else None, lines, payload, head.get("WARC-Block-Digest") or digest(block), head.get("WARC-Payload-Digest") or digest(payload))
+        told = [_value(head, f"warc-{name}") for name in ("record-id", "target-uri", "date", "block-digest", "payload-digest")]
+        return (*told[:3], "\r\n".join(f"{k}: {v}" for k, v in head), int(code[1]) if code else None, lines, payload, told[3] or digest(block), told[4] or digest(payload))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, own, rows, size = None, _Records(), [], 0
@@ -322,7 +399,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                 if at.as_py() != file:
                     file, own = at.as_py(), _Records()
                 found = own.add(stretch.as_py())
-                if found and found[0].get("WARC-Type") == "response":
+                if found and (_value(found[0], "warc-type") or "").lower() == "response":
                     rows.append(response(*found))
                     size += len(found[1])
                     if size >= HELD:

@@ -233,7 +233,7 @@ def test_warc_files_round_trip(spark, tmp_path):
     (file,) = (tmp_path / "w").glob("*.warc.gz")
     whole = list(members(file.read_bytes()))
     assert len(whole) == 4 and all(m.startswith(b"WARC/1.0\r\n") and m.endswith(b"\r\n\r\n") for m in whole)
-    found = list(warc.parse_warc(b"".join(whole).split(b"WARC/1.")))
+    found = [(dict(h), b) for h, b in warc.parse_warc(b"".join(whole).split(b"WARC/1."))]
     assert [h["WARC-Type"] for h, _ in found] == ["metadata", "conversion"] * 2
     assert all(len(b) == int(h["Content-Length"]) and warc.digest(b) == h["WARC-Block-Digest"] for h, b in found)
     assert found[1][1].decode() == "é&z" and found[1][0]["WARC-Payload-Digest"] == warc.digest("<p>é&amp;<a href='/y'>z</a>".encode())
@@ -250,6 +250,60 @@ def test_warc_files_round_trip(spark, tmp_path):
         assert rows["metadata"]["source_payload_digest"] == "sha1:KEPT" and json.loads(rows["metadata"]["block"])["Envelope"]["WARC-Header-Metadata"]["WARC-Payload-Digest"] == "sha1:KEPT"
 
 
+def chunked(data, size=7):
+    parts = [data[k : k + size] for k in range(0, len(data), size)]
+    return b"".join(b"%x;a=b\r\n%s\r\n" % (len(p), p) for p in parts) + b"0\r\n\r\n"
+
+
+def deflated(data, bits):
+    pack = zlib.compressobj(wbits=bits)
+    return pack.compress(data) + pack.flush()
+
+
+PAGE = "<title>é</title><p>one <a href='/x'>two</a>".encode()
+TOLD = "é\none two"
+
+
+@pytest.mark.parametrize("headers,payload,text", [
+    ("Content-Type: text/html; charset=utf-8\r\ncontent-encoding: gzip", gzip.compress(PAGE), TOLD),
+    ("Content-Type: text/html\r\nContent-Encoding: x-gzip\r\nTransfer-Encoding: chunked", chunked(gzip.compress(PAGE[:9]) + gzip.compress(PAGE[9:])), TOLD),
+    ("Content-Type: text/html\r\nTransfer-Encoding: chunked", chunked(PAGE), TOLD),
+    ("Content-Type: text/html\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked", PAGE, TOLD),  # undone by the crawler
+    ("Content-Type: text/html\r\nContent-Encoding: deflate", deflated(PAGE, 15), TOLD),
+    ("Content-Type: text/html\r\nContent-Encoding: deflate, gzip", gzip.compress(deflated(PAGE, -15)), TOLD),
+    ("Content-Type: text/html\r\nContent-Encoding: gzip", gzip.compress(b"<p>" + b"whole " * 9000)[:-60], None),  # cut off
+    ("", PAGE, TOLD),
+    ("Content-Type: text/plain", b"<b> as it is", "<b> as it is"),
+    ("Content-Type: application/xhtml+xml", PAGE, TOLD),
+    ("Content-Type: image/png", b"\x89PNG <p>no", ""),
+    ("Content-Type: application/pdf", b"%PDF <p>no", ""),
+    ("", b"\0\1\2<p>no", ""),
+    ("Content-Type: text/html\r\nContent-Encoding: br", b"\x0b\x02", ""),
+])
+def test_warc_bodies_are_undone(spark, headers, payload, text):
+    df = spark.createDataFrame([("<urn:uuid:1>", "http://x", "d", None, 200, headers, bytearray(payload), None, None)], warc.RESPONSE)
+    rows = {r["record_type"]: r for r in warc.derive(df).collect()}
+    meta = json.loads(rows["metadata"]["block"])["Envelope"]["Payload-Metadata"]
+    assert meta["Payload-Digest"] == warc.digest(payload) and meta["Payload-Length"] == len(payload)
+    if text == "":
+        assert set(rows) == {"metadata"} and rows["metadata"]["concurrent_to"] is None
+    else:
+        assert rows["metadata"]["concurrent_to"] == rows["conversion"]["record_id"]
+        assert rows["conversion"]["block"] == text or text is None and rows["conversion"]["block"].startswith("whole whole")
+
+
+def test_warc_headers_are_kept_in_order(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\ncontent-type: text/html\r\nSet-Cookie: b\r\n\r\n<p>x"
+    raw = b"WARC/1.0\r\nwarc-type: Response\r\nwarc-record-id: <urn:uuid:9>\r\nWARC-Concurrent-To: <1>\r\nWARC-Concurrent-To: <2>\r\nWARC-TARGET-URI: http://y\r\ncontent-length: %d\r\n\r\n%s\r\n\r\n" % (len(http), http)
+    (tmp_path / "a.warc").write_bytes(raw)
+    (row,) = warc.read_responses(spark, f"{tmp_path}/a.warc").collect()
+    assert (row["record_id"], row["target_uri"], row["http_status"]) == ("<urn:uuid:9>", "http://y", 200)
+    meta = next(r for r in warc.derive(warc.read_responses(spark, f"{tmp_path}/a.warc")).collect() if r["record_type"] == "metadata")
+    told = json.loads(meta["block"])["Envelope"]
+    assert [v for k, v in told["WARC-Headers"] if k == "WARC-Concurrent-To"] == ["<1>", "<2>"] and told["WARC-Headers"][0] == ["warc-type", "Response"]
+    assert told["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"] == [["Set-Cookie", "a"], ["content-type", "text/html"], ["Set-Cookie", "b"]]
+
+
 def test_warc_members_of_large_records():
     for text in ("x", "y" * ((1 << 24) + 5)):
         assert b"".join(members(warc._member(text) + b"\0")) == text.encode() + b"\r\n\r\n"
