@@ -11,6 +11,7 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,6 +25,52 @@ def _alike(a: Counter, n: int, b: Counter, m: int) -> float:
     return 2 * sum(min(k, b[c]) for c, k in a.items()) / (n + m) if n + m else 1.0
 
 
+#: Gold rows of a list from which on they are searched in the order of their bounds, and those looked at together.
+MANY, STRETCH = 32, 128
+
+
+class _Ordered:
+    """Texts by length. A text of n characters shares min(n, m) with one of m at most, so those of about its length come
+    first, and the search ends where no longer or shorter one can be more alike than the best so far."""
+
+    def __init__(self, texts: list[str]):
+        by = sorted(range(len(texts)), key=lambda k: len(texts[k]))
+        self.places, self.lengths = np.array(by), np.array([len(texts[k]) for k in by])
+        held = [Counter(texts[k]) for k in by]
+        self.code: dict[str, int] = {}
+        chars = [self.code.setdefault(c, len(self.code)) for h in held for c in h]
+        self.chars, self.counts = np.array(chars, np.int64), np.array([n for h in held for n in h.values()], np.int64)
+        self.ends = np.concatenate(([0], np.cumsum([len(h) for h in held])))
+
+    def best(self, own: Counter, n: int, free: np.ndarray) -> int | None:
+        """The place of the free text most alike, the last one of equals."""
+        wanted = np.zeros(len(self.code), np.int64)
+        for c, k in own.items():
+            if c in self.code:
+                wanted[self.code[c]] = k
+        bound = lambda m: 2 * min(n, m) / (n + m) if n + m else 1.0
+        lo = hi = int(np.searchsorted(self.lengths, n))
+        found, place = -1.0, None
+        while lo > 0 or hi < len(self.lengths):
+            shorter = bound(int(self.lengths[lo - 1])) if lo else -1.0
+            longer = bound(int(self.lengths[hi])) if hi < len(self.lengths) else -1.0
+            if max(shorter, longer) < found:
+                break
+            a, b = (max(0, lo - STRETCH), lo) if shorter > longer else (hi, min(len(self.lengths), hi + STRETCH))
+            lo, hi = min(lo, a), max(hi, b)
+            first, last = self.ends[a], self.ends[b]
+            row = np.repeat(np.arange(b - a), np.diff(self.ends[a : b + 1]))
+            shared = np.bincount(row, np.minimum(self.counts[first:last], wanted[self.chars[first:last]]), b - a)
+            total = n + self.lengths[a:b]
+            score = np.where(free[self.places[a:b]], np.where(total > 0, 2 * shared / np.maximum(total, 1), 1.0), -1.0)
+            top = float(score.max())
+            if top >= 0 and top >= found:
+                at = int(self.places[a:b][score == top].max())
+                place = at if top > found or place is None else max(place, at)
+                found = top
+        return place
+
+
 def _dicts(v: Any) -> bool:
     return isinstance(v, list) and all(isinstance(x, dict) for x in v)
 
@@ -47,24 +94,31 @@ def field_counts(pred: dict[str, Any], gold: dict[str, Any]) -> dict[str, list[i
 
     def rows(name: str, mine: list[dict], theirs: list[dict]) -> None:
         used: set[int] = set()
-        known: dict[tuple, list[tuple[Counter, int]]] = {}  # gold rows over the keys of a predicted one: characters and length
+        free = np.ones(len(theirs), bool)
+        first: dict[int, int] = {}  # of a gold row the first that is equal to it
+        known: dict[tuple, list[tuple[Counter, int]] | _Ordered] = {}  # gold rows over the keys of a predicted one
+
+        def over(keys: tuple) -> list[tuple[Counter, int]] | _Ordered:
+            texts = ["-".join(_text(x.get(c)) for c in keys) for x in theirs]
+            return _Ordered(texts) if len(texts) > MANY else [(Counter(t), len(t)) for t in texts]
 
-        def over(keys: tuple) -> list[tuple[Counter, int]]:
-            texts = ("-".join(_text(x.get(c)) for c in keys) for x in theirs)
-            return [(Counter(t), len(t)) for t in texts]
+        def nearest(held: list[tuple[Counter, int]] | _Ordered, chars: Counter, n: int) -> int | None:
+            if isinstance(held, _Ordered):
+                return held.best(chars, n, free)
+            score = {k: _alike(chars, n, *held[k]) for k in range(len(theirs)) if free[k]}
+            return max(score, key=lambda k: (score[k], k), default=None)
 
         for row in mine:
             own = "-".join(_text(v) for v in row.values())
             keys = tuple(row)
             if keys not in known:
                 known[keys] = over(keys)
-            free = [k for k in range(len(theirs)) if k not in used]
-            chars, n = Counter(own), len(own)
-            score = {k: _alike(chars, n, *known[keys][k]) for k in free}
-            best = max(free, key=lambda k: (score[k], k), default=None)
+            best = nearest(known[keys], Counter(own), len(own))
             match = theirs[best] if best is not None and theirs[best] else None
             if match is not None:
-                used.add(theirs.index(match))
+                taken = first.setdefault(best, theirs.index(match) if best not in first else 0)
+                used.add(taken)
+                free[taken] = False
             for c, v in row.items():
                 if match is None:
                     add(f"{name}-{c}", predicted=1)
