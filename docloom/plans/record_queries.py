@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import boxes as bx, codec, text as tx, vision as vi
-from ..operators import aggregates, field_metric, joins, layout, pages, records
+from ..operators import aggregates, field_metric, generators, joins, layout, pages, records
 from ..sources import readers
 from ..streaming import incremental
 from .registry import query, table
@@ -517,6 +517,18 @@ def label_places(spark, sf):
     return layout.placed_labels(b, "l_orderkey", ["l_linenumber", "x", "y", "w"], "x", "y", "w", "page_h", height=14).select("l_orderkey", "l_linenumber", "label.*")
 
 
+@query("line_batches", """
+SELECT min(l_orderkey) AS first_order, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(*) AS n, l_returnflag
+FROM (SELECT *, (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1) // 64 AS batch FROM lineitem) GROUP BY l_returnflag, batch""")
+def line_batches(spark, sf):
+    """Batches of 64 line items of a ship mode, by the table function."""
+    generators.register(spark)
+    table(spark, sf, "lineitem").createOrReplaceTempView("line_batch_rows")
+    batches = spark.sql("SELECT * FROM batches(TABLE(line_batch_rows) PARTITION BY l_returnflag ORDER BY (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice), 'l_orderkey, l_quantity, l_returnflag', 64)")
+    quantity = F.aggregate("l_quantity", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    return batches.select(F.array_min("l_orderkey").alias("first_order"), quantity.alias("quantity"), F.col("n").cast("bigint").alias("n"), F.get("l_returnflag", F.lit(0)).alias("l_returnflag"))
+
+
 @query("char_spans", f"""
 SELECT l_orderkey, l_linenumber, round(x + w / 8, 6) AS first_left, round(x + w * 3 / 8, 6) AS first_right, round(x + w * 3 / 8, 6) AS mid_left, round(x + w * 5 / 8, 6) AS mid_right,
   round(x + w * 3 / 4, 6) AS last_left, round(x + w, 6) AS last_right FROM ({_BOX_SQL})""")
