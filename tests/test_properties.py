@@ -3,6 +3,7 @@
 import difflib
 
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from docloom.functions import codec
 from docloom.operators import field_metric, pages
@@ -61,3 +62,17 @@ def test_decoders_never_fail(v):
     codec.unlined(codec.lines(v))
     codec.unloose(codec.loosened(v))
     assert codec.keys_of(codec.without(v, frozenset({"a"}))) <= codec.keys_of(v)
+
+
+def test_line_tokens_with_repeated_keys(spark):
+    """The last of equal keys wins at the place of the first; parts without a colon go; blank texts give nothing."""
+    texts = ["", "a:1\nb:2\na:3", "x:1\ty:2\tx:3\n\nz: 4 ", "no colon\n\t\n:\t:x\n a : b : c ", "a:1\t\tb\tc:", "k:v\r\nk2:v2\tq:1\tq:2\tr:\n: :", None]
+    p = codec.parsed_v2(F.col("t"))
+    ordered = F.struct(F.map_entries(p["fields"]).alias("fields"), F.transform(p["groups"], F.map_entries).alias("groups"))
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", ordered.alias("p")).orderBy("k").collect()
+    for (_, found), text in zip(rows[:-1], texts):
+        told = codec.unlined(text)
+        groups = told.pop("groups", [])
+        assert [tuple(e) for e in found["fields"]] == list(told.items())
+        assert [[tuple(e) for e in g] for g in found["groups"]] == [list(g.items()) for g in groups]
+    assert rows[-1]["p"]["fields"] is None and rows[-1]["p"]["groups"] is None
