@@ -46,16 +46,16 @@ def _blocks(text: str, unit: str) -> Iterator[tuple[int, int]]:
 
 def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of each unit; offsets count code points of the text, end is past the last one."""
-    if len(text) < (min_words if _ALONE.search(text) else 2 * min_words - 1):
+    alone = bool(_ALONE.search(text))
+    if len(text) < (min_words if alone else 2 * min_words - 1):
         return
     pieces: list[tuple[int, int]] = []
     for start, end in _blocks(text, unit):
         pieces += itertools.pairwise([start, *(m.end() for m in _SENTENCE.finditer(text, start, end)), end])
     words = [text[a:b].lower().split() for a, b in pieces]
-    joined = [" ".join(w) for w in words]
     sizes = [len(w) for w in words]
-    if not text.isascii():
-        sizes = [n + len(_ALONE.findall(t)) - sum(1 for w in own if _ALONE.match(w)) for n, t, own in zip(sizes, joined, words)]
+    if alone:
+        sizes = [n + sum(len(_ALONE.findall(w)) - bool(_ALONE.match(w)) for w in own) for n, own in zip(sizes, words)]
     n, j, held, spans = len(sizes), 0, 0, []
     for i in range(n):
         while held < min_words and j < n:
@@ -74,8 +74,14 @@ def units(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> Iterator
             i += 1
         if held >= min_words and j not in ends:
             spans.append((i, j))
+    if not spans:
+        return
+    # units overlap, so the normalised pieces lie in one buffer, a blank between two, and a unit is a stretch of it
+    parts = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
+    at = [0, *itertools.accumulate(len(p) + 1 if p else 0 for p in parts)]
+    whole = memoryview(b" ".join(filter(None, parts)))
     for i, j in spans:
-        yield pieces[i][0], pieces[j - 1][1], xxhash.xxh3_128_digest(" ".join(filter(None, joined[i:j])).encode("utf-8", "surrogatepass"))
+        yield pieces[i][0], pieces[j - 1][1], xxhash.xxh3_128_digest(whole[at[i] : at[j] - 1])
 
 
 _UNITS = "start bigint, end bigint, d1 bigint, d2 bigint"
