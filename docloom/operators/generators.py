@@ -2,6 +2,9 @@
 
     register(spark)
     SELECT * FROM batches(TABLE(rows) PARTITION BY source ORDER BY (id), 'text', 4)
+
+The table function takes a partition in one task. Groups that hold a large share of a table go by ``batched``, which makes
+the same batches with rows dealt out by range.
 """
 
 from __future__ import annotations
@@ -9,10 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from .splits import numbered
+
 
 @dataclass
 class Asked(AnalyzeResult):
@@ -63,3 +68,19 @@ class Batches:
 
 def register(spark: SparkSession, name: str = "batches") -> None:
     spark.udtf.register(name, Batches)
+
+
+def batched(rows: DataFrame, by: list[str], order: list[str | Column], columns: list[str], size: int) -> DataFrame:
+    """by, batch, n and an array of each of the columns: the batches of each group in order, as the table function makes them.
+
+    Rows are numbered over ranges of by and order, so a group of any size spans tasks; a task then gathers whole batches.
+    """
+    if size < 1:
+        raise ValueError("a batch has one row at least")
+    wanted = list(dict.fromkeys(columns))
+    placed = numbered(rows, order, by, "number_", keep=list(dict.fromkeys([*by, *wanted])))
+    at = F.col("number_")
+    row = F.struct((at % size).cast("int").alias("at_"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(wanted)])
+    held = placed.groupBy(*by, F.floor(at / size).alias("batch_")).agg(F.array_sort(F.collect_list(row)).alias("rows_"))
+    arrays = [F.col("rows_")[f"c{k}"].alias(c) for k, c in enumerate(wanted) if c not in by]
+    return held.select(*by, F.col("batch_").cast("bigint").alias("batch"), F.size("rows_").alias("n"), *arrays)

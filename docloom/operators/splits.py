@@ -15,20 +15,21 @@ def hash_order(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
 
 
-def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df dealt out by ranges of keys and sorted, with its partition (pid_) and place in it (at_), held fast."""
+def dealt(df: DataFrame, keys: list[str | Column], keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns keep) dealt out by ranges of keys and sorted, with its partition (pid_) and place in it (at_), held fast."""
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return staged(ranged.select("*", F.spark_partition_id().alias("pid_"), (F.monotonically_increasing_id() % (1 << 33)).alias("at_")))
+    return staged(ranged.select(*(keep or ["*"]), F.spark_partition_id().alias("pid_"), (F.monotonically_increasing_id() % (1 << 33)).alias("at_")))
 
 
-def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, out: str = "number", total: str | None = None) -> DataFrame:
-    """df with each row's number, from 0, in order, within by; total: a further column with the rows of the row's group.
+def numbered(df: DataFrame, order: list[str | Column], by: list[str] | None = None, out: str = "number", total: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """df with each row's number, from 0, in order, within by; total: a further column with the rows of the row's group;
+    keep: the columns that are wanted back, those of by among them.
 
     A global or a large group's order is not one sorted task: rows are dealt out by range, and the counts of the ranges
     before a row's own are added to its place.
     """
     by = by or []
-    ranged = dealt(df, [*by, *order])
+    ranged = dealt(df, [*by, *order], keep)
     parts = ranged.groupBy("pid_", *by).agg(F.min("at_").alias("first_"), F.count(F.lit(1)).alias("n_"))
     group = Window.partitionBy(*(by or [F.lit(0)]))
     before = F.sum("n_").over(group.orderBy("pid_")) - F.col("n_")
@@ -37,7 +38,7 @@ def numbered(df: DataFrame, order: list[str], by: list[str] | None = None, out:
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}_k"))
     extra = [F.col("total_").alias(total)] if total else []
-    return ranged.join(staged(starts), same).select(*df.columns, (F.col("at_") + F.col("shift_")).alias(out), *extra)
+    return ranged.join(staged(starts), same).select(*(keep or df.columns), (F.col("at_") + F.col("shift_")).alias(out), *extra)
 
 
 def running_total(df: DataFrame, order: list[str], value: str, out: str = "total") -> DataFrame:
