@@ -1,9 +1,9 @@
-"""Byte-pair merges learned with an inverted index from pairs to words.
+"""Byte-pair merges learned over words that stand in chunks of coded symbols.
 
-The index holds a row for each distinct pair of a word, sorted by pair, so that looking a pair up reads the files and row
-groups that hold it. A pass takes the best pairs, looks up the words that hold them, and stages those words alone, with
-their symbols before and after. Counts are those of the start and the differences that staged words make. After
-``PASSES`` passes words, index and counts are written anew.
+Words are staged once, some thousands to a row: the symbols they hold, and their codes in one buffer. A pass is one job
+over these rows: a task does the merges since the words were staged, counts the neighbours that are left, and adds them up
+before the only shuffle, that of distinct pairs. After ``PASSES`` passes the words are staged anew as they are then, so a
+pass does a bounded number of merges on each chunk, and its work grows with the words and nothing else.
 
 Several merges go in one pass where that gives the merges of one at a time. Pairs are taken in order of their counts up to
 the first that shares a symbol with one taken before. New pairs hold a product of a pair taken; each of their occurrences
@@ -14,27 +14,24 @@ count more are safe. A pair of two equal symbols, or whose product is a symbol a
 from __future__ import annotations
 
 import json
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from ..plans.staging import Log, staged
 
 END = "</w>"
-#: Passes between two rewrites of the index, and pairs that are looked at for a pass.
+#: Passes between two stagings of the words, and pairs that are looked at for a pass.
 PASSES, TOP = 12, 64
+#: Symbols of a chunk (a longer word is a chunk of its own), and pairs that a task adds up before it hands them on.
+CHUNK, HELD = 1 << 18, 1 << 19
+#: Distinct symbols of a chunk up to which its pairs are counted in a table of all of them.
+_DENSE = 1 << 11
 _MARK = "\u0001"
 
-
-def _pairs(symbols: str) -> str:
-    """SQL of the (left, right, at) of neighbouring symbols."""
-    n = f"greatest(size({symbols}) - 1, 0)"
-    return f"transform(slice({symbols}, 1, {n}), (a, i) -> struct(a AS left, element_at({symbols}, i + 2) AS right, i AS at))"
-
-
-#: SQL of (left, right, freq): what a changed word takes from the counts of its pairs and adds to them.
-_CHANGES = f"concat(transform({_pairs('old')}, p -> struct(p.left AS left, p.right AS right, -freq AS freq)), transform({_pairs('new')}, p -> struct(p.left AS left, p.right AS right, freq AS freq)))"
-
 #: SQL of symbols with each of the pairs named in `names` joined, from left to right and without overlaps.
 _MERGED = f"""aggregate(symbols, struct(CAST(array() AS array<string>) AS out, false AS fresh), (acc, x) ->
   CASE WHEN size(acc.out) > 0 AND NOT acc.fresh AND array_contains(names, concat(element_at(acc.out, -1), '{_MARK}', x))
@@ -66,100 +63,209 @@ def safe_batch(ranked: list[tuple[str, str, int]], made: set[str], more: bool) -
     return [p for p in out if p is first or p[2] > bound]
 
 
-class _Index:
-    """Words, their pairs' counts, and the index of pairs; and the words that passes since have changed."""
+def _lengths(words: pa.RecordBatch) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(words.column("symbols")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _coded(words: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+    """(symbols, codes) of words; -1 follows the codes of each word."""
+    lengths = _lengths(words)
+    flat = words.column("symbols").flatten().dictionary_encode()
+    codes = np.full(len(flat) + len(lengths), -1, np.int32)
+    codes[np.arange(len(flat)) + np.repeat(np.arange(len(lengths)), lengths)] = flat.indices.to_numpy(zero_copy_only=False)
+    return flat.dictionary.to_pylist(), codes
+
+
+def _joined(codes: np.ndarray, a: int, b: int, product: int) -> np.ndarray:
+    """codes with a and b as neighbours made one, from left to right and without overlaps."""
+    at = np.flatnonzero((codes[:-1] == a) & (codes[1:] == b))
+    if a == b and len(at):  # of a run of equal symbols every second place
+        k = np.arange(len(at))
+        starts = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, k, 0))
+        at = at[(k - starts) % 2 == 0]
+    if not len(at):
+        return codes
+    out = codes.copy()
+    out[at] = product
+    return np.delete(out, at + 1)
+
+
+def _after(names: list[str], codes: np.ndarray, pairs: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
+    """A chunk's symbols and codes after merges, one after the other."""
+    names, place = list(names), {x: k for k, x in enumerate(names)}
+    for a, b in pairs:
+        if a in place and b in place:
+            product = place.get(a + b, len(names))
+            done = _joined(codes, place[a], place[b], product)
+            if done is not codes and product == len(names):
+                place[a + b] = product
+                names.append(a + b)
+            codes = done
+    return names, codes
+
+
+def _pairs(names: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, key, word) of each pair of neighbours of a chunk; a key is left times the number of symbols, and right."""
+    at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
+    return at, codes[at].astype(np.int64) * len(names) + codes[at + 1], np.cumsum(codes < 0)[at]
+
+
+def _sums(keys: np.ndarray, weights: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of their weights), in whole numbers."""
+    if symbols <= _DENSE:
+        total = np.zeros(symbols * symbols, np.int64)
+        np.add.at(total, keys, weights)
+        found = np.flatnonzero(total)
+        return found, total[found]
+    found, place = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, place, weights)
+    return found[total != 0], total[total != 0]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, pa.Array]]:
+    """(symbols, codes, freq of words, order of words) of staged chunks."""
+    for b in batches:
+        for names, codes, freq, order in zip(*(b.column(c) for c in ("names", "codes", "freq", "order"))):
+            yield names.as_py(), np.frombuffer(codes.as_py(), "<i4"), np.frombuffer(freq.as_py(), "<i8"), order.values
+
+
+def _chunk(names: list[str], codes: np.ndarray, freq: np.ndarray, order: pa.Array) -> pa.RecordBatch:
+    orders = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), order)
+    columns = [pa.array([names], pa.list_(pa.string())), pa.array([codes.astype("<i4").tobytes()], pa.binary()), pa.array([freq.astype("<i8").tobytes()], pa.binary()), orders]
+    return pa.RecordBatch.from_arrays(columns, ["names", "codes", "freq", "order"])
+
 
-    def __init__(self, words: DataFrame):
-        self.words = staged(words.select("word", "symbols", "freq", "order"))
-        rows = self.words.select("word", "symbols", "freq", "order", F.expr(f"explode(array_distinct(transform({_pairs('symbols')}, p -> struct(p.left AS left, p.right AS right))))").alias("p"))
-        self.postings = staged(rows.select("p.left", "p.right", "word", "symbols", "freq", "order").repartitionByRange("left", "right").sortWithinPartitions("left", "right"))
-        each = self.words.select("freq", F.expr(f"explode({_pairs('symbols')})").alias("p"))
-        self.counts = staged(each.groupBy("p.left", "p.right").agg(F.sum("freq").alias("freq")))
-        kinds = {f.name: f.dataType for f in self.words.schema}
-        columns = [("word", kinds["word"]), ("freq", kinds["freq"]), ("order", kinds["order"]), ("turn", T.IntegerType()), ("old", kinds["symbols"]), ("new", kinds["symbols"])]
-        self.changed = Log(words.sparkSession, T.StructType([T.StructField(n, k) for n, k in columns]))
+def _counted(held: dict[tuple[str, str], int]) -> pa.RecordBatch:
+    left, right = zip(*held) if held else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(list(held.values()), pa.int64())], ["left", "right", "freq"])
 
-    def latest(self) -> DataFrame:
-        """The changed words as they are now."""
-        rows = self.changed.read().groupBy("word").agg(F.expr("max_by(struct(new, freq, `order`), turn)").alias("x"))
-        return rows.select("word", F.col("x.new").alias("symbols"), "x.freq", "x.order")
 
-    def now(self) -> DataFrame:
+class _Words:
+    """Words in chunks, and the merges since they were staged."""
+
+    def __init__(self, chunks: DataFrame):
+        self.chunks, self.since, self.passes = staged(chunks), [], 0
+
+    @classmethod
+    def of(cls, words: DataFrame) -> _Words:
+        """words: symbols, freq, order."""
+
+        def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(_lengths(b)) // CHUNK)) + 1).tolist(), b.num_rows]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if hi > lo:
+                        own = b.slice(lo, hi - lo)
+                        yield _chunk(*_coded(own), pc.fill_null(own.column("freq"), 0).to_numpy(zero_copy_only=False), own.column("order"))
+
+        kind = words.schema["order"].dataType.simpleString()
+        rows = words.select("symbols", F.col("freq").cast("bigint").alias("freq"), "order")
+        return cls(rows.mapInArrow(chunks, f"names array<string>, codes binary, freq binary, `order` array<{kind}>"))
+
+    def restaged(self) -> _Words:
+        pairs = list(self.since)
+
+        def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for names, codes, freq, order in _chunks(batches):
+                yield _chunk(*_after(names, codes, pairs), freq, order)
+
+        return _Words(self.chunks.mapInArrow(chunks, self.chunks.schema))
+
+    def compound(self) -> bool:
+        """Whether a symbol other than the end mark has several characters."""
+        return bool(self.chunks.filter(F.exists("names", lambda s: (F.char_length(s) > 1) & (s != END))).limit(1).count())
+
+    def counts(self) -> DataFrame:
         """(left, right, freq) of all pairs."""
-        if not self.changed.parts:
-            return self.counts
-        rows = self.counts.unionByName(self.changed.read().select(F.expr(f"inline({_CHANGES})")))
-        return rows.groupBy("left", "right").agg(F.sum("freq").alias("freq")).filter("freq > 0")
-
-    def current(self, base: DataFrame, held: Column | None = None) -> DataFrame:
-        """Rows of base (word, symbols, freq, order) that have not changed since, and the changed ones (those held) as they are."""
-        if not self.changed.parts:
-            return base
-        late = self.latest()
-        kept = base.join(late.select("word"), "word", "left_anti")
-        return kept.unionByName((late.filter(held) if held is not None else late).select("word", "symbols", "freq", "order"))
-
-    def merge(self, pairs: list[tuple[str, str]], turn: int) -> None:
-        """Looks up the words that hold one of the pairs, and stages them with their symbols before and after."""
-        names = F.array(*[F.lit(a + _MARK + b) for a, b in pairs])
-        wanted = reduce(Column.__or__, [(F.col("left") == a) & (F.col("right") == b) for a, b in pairs])
-        base = self.postings.filter(wanted).select("word", "symbols", "freq", "order")
-        base = base.dropDuplicates(["word"]) if len(pairs) > 1 else base
-        held = F.arrays_overlap(F.expr(f"transform({_pairs('symbols')}, p -> concat(p.left, '{_MARK}', p.right))"), names)
-        found = merged(self.current(base, held), pairs)
-        self.changed.add(found.select("word", "freq", "order", F.lit(turn).alias("turn"), F.col("symbols").alias("old"), "new"))
-
-    def rewritten(self) -> _Index:
-        return _Index(self.current(self.words))
-
-
-def _earliest(index: _Index, ranked: list[tuple[str, str, int]], counts: DataFrame) -> tuple[str, str, int]:
-    """Of the pairs of the highest count the one that stands first in the words' order."""
-    best = ranked[0][2]
-    if len(ranked) == 1 or ranked[1][2] < best:
-        return ranked[0]
-    tied = staged(counts.filter(F.col("freq") == best).select("left", "right"))
-    base = index.postings.join(tied, ["left", "right"]).select("word", "symbols", "freq", "order").dropDuplicates(["word"])
-    each = index.current(base).select("order", F.expr(f"inline({_pairs('symbols')})")).join(tied, ["left", "right"])
-    first = each.groupBy("left", "right").agg(F.min(F.struct("order", "at")).alias("at")).orderBy("at").first()
-    return first["left"], first["right"], best
+        pairs = list(self.since)
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[str, str], int] = {}
+            for names, codes, freq, _ in _chunks(batches):
+                names, codes = _after(names, codes, pairs)
+                _, keys, word = _pairs(names, codes)
+                for k, n in zip(*(x.tolist() for x in _sums(keys, freq[word], len(names)))):
+                    p = names[k // len(names)], names[k % len(names)]
+                    held[p] = held.get(p, 0) + n
+                if len(held) > HELD:
+                    yield _counted(held)
+                    held = {}
+            yield _counted(held)
+
+        rows = self.chunks.mapInArrow(each, "left string, right string, freq bigint")
+        return rows.groupBy("left", "right").agg(F.sum("freq").alias("freq"))
+
+    def first_counts(self) -> DataFrame:
+        """(left, right, freq, first): first is the (order, at) where a pair stands first in the words' order."""
+        pairs = list(self.since)
+        kind = self.chunks.schema["order"].dataType.elementType.simpleString()
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for names, codes, freq, order in _chunks(batches):
+                names, codes = _after(names, codes, pairs)
+                at, keys, word = _pairs(names, codes)
+                found, total = _sums(keys, freq[word], len(names))
+                at = at - np.concatenate(([0], np.flatnonzero(codes < 0) + 1))[word]
+                place = np.asarray(pc.rank(order, "ascending", null_placement="at_start", tiebreaker="dense")).astype(np.int64)
+                by = np.lexsort((at, place[word], keys))
+                first = by[np.unique(keys[by], return_index=True)[1]]
+                first = first[np.isin(keys[first], found)]
+                sides = [pa.array([names[k] for k in side.tolist()], pa.string()) for side in (found // len(names), found % len(names))]
+                columns = [*sides, pa.array(total), order.take(pa.array(word[first])), pa.array(at[first].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["left", "right", "freq", "order", "at"])
+
+        rows = self.chunks.mapInArrow(each, f"left string, right string, freq bigint, `order` {kind}, at bigint")
+        return rows.groupBy("left", "right").agg(F.sum("freq").alias("freq"), F.min(F.struct("order", "at")).alias("first"))
+
+
+def _touched(vocab: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(word) of the words that merges change."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left = np.diff(np.flatnonzero(_after(*_coded(b), pairs)[1] < 0), prepend=-1) - 1
+            yield b.select(["word"]).filter(pa.array(left < _lengths(b)))
+
+    kind = vocab.schema["word"].dataType.simpleString()
+    return vocab.select("word", "symbols").mapInArrow(each, f"word {kind}")
 
 
 def learned(vocab: DataFrame, merges: int, order: str | None = None) -> tuple[DataFrame, dict]:
     """((merge_no, left, right, freq), what it took) for words (word, symbols, freq), the most frequent pair first.
 
     Ties go to the pair that stands first in the words' order (column `order`; one merge a pass then), else to the
-    smaller pair. The rows come from the staged words. The driver sees the best TOP pairs of a pass.
+    smaller pair. The rows come from the staged best pairs of each pass, TOP of them; the driver sees those alone. Of what
+    it took, touched (the words that merges change) is worked out when it is asked for.
     """
-    words = vocab.select("word", "symbols", "freq", (F.col(order) if order else F.lit(0)).alias("order"))
-    index = _Index(words)
-    own = index.words.filter(F.exists("symbols", lambda s: (F.char_length(s) > 1) & (s != END)))
-    single = order is not None or bool(own.limit(1).count())  # symbols of several characters may be products already
-    made, numbers, logs, turn = {END}, {}, [], 0
+    spark = vocab.sparkSession
+    words = _Words.of(vocab.select("symbols", "freq", (F.col(order) if order else F.lit(0)).alias("order")))
+    single = order is not None or words.compound()  # symbols of several characters may be products already
+    made, numbers, turn = {END}, {}, 0
+    every: list[tuple[str, str]] = []
+    log = None
     while len(numbers) < merges:
-        if index.changed.parts >= PASSES:
-            index = index.rewritten()
-        counts = index.now()
-        ranked = [(r["left"], r["right"], r["freq"]) for r in counts.orderBy(F.desc("freq"), "left", "right").limit(TOP).collect()]
+        if words.passes >= PASSES:
+            words = words.restaged()
+        counts = words.first_counts() if order else words.counts()
+        best = counts.orderBy(F.desc("freq"), *(["first"] if order else []), "left", "right").limit(1 if order else TOP)
+        best = best.select(F.lit(turn).alias("turn"), "left", "right", "freq")
+        log = log or Log(spark, best.schema)
+        log.add(best)
+        found = log.read().filter(F.col("turn") == turn).collect()
+        ranked = sorted(((r["left"], r["right"], r["freq"]) for r in found), key=lambda p: (-p[2], p[0].encode(), p[1].encode()))
         if not ranked:
             break
-        if order is not None:
-            batch = [_earliest(index, ranked, counts)]
-        else:
-            batch = ranked[:1] if single else safe_batch(ranked, made, len(ranked) == TOP)
-        batch = batch[: merges - len(numbers)]
+        batch = (ranked[:1] if single else safe_batch(ranked, made, len(ranked) == TOP))[: merges - len(numbers)]
         for a, b, _ in batch:
             numbers[f"{turn}{_MARK}{a}{_MARK}{b}"] = len(numbers)
             made.add(a + b)
-        index.merge([(a, b) for a, b, _ in batch], turn)
+            every.append((a, b))
+            words.since.append((a, b))
+        words.passes += 1
         turn += 1
-        if index.changed not in logs:
-            logs.append(index.changed)
-    if not logs:
-        return vocab.sparkSession.createDataFrame([], "merge_no int, left string, right string, freq bigint"), {"passes": 0, "touched": None}
-    touched = reduce(DataFrame.unionByName, [log.read() for log in logs])
-    each = touched.select("turn", "freq", F.expr(f"inline({_pairs('old')})"))
+    if not numbers:
+        return spark.createDataFrame([], "merge_no int, left string, right string, freq bigint"), {"passes": 0, "touched": None}
     number = F.from_json(F.lit(json.dumps(numbers)), "map<string,int>")
-    each = each.withColumn("merge_no", F.try_element_at(number, F.concat_ws(_MARK, F.col("turn").cast("string"), "left", "right")))
-    rows = each.filter("merge_no IS NOT NULL").groupBy("merge_no", "left", "right").agg(F.sum("freq").alias("freq"))
-    return rows, {"passes": turn, "touched": touched}
+    rows = log.read().withColumn("merge_no", F.try_element_at(number, F.concat_ws(_MARK, F.col("turn").cast("string"), "left", "right")))
+    return rows.filter("merge_no IS NOT NULL").select("merge_no", "left", "right", "freq"), {"passes": turn, "touched": _touched(vocab, every)}

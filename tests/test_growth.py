@@ -1,9 +1,11 @@
 """What must not grow in one task or faster than its input."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import generators
+from docloom.operators import bpe, generators, vocab
 from docloom.plans import record_queries, registry  # noqa: F401
 
 
@@ -32,3 +34,36 @@ def test_batched_makes_the_batches_of_the_table_function(spark, apart):
     assert held(generators.batched(rows, ["g"], ["k"], ["k", "t"], 8)) == held(expected)
     with pytest.raises(ValueError, match="one row at least"):
         generators.batched(rows, ["g"], ["k"], ["k"], 0)
+
+
+def test_merges_stage_chunks_and_not_words_again(spark, sf, monkeypatch):
+    """A pass leaves its best pairs alone; what is staged besides are some thousands of words to a row."""
+    words = vocab.symbols(vocab.word_counts(spark.read.parquet(f"{sf}/documents.parquet"), "text")).cache()
+    rows, own, add = {}, bpe.staged, bpe.Log.add
+
+    def staged(df, *rest):
+        out = own(df, *rest)
+        rows[out.staged_path] = out.count()
+        return out
+
+    def added(self, df):
+        add(self, df)
+        rows[self.staged_path] = self.read().count()
+
+    monkeypatch.setattr(bpe, "staged", staged)
+    monkeypatch.setattr(bpe.Log, "add", added)
+    monkeypatch.setattr(bpe, "PASSES", 2)
+    found, took = bpe.learned(words, 6)
+    assert found.count() == 6 and sum(rows.values()) <= 100 + bpe.TOP * took["passes"] < words.count()
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 11])
+def test_chunks_of_codes_merge_and_count_as_words_do(monkeypatch, dense):
+    monkeypatch.setattr(bpe, "_DENSE", dense)
+    words, freq = [[*"aaab"], [], [*"abab"], ["é", "a", "a"]], np.array([2, 5, 3, 1])
+    names, codes = bpe._coded(pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string()))], ["symbols"]))
+    names, codes = bpe._after(names, codes, [("a", "a"), ("a", "b"), ("x", "a"), ("aa", "ab")])
+    assert [names[k] if k >= 0 else "|" for k in codes] == ["aaab", "|", "|", "ab", "ab", "|", "é", "aa", "|"]
+    _, keys, word = bpe._pairs(names, codes)
+    found, total = bpe._sums(keys, freq[word], len(names))
+    assert {(names[k // len(names)], names[k % len(names)]): n for k, n in zip(found.tolist(), total.tolist())} == {("ab", "ab"): 3, ("é", "aa"): 1}
