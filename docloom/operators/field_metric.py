@@ -42,8 +42,9 @@ class _Ordered:
         self.chars, self.counts = np.array(chars, np.int64), np.array([n for h in held for n in h.values()], np.int64)
         self.ends = np.concatenate(([0], np.cumsum([len(h) for h in held])))
 
-    def best(self, own: Counter, n: int, free: np.ndarray) -> int | None:
+    def best(self, text: str, still: bytearray) -> int | None:
         """The place of the free text most alike, the last one of equals."""
+        own, n, free = Counter(text), len(text), np.frombuffer(still, bool)
         wanted = np.zeros(len(self.code), np.int64)
         for c, k in own.items():
             if c in self.code:
@@ -71,6 +72,36 @@ class _Ordered:
         return place
 
 
+class _Few:
+    """A few texts. Those of the same characters are found by them, with no likeness worked out: none is more alike."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.same: dict[str, list[int]] = {}
+        for k, t in enumerate(texts):
+            self.same.setdefault("".join(sorted(t)), []).append(k)
+
+    def best(self, text: str, still: bytearray) -> int | None:
+        """The place of the free text most alike, the last one of equals."""
+        for k in reversed(self.same.get("".join(sorted(text)), ())):
+            if still[k]:
+                return k
+        n, found, place = len(text), -1.0, None
+        chars = [(c, text.count(c)) for c in set(text)]
+        for k, t in enumerate(self.texts):
+            if still[k]:
+                m = len(t)
+                if 2 * min(n, m) / (n + m) >= found:  # two empty texts are of the same characters
+                    shared = 0
+                    for c, i in chars:
+                        j = t.count(c)
+                        shared += i if i < j else j
+                    score = 2 * shared / (n + m)
+                    if score >= found:
+                        found, place = score, k
+        return place
+
+
 def _dicts(v: Any) -> bool:
     return isinstance(v, list) and all(isinstance(x, dict) for x in v)
 
@@ -88,46 +119,40 @@ def field_counts(pred: dict[str, Any], gold: dict[str, Any]) -> dict[str, list[i
     """
     out: dict[str, list[int]] = {}
 
-    def add(name: str, right: int = 0, predicted: int = 0, true: int = 0) -> None:
-        held = out.setdefault(name, [0, 0, 0])
-        held[0], held[1], held[2] = held[0] + right, held[1] + predicted, held[2] + true
-
     def rows(name: str, mine: list[dict], theirs: list[dict]) -> None:
         used: set[int] = set()
-        free = np.ones(len(theirs), bool)
+        free = bytearray(b"\1") * len(theirs)
         first: dict[int, int] = {}  # of a gold row the first that is equal to it
-        known: dict[tuple, list[tuple[Counter, int]] | _Ordered] = {}  # gold rows over the keys of a predicted one
-
-        def over(keys: tuple) -> list[tuple[Counter, int]] | _Ordered:
-            texts = ["-".join(_text(x.get(c)) for c in keys) for x in theirs]
-            return _Ordered(texts) if len(texts) > MANY else [(Counter(t), len(t)) for t in texts]
+        known: dict[tuple, _Ordered | _Few] = {}  # gold rows over the keys of a predicted one
+        cells: dict[str, list[int]] = {}
 
-        def nearest(held: list[tuple[Counter, int]] | _Ordered, chars: Counter, n: int) -> int | None:
-            if isinstance(held, _Ordered):
-                return held.best(chars, n, free)
-            score = {k: _alike(chars, n, *held[k]) for k in range(len(theirs)) if free[k]}
-            return max(score, key=lambda k: (score[k], k), default=None)
+        def cell(c: str) -> list[int]:
+            held = cells[c] = out.setdefault(f"{name}-{c}", [0, 0, 0])
+            return held
 
         for row in mine:
-            own = "-".join(_text(v) for v in row.values())
+            own = "-".join([v if type(v) is str else _text(v) for v in row.values()])
             keys = tuple(row)
             if keys not in known:
-                known[keys] = over(keys)
-            best = nearest(known[keys], Counter(own), len(own))
+                texts = ["-".join([_text(x.get(c)) for c in keys]) for x in theirs]
+                known[keys] = _Ordered(texts) if len(texts) > MANY else _Few(texts)
+            best = known[keys].best(own, free)
             match = theirs[best] if best is not None and theirs[best] else None
             if match is not None:
                 taken = first.setdefault(best, theirs.index(match) if best not in first else 0)
                 used.add(taken)
-                free[taken] = False
+                free[taken] = 0
             for c, v in row.items():
-                if match is None:
-                    add(f"{name}-{c}", predicted=1)
-                else:
-                    add(f"{name}-{c}", int(v == match.get(c)), 1, 1)
+                held = cells.get(c) or cell(c)
+                held[1] += 1
+                if match is not None:
+                    held[2] += 1
+                    if v == match.get(c):
+                        held[0] += 1
         for k, row in enumerate(theirs):
             if k not in used:
                 for c in row:
-                    add(f"{name}-{c}", true=1)
+                    (cells.get(c) or cell(c))[2] += 1
 
     for key in dict.fromkeys([*pred, *gold]):
         p, g = pred.get(key), gold.get(key)
